@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from attestry.llm.bpe_codec import op10_bpe
+from attestry.llm.packing import op2_packing
+from attestry.llm.simhash import op3_simhash
+from attestry.llm.token_files import op9_token_files
 
 QUERIES = {
+    "op2_packing": op2_packing,
+    "op3_simhash": op3_simhash,
+    "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
 }
 
