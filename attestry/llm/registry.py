@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from attestry.llm.bpe_codec import op10_bpe
+from attestry.llm.html_text import op8_html_text
 from attestry.llm.packing import op2_packing
 from attestry.llm.simhash import op3_simhash
 from attestry.llm.token_files import op9_token_files
+from attestry.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op6_toxicity": op6_toxicity,
+    "op8_html_text": op8_html_text,
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
 }
