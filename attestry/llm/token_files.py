@@ -24,7 +24,7 @@ from attestry.llm.tokens import library_encoder, vocabulary
 _HEAD = "<qqqq"
 
 
-def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int, docs_per_shard: int = 16_384, segment_ids: int = 2_000_000) -> None:
+def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int, vocabulary_size: int, docs_per_shard: int = 8_192, segment_ids: int = 1_000_000) -> None:
     """Write the ids of ``docs`` (doc_id, text), each document's followed by ``end_id``, below ``path``.
 
     Order: ascending doc_id, null doc_ids first; rows of one doc_id follow each other by their ids. Null and
@@ -36,12 +36,14 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int, docs_pe
     bounds = np.unique(np.array(cuts, np.int64))
     encoded = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
+    width = "<u2" if vocabulary_size <= 1 << 16 else "<u4"
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(vocabulary_path)
         for b in batches:
             ids, out = b.column("doc_id").to_pylist(), []
             for x in encoder.encode(b.column("text").to_pylist()):
-                out.append(np.append(x, np.uint32(end_id)).astype("<u4").tobytes())
+                out.append(np.append(x, np.uint32(end_id)).astype(width).tobytes())
             shard = np.searchsorted(bounds, [-(1 << 63) if i is None else i for i in ids], side="right")
             yield batch(encoded, shard=shard, doc_id=ids, ids=out)
 
@@ -62,7 +64,7 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int, docs_pe
                     doc_ids, held, size = [], [], 0
                 if s.as_py() != shard:
                     shard, number, before = s.as_py(), 0, 0
-                x = np.frombuffer(ids.as_buffer(), "<u4")
+                x = np.frombuffer(ids.as_buffer(), width)
                 doc_ids.append(d.as_py())
                 held.append(x)
                 size += len(x)
@@ -127,7 +129,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document to files and back."""
     path = work_dir(spark, "token-files")
     docs = table(spark, sf_dir, "documents")
-    write(docs, path, vocabulary("word_bpe_49k.json"), end_id=2)
+    write(docs, path, vocabulary("word_bpe_49k.json"), end_id=2, vocabulary_size=49_408)
     if docs.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     return digests(spark, path)

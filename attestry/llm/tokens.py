@@ -27,7 +27,7 @@ STRETCH = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 class TextEncoder:
     """``encode_many`` is a function of a list of stretches: (all ids, how many each has)."""
 
-    def __init__(self, encode_many, limit: int = 400_000):
+    def __init__(self, encode_many, limit: int = 250_000):
         self.encode_many, self.limit = encode_many, limit
         self._forget()
 
