@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from attestry.llm.ann import op1_nearest
 from attestry.llm.bpe_codec import op10_bpe
 from attestry.llm.html_text import op8_html_text
+from attestry.llm.mips import OP4_SQL, op4_inner_products
 from attestry.llm.packing import op2_packing
 from attestry.llm.simhash import op3_simhash
 from attestry.llm.token_files import op9_token_files
 from attestry.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op1_nearest": op1_nearest,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op4_inner_products": op4_inner_products,
     "op6_toxicity": op6_toxicity,
     "op8_html_text": op8_html_text,
     "op9_token_files": op9_token_files,
@@ -19,4 +23,6 @@ QUERIES = {
 }
 
 #: DuckDB SQL, where SQL can express a query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_inner_products": OP4_SQL,
+}
