@@ -7,6 +7,7 @@ from attestry.llm.bpe_codec import op10_bpe
 from attestry.llm.html_text import op8_html_text
 from attestry.llm.mips import OP4_SQL, op4_inner_products
 from attestry.llm.packing import op2_packing
+from attestry.llm.revisits import OP7_SQL, op7_revisits
 from attestry.llm.simhash import op3_simhash
 from attestry.llm.token_files import op9_token_files
 from attestry.llm.toxicity import op6_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_inner_products": op4_inner_products,
     "op6_toxicity": op6_toxicity,
+    "op7_revisits": op7_revisits,
     "op8_html_text": op8_html_text,
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
@@ -25,4 +27,5 @@ QUERIES = {
 #: DuckDB SQL, where SQL can express a query.
 ORACLES: dict[str, str] = {
     "op4_inner_products": OP4_SQL,
+    "op7_revisits": OP7_SQL,
 }
