@@ -5,6 +5,7 @@ from __future__ import annotations
 from attestry.llm.ann import op1_nearest
 from attestry.llm.bpe_codec import op10_bpe
 from attestry.llm.html_text import op8_html_text
+from attestry.llm.line_dedup import op5_line_dedup
 from attestry.llm.mips import OP4_SQL, op4_inner_products
 from attestry.llm.packing import op2_packing
 from attestry.llm.revisits import OP7_SQL, op7_revisits
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op4_inner_products": op4_inner_products,
+    "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_revisits": op7_revisits,
     "op8_html_text": op8_html_text,

@@ -56,14 +56,14 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a long). Null texts count as empty: fingerprint zero."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """doc_id, th (hash of the text), fp (the fingerprint's 64 bits). Null texts count as empty: fingerprint zero."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch(schema, doc_id=b.column("doc_id"), fp=[_signed(fingerprint(t, shingle)) for t in b.column("text").to_pylist()])
+            yield batch(schema, doc_id=b.column("doc_id"), th=b.column("th"), fp=[_signed(fingerprint(t, shingle)) for t in b.column("text").to_pylist()])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(docs).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def links(fps: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
@@ -90,19 +90,43 @@ def links(fps: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     return near.union(stars)
 
 
+def _rooted(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Stored fingerprints of every row, and fp, first, root of every distinct fingerprint."""
+    found = written(fingerprints(docs, shingle), "simhash")
+    distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    root = components(links(distinct.select("fp")), "simhash-links")
+    return found, distinct.join(root, distinct.fp == root.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links reach (null only if all in reach are null).
 
     Rows stay as they are: a repeated doc_id has a row for each of its texts, a null doc_id keeps its row.
     """
-    found = written(fingerprints(docs, shingle), "simhash")
-    distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    root = components(links(distinct.select("fp")), "simhash-links")
-    rooted = distinct.join(root, distinct.fp == root.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    found, rooted = _rooted(docs, shingle)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return found.join(rooted.select("fp", "root").join(least, "root").drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle: int = 3, small: int = 1_000_000) -> DataFrame:
+    """``docs`` with one document of each group: that of the smallest doc_id (nulls last), with all its columns.
+
+    Rows with the same doc_id and text are one document; of them one row stays. Tables of at most ``small``
+    kept documents are broadcast, others joined by shuffle.
+    """
+    found, rooted = _rooted(docs, shingle)
+    last = F.lit((1 << 63) - 1)
+    rows = found.select(F.coalesce("doc_id", last).alias("id"), "th", "fp")
+    kept = rows.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct("id", "th")).alias("row")).select("row.*")
+    kept = written(kept, "simhash-kept")
+    id_, th = F.coalesce(F.col("doc_id").cast("long"), last), F.xxhash64(F.coalesce("text", F.lit("")))
+    named = docs.select(F.struct(*docs.columns).alias("row"), id_.alias("id"), th.alias("th"))
+    stay = named.join(F.broadcast(kept) if kept.count() <= small else kept, ["id", "th"], "left_semi")
+    if not rows.groupBy("id", "th").count().where("count > 1").isEmpty():
+        stay = stay.dropDuplicates(["id", "th"])
+    return stay.select("row.*")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
