@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -67,24 +68,42 @@ class Model:
         values = per_bucket[np.fromiter((b for r in rows for b in r), np.int64)]
         return (np.add.reduceat(values, starts) / [len(r) for r in rows] * _SCALE).tolist()
 
-    def scores(self, texts: list[str], remembered: int = 400_000) -> list[float]:
+    def scores(self, texts: list[str], remembered: int = 250_000, at_once: int = 256) -> list[float]:
         """Probability of class 1; a text without words has that of the bias alone."""
-        split = [tokens(t) for t in texts]
-        if len(self.known) > remembered:
-            self.known = {}
-        if new := sorted(set().union(*split).difference(self.known)):
-            self.known.update(zip(new, self.word_logits(new)))
-        base = float(self.bias[1] - self.bias[0])
-        logits = [sum(map(self.known.__getitem__, words)) / (len(words) + _SILENT) + base for words in split]
-        return (1 / (1 + np.exp(-np.clip(logits, -30, 30)))).tolist()
+        base, out = float(self.bias[1] - self.bias[0]), []
+        for at in range(0, len(texts), at_once):
+            split = [tokens(t) for t in texts[at : at + at_once]]
+            if len(self.known) > remembered:
+                self.known = {}
+            if new := sorted(set().union(*split).difference(self.known)):
+                self.known.update(zip(new, self.word_logits(new)))
+            logits = [sum(map(self.known.__getitem__, words)) / (len(words) + _SILENT) + base for words in split]
+            out += (1 / (1 + np.exp(-np.clip(logits, -30, 30)))).tolist()
+        return out
 
 
-def train(documents: list[tuple[list[str], list[int]]], labels: list[int], size: int = 1 << 16, dim: int = 8, epochs: int | None = None, rate: float = 0.3, seed: int = 1, group: int = 32, damping: float = 1e-3, least_docs: int = 20) -> Model:
-    """Fit to documents given as (distinct words, counts). One class or no rows: the prior alone.
+@dataclass
+class Counts:
+    """Documents as distinct words with counts: ``words`` has every word once, the others lie flat by document."""
+
+    words: list[str]
+    index: np.ndarray
+    counts: np.ndarray
+    sizes: np.ndarray
+
+    @staticmethod
+    def of(documents: list[Counter]) -> Counts:
+        known: dict[str, int] = {}
+        index = np.fromiter((known.setdefault(w, len(known)) for d in documents for w in d), np.int32)
+        return Counts(list(known), index, np.fromiter((n for d in documents for n in d.values()), np.float32), np.array([len(d) for d in documents], np.int64))
+
+
+def train(documents: Counts, labels: list[int], size: int = 1 << 16, dim: int = 8, epochs: int | None = None, rate: float = 0.3, seed: int = 1, group: int = 32, damping: float = 1e-3, least_docs: int = 20) -> Model:
+    """Fit to counted documents. One class or no rows: the prior alone.
 
     ``epochs``: where none are given, 4, or more for few documents, so that they get as many steps (40 at most).
     """
-    epochs = epochs or min(40, max(4, 48_000 // max(1, len(documents))))
+    epochs = epochs or min(40, max(4, 48_000 // max(1, len(labels))))
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.int64)
     vectors = rng.uniform(-1 / dim, 1 / dim, (size, dim)).astype(np.float32)
@@ -93,35 +112,41 @@ def train(documents: list[tuple[list[str], list[int]]], labels: list[int], size:
     bias = np.log(prior).astype(np.float32)
     if len(set(labels)) < 2:
         return Model(vectors * 0, weights, bias)
-    index: dict[str, int] = {}
-    docs = [(np.array([index.setdefault(w, len(index)) for w in words], np.int64), np.array(n, np.float32) / (sum(n) + _SILENT)) for words, n in documents]
-    rows = [buckets(w, size) for w in index]
-    lens = np.array([len(r) for r in rows], np.int64)
-    flat = np.fromiter((b for r in rows for b in r), np.int64, int(lens.sum()))
+    n_docs, ends = len(documents.sizes), np.cumsum(documents.sizes)
+    doc = [slice(int(e - n), int(e)) for e, n in zip(ends, documents.sizes)]
+    share = documents.counts / np.repeat(np.add.reduceat(np.append(documents.counts, 0), np.minimum(ends - documents.sizes, len(documents.counts))) + _SILENT, documents.sizes)
+    lens = np.zeros(len(documents.words), np.int64)
+    flat = []
+    for at in range(0, len(lens), 20_000):
+        rows = [buckets(w, size) for w in documents.words[at : at + 20_000]]
+        lens[at : at + len(rows)] = [len(r) for r in rows]
+        flat.append(np.fromiter(chain.from_iterable(rows), np.int32))
+    flat = np.concatenate(flat)
     begin = np.cumsum(lens) - lens
     # A bucket of few documents would only learn those by heart: it stays zero.
     in_docs = np.zeros(size, np.int64)
-    for words, _ in docs:
+    for some in doc:
+        words = documents.index[some]
         in_docs[np.unique(flat[gather(begin[words], lens[words])])] += 1
     live = in_docs >= least_docs
     vectors[~live] = 0
     seen, seen_w, seen_b = np.full(size, damping, np.float32), np.full(weights.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
     for epoch in range(epochs):
         step = np.float32(rate * (1 - epoch / epochs))
-        order = rng.permutation(len(docs))
-        for at in range(0, len(docs), group):
-            some = [k for k in order[at : at + group] if len(docs[k][0])]
+        order = rng.permutation(n_docs)
+        for at in range(0, n_docs, group):
+            some = [k for k in order[at : at + group] if documents.sizes[k]]
             if not some:
                 continue
-            words, inverse = np.unique(np.concatenate([docs[k][0] for k in some]), return_inverse=True)
-            share = np.concatenate([docs[k][1] for k in some])
-            first = np.cumsum([0] + [len(docs[k][0]) for k in some[:-1]])
-            owner = np.repeat(np.arange(len(some)), [len(docs[k][0]) for k in some])
+            words, inverse = np.unique(np.concatenate([documents.index[doc[k]] for k in some]), return_inverse=True)
+            part = np.concatenate([share[doc[k]] for k in some])
+            first = np.cumsum(documents.sizes[some]) - documents.sizes[some]
+            owner = np.repeat(np.arange(len(some)), documents.sizes[some])
             n = lens[words]
             starts = np.cumsum(n) - n
             slots = flat[gather(begin[words], n)]
             word_vectors = np.add.reduceat(vectors[slots], starts) / n[:, None]
-            mean = np.add.reduceat(word_vectors[inverse] * share[:, None], first) * _SCALE
+            mean = np.add.reduceat(word_vectors[inverse] * part[:, None], first) * _SCALE
             logits = mean @ weights + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -129,7 +154,7 @@ def train(documents: list[tuple[list[str], list[int]]], labels: list[int], size:
             error[np.arange(len(some)), y[some]] -= 1
             grad_mean = (error @ weights.T) * _SCALE
             grad_w, grad_b = mean.T @ error / len(some), error.mean(axis=0)
-            by_word = np.stack([np.bincount(inverse, share * grad_mean[owner, d], len(words)) for d in range(dim)], 1) / n[:, None]
+            by_word = np.stack([np.bincount(inverse, part * grad_mean[owner, d], len(words)) for d in range(dim)], 1) / n[:, None]
             used, back = np.unique(slots, return_inverse=True)
             spread = np.repeat(by_word, n, axis=0)
             grad = np.stack([np.bincount(back, spread[:, d], len(used)) for d in range(dim)], 1).astype(np.float32)
@@ -143,7 +168,7 @@ def train(documents: list[tuple[list[str], list[int]]], labels: list[int], size:
     return Model(vectors, weights, bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 8_000) -> Model:
     """Fit to at most ``rows`` labelled documents of ``docs`` (doc_id, text), taken by a hash of their doc_id.
 
     ``labels``: doc_id, toxic (0 or 1). Only rows whose crc32(doc_id as text) mod 3 is not 1 are learnt from;
@@ -161,9 +186,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000) -> Model:
             yield batch(schema, doc_id=b.column("doc_id"), toxic=b.column("toxic"), words=[list(c) for c in found], counts=[list(c.values()) for c in found])
 
     counted = id_and_text(docs).join(F.broadcast(sample), "doc_id").mapInArrow(count, "doc_id long, toxic int, words array<string>, counts array<int>").toArrow()
-    order = np.lexsort((counted["doc_id"].to_numpy(),))
-    words, counts, toxic = (counted[c].to_pylist() for c in ("words", "counts", "toxic"))
-    return train([(words[k], counts[k]) for k in order], [toxic[k] for k in order])
+    counted = counted.sort_by("doc_id").combine_chunks()
+    words = counted["words"].combine_chunks()
+    coded = words.flatten().dictionary_encode()
+    sizes = np.diff(words.offsets.to_numpy())
+    documents = Counts(coded.dictionary.to_pylist(), coded.indices.to_numpy(), counted["counts"].combine_chunks().flatten().to_numpy().astype(np.float32), sizes.astype(np.int64))
+    labels_ = counted["toxic"].to_pylist()
+    del counted, words, coded
+    return train(documents, labels_)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] = []) -> DataFrame:
