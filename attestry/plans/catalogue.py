@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from attestry.plans import comparison, corpus, documents, lineage, screening  # noqa: F401  they register their queries
+from attestry.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracles() -> dict:
-    return {}
+    return dict(ORACLES)
