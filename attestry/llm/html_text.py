@@ -48,7 +48,8 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, bool, int, int]] = []
-        self.open: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]
+        # Tag, apart (1: with lines of its own, 2: inside a line, whose text goes on behind it), scope, box.
+        self.open: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]
         self.parts: list[str] = []
         self.tags = self.scopes = self.boxes = 0
 
@@ -57,7 +58,7 @@ class Lines(HTMLParser):
             text = " ".join("".join(self.parts).split())
             if text:
                 _, apart, scope, box = self.open[-1]
-                self.lines.append((text, max(1, self.tags), apart, scope, box))
+                self.lines.append((text, max(1, self.tags), bool(apart), scope, box))
                 self.tags = 0
             self.parts = []
 
@@ -72,9 +73,7 @@ class Lines(HTMLParser):
             return
         _, apart, scope, box = self.open[-1]
         if not apart:
-            apart = self._apart(tag, attrs, scope)
-            if apart:
-                self.flush()
+            apart = self._apart(tag, attrs, scope) and (1 if tag in BLOCKS else 2)
         if tag in CONTENT and not scope and not apart:
             self.scopes += 1
             scope = self.scopes
@@ -117,7 +116,7 @@ class Lines(HTMLParser):
         self.tags += 1
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
-                if tag in BLOCKS or self.open[k][1]:
+                if tag in BLOCKS:
                     self.flush()
                 del self.open[k:]
                 return
@@ -125,7 +124,7 @@ class Lines(HTMLParser):
                 return  # an inline end tag doesn't close a block
 
     def handle_data(self, data):
-        if self.open[-1][0] not in ("script", "style"):
+        if self.open[-1][1] != 2:
             self.parts.append(data)
 
 

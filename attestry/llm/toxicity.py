@@ -196,8 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 8_000) -> Model:
     return train(documents, labels_)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] = []) -> DataFrame:
-    """doc_id, ``keep`` columns and score of every whole text; null texts count as empty. No shuffle."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, row (all columns of ``docs`` as a struct) and score of every whole text; null texts count as empty. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
     @F.pandas_udf("double")
@@ -206,17 +206,16 @@ def score(docs: DataFrame, model: Model, keep: list[str] = []) -> DataFrame:
 
         return pd.Series(shared.value.scores(texts.tolist()), dtype="float64")
 
-    return docs.select("doc_id", *keep, of(F.coalesce("text", F.lit(""))).alias("score"))
+    return docs.select("doc_id", F.struct(*docs.columns).alias("row"), of(F.coalesce("text", F.lit(""))).alias("score"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str, reject: float = 0.7) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    scored = score(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels")))
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     return scored.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= reject).cast("int").alias("predicted"))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, reject: float = 0.7) -> DataFrame:
     """``docs`` without those that score ``reject`` or more; all of their columns stay."""
-    others = [c for c in docs.columns if c != "doc_id"]
-    return score(docs, fit(docs, labels), others).where(F.col("score") < reject).select(docs.columns)
+    return score(docs, fit(docs, labels)).where(F.col("score") < reject).select("row.*")
