@@ -21,8 +21,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, blank_l
 
 def read_json_document(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as one object each: file, document (variant); what is no object is an error."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("document"))
-    bad = F.col("document").isNull() | ~F.schema_of_variant("document").startswith("OBJECT")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("document"))
+    bad = F.col("document").isNull() | ~F.coalesce(F.schema_of_variant("document").startswith("OBJECT"), F.lit(False))
     return files.select("file", F.when(bad, F.raise_error(F.concat(F.lit("no JSON object: "), "file"))).otherwise(F.col("document")).alias("document"))
 
 
