@@ -88,3 +88,10 @@ def test_huge_components_stay_exact(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in mips.search(frame(spark, rows)).collect())
     top = (1 << 63) - 1
     assert got == [(0, 1, 1, top), (0, 2, 20, top), (20, 1, 0, top), (20, 2, 1, top)]
+
+
+def test_no_usable_vectors_or_queries(spark):
+    assert mips.search(frame(spark, ODD[:3])).count() == 0
+    assert mips.search(frame(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])])).count() == 0
+    assert ann.search(frame(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])])).count() == 0
+    assert [(r.query_id, r.vec_id) for r in mips.search(frame(spark, [(20, [1.0, 2.0]), (2, [1.0, 2.0])])).collect()] == [(20, 2)]
