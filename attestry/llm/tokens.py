@@ -9,18 +9,22 @@ the ids of the stretches that it has met, up to ``limit`` of them; beyond, it st
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
-from attestry.llm.bpe import SPLIT_PATTERN, byte_bpe, gather
+from attestry.llm.bpe import SPLIT_PATTERN, byte_bpe, gather, printable_bytes
 
 #: Unicode's White_Space signs.
 WHITE = "\\t-\\r \x85\xa0  -     　"
 
+#: The published split pattern of the vocabulary with word ends.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 STRETCH = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
@@ -54,7 +58,7 @@ class TextEncoder:
                 self._forget()
             found = [np.array(list(map(self.known.get, p, repeat(-1))), np.int64) for p in pieces]
             if new := {p[k] for p, f in zip(pieces, found) for k in np.flatnonzero(f < 0)}:
-                self._learn(sorted(new))
+                self._learn(list(new))
                 for p, f in zip(pieces, found):
                     miss = np.flatnonzero(f < 0)
                     f[miss] = [self.known[p[k]] for k in miss]
@@ -62,6 +66,37 @@ class TextEncoder:
                 yield self.pool[gather(self.begin[f], self.lens[f])]
 
 
+#: A stretch of white space, Latin letters and at most one sign.
+PLAIN = re.compile("[ \n\t\r]*([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+
+
+def _plain_pieces(model, path: str, limit: int = 250_000):
+    """For a vocabulary that lower-cases and drops white space: ids of a plain stretch's letters and sign.
+
+    What such a vocabulary's normaliser and splitter make of them is known: the letters in lower case are one word, the
+    sign is another. So the library's merges alone are called, once for each word. None for other vocabularies.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    split = [p.get("pattern") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    if steps != ["NFC", "Replace", "Lowercase"] or split[:1] != [{"Regex": WORD_PATTERN}] or len(split) != 2:
+        return None
+    merges, signs = model.model, printable_bytes()
+    latin = {c: "".join(signs[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
+    known: dict[str, list[int]] = {}
+
+    def word(w: str) -> list[int]:
+        found = known.get(w)
+        if found is None:
+            if len(known) >= limit:
+                known.clear()
+            found = known[w] = [t.id for t in merges.tokenize(w if w.isascii() else w.translate(latin))]
+        return found
+
+    return lambda letters, sign: word(letters.lower()) + word(sign) if sign else word(letters.lower())
+
+
 @lru_cache(maxsize=4)
 def library_encoder(path: str) -> TextEncoder:
     """By the tokenizers library, without added special tokens, truncation or padding."""
@@ -72,10 +107,22 @@ def library_encoder(path: str) -> TextEncoder:
     model.no_truncation()
     model.no_padding()
 
+    def whole(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    pieces = _plain_pieces(model, path)
+
     def encode_many(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+        ids: list = [None] * len(texts)
+        if pieces:
+            for k, m in enumerate(map(PLAIN.fullmatch, texts)):
+                if m:
+                    ids[k] = pieces(m[1], m[2])
+        rest = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(rest, whole([texts[k] for k in rest])):
+            ids[k] = x
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for x in ids for i in x), np.int64, int(lens.sum())), lens
+        return np.fromiter(chain.from_iterable(ids), np.int64, int(lens.sum())), lens
 
     return TextEncoder(encode_many)
 
