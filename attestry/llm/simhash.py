@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.llm import shingle_sets
 from attestry.llm.common import batch, id_and_text, table, written
 from attestry.llm.graph import components
 
@@ -108,13 +109,15 @@ def groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return found.join(rooted.select("fp", "root").join(least, "root").drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, small: int = 1_000_000) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 3, small: int = 1_000_000, similarity: float | None = None) -> DataFrame:
     """``docs`` with one document of each group: that of the smallest doc_id (nulls last), with all its columns.
 
+    Groups are those within 2 bits, or with a ``similarity`` those of the shingle sets of that Jaccard similarity.
+
     Rows with the same doc_id and text are one document; of them one row stays. Tables of at most ``small``
     kept documents are broadcast, others joined by shuffle.
     """
-    found, rooted = _rooted(docs, shingle)
+    found, rooted = _rooted(docs, shingle) if similarity is None else shingle_sets.rooted(docs, shingle, similarity)
     last = F.lit((1 << 63) - 1)
     rows = found.select(F.coalesce("doc_id", last).alias("id"), "th", "fp")
     kept = rows.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct("id", "th")).alias("row")).select("row.*")
