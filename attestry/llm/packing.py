@@ -29,8 +29,8 @@ _PIECE = pa.schema([(c.split()[0], pa.int64()) for c in PIECE.split(", ")])
 class ShardIndex:
     """BM25 postings of one shard; ``documents`` are arrays of term ids, ``idf`` is by term id."""
 
-    def __init__(self, documents: list[np.ndarray], idf: np.ndarray, mean_length: float, k1: float = 1.2, b: float = 0.75, query_terms: int = 24):
-        self.idf, self.query_terms, self.docs = idf, query_terms, len(documents)
+    def __init__(self, documents: list[np.ndarray], idf: np.ndarray, mean_length: float, k1: float = 1.2, b: float = 0.75):
+        self.idf, self.docs = idf, len(documents)
         lens = np.fromiter(map(len, documents), np.int64, len(documents))
         flat = np.concatenate(documents).astype(np.int64)
         pairs, tf = np.unique(np.repeat(np.arange(len(documents)), lens) * len(idf) + flat, return_counts=True)
@@ -38,18 +38,26 @@ class ShardIndex:
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[doc] / mean_length))
         # A document's own terms, for its turn as a seed.
         self.own = np.searchsorted(doc, np.arange(len(documents) + 1))
-        self.terms, self.own_weight = term, weight
+        self.terms = term
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        bounds = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        self._post(term[order], doc[order], weight[order])
+
+    def _post(self, term: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> None:
+        self.term, self.doc, self.weight, self.left = term, doc, weight, self.docs
+        bounds = np.searchsorted(term, np.arange(len(self.idf) + 1))
         self.begin, self.count = bounds[:-1], np.diff(bounds)
 
     def ranked(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share one of the seed's heaviest terms, best first, ties by position."""
+        """Unused documents that share a term with the seed, by the BM25 of all its terms, best first, ties by position.
+
+        ``used`` only ever grows: once a quarter of the documents in the postings is used, they leave them.
+        """
+        unused = self.docs - int(np.count_nonzero(used))
+        if 4 * unused < 3 * self.left:
+            stay = ~used[self.doc]
+            self._post(self.term[stay], self.doc[stay], self.weight[stay])
+            self.left = unused
         terms = self.terms[self.own[seed] : self.own[seed + 1]]
-        if len(terms) > self.query_terms:
-            heavy = self.own_weight[self.own[seed] : self.own[seed + 1]]
-            terms = terms[np.argpartition(-heavy, self.query_terms)[: self.query_terms]]
         at = gather(self.begin[terms], self.count[terms])
         score = np.bincount(self.doc[at], self.weight[at], self.docs)
         score[used] = 0
