@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestry.llm.common import batch, id_and_text, table, work_dir
+from attestry.llm.common import batch, id_and_text, slices, table, work_dir
 from attestry.llm.dac import Segment, encode_segment, segments
 from attestry.llm.tokens import library_encoder, vocabulary
 
@@ -29,10 +29,15 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int, vocabul
 
     Order: ascending doc_id, null doc_ids first; rows of one doc_id follow each other by their ids. Null and
     empty texts have the end id alone. No rows: no file of codes. Other columns are not read.
+
+    Spark's text writer carries the segments: their bytes are cast to strings, valid UTF-8 or not, and written as
+    they are, each with a line feed behind it. A segment knows its size, so line feeds inside it do no harm.
+    Bounds of shards are quantiles of doc_id within an error of 1e-5 of the rows at the least, so that what the
+    driver holds doesn't grow with the shards; segments stay bounded whatever a shard's size.
     """
     spark, rows = docs.sparkSession, id_and_text(docs)
     shards = max(1, -(-rows.count() // docs_per_shard))
-    cuts = rows.stat.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.1 / shards) if shards > 1 else []
+    cuts = rows.stat.approxQuantile("doc_id", [k / shards for k in range(1, shards)], max(0.1 / shards, 1e-5)) if shards > 1 else []
     bounds = np.unique(np.array(cuts, np.int64))
     encoded = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
@@ -40,7 +45,7 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int, vocabul
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(vocabulary_path)
-        for b in batches:
+        for b in slices(batches):
             ids, out = b.column("doc_id").to_pylist(), []
             for x in encoder.encode(b.column("text").to_pylist()):
                 out.append(np.append(x, np.uint32(end_id)).astype(width).tobytes())
@@ -88,12 +93,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the files below ``path``."""
+    """doc_id, start, n_tokens, ids_crc32 of every document in the files below ``path``, each fetched by its place."""
     schema = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def rows(seg: Segment) -> pa.RecordBatch:
-        ids, cuts = memoryview(seg.slice(0, seg.n_ids).astype("<u4").tobytes()), (4 * seg.begin).tolist()
-        crc = [zlib.crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
+        crc = [zlib.crc32(seg.document(k).astype("<u4").tobytes()) for k in range(len(seg.doc_ids))]
         return batch(schema, shard=[seg.shard] * len(crc), doc_id=seg.doc_ids, at=seg.before + seg.begin[:-1], n_tokens=np.diff(seg.begin), ids_crc32=crc)
 
     return _read(spark, path, rows, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long")

@@ -1,9 +1,10 @@
-"""Whole texts to token ids, with each distinct stretch of text encoded once a process.
+"""Whole texts to token ids, with each distinct stretch of text, or word, encoded once a process.
 
 A text is cut where a sign other than white space meets white space. Both vocabularies' split patterns
 have a token boundary there, whatever comes before or after, so the ids of a text are the ids of its
 stretches one after another (the tests hold this against the library on whole texts). A process keeps
-the ids of the stretches that it has met, up to ``limit`` of them; beyond, it starts anew.
+the ids of the stretches that it has met, up to ``limit`` of them; beyond, it starts anew. For a vocabulary that
+drops white space the pieces are its words (see ``Words``).
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ import base64
 import json
 import os
 import re
+import unicodedata
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain, islice
 
 import numpy as np
 
-from attestry.llm.bpe import SPLIT_PATTERN, byte_bpe, gather, printable_bytes
+from attestry.llm.bpe import SPLIT_PATTERN, byte_bpe, gather
 
 #: Unicode's White_Space signs.
 WHITE = "\\t-\\r \x85\xa0  -     　"
@@ -28,15 +30,24 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 STRETCH = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
+class Numbers(dict):
+    """Numbers of pieces in the order in which they were first asked for."""
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        return n
+
+
 class TextEncoder:
-    """``encode_many`` is a function of a list of stretches: (all ids, how many each has)."""
+    """``encode_many`` is a function of a list of pieces: (all ids, how many each has); ``cut`` gives a text's pieces."""
 
-    def __init__(self, encode_many, limit: int = 250_000):
-        self.encode_many, self.limit = encode_many, limit
-        self._forget()
+    def __init__(self, encode_many, cut=STRETCH.findall, limit: int = 250_000):
+        self.encode_many, self.cut, self.limit = encode_many, cut, limit
+        self.forget()
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+    def forget(self) -> None:
+        """Drop the pieces met so far."""
+        self.known = Numbers()
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.lens = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -48,53 +59,72 @@ class TextEncoder:
         self.begin = np.concatenate([self.begin, self.used + np.cumsum(lens) - lens])
         self.lens = np.concatenate([self.lens, lens])
         self.used += len(ids)
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
 
     def encode(self, texts: list[str]):
         """The ids of each text, as uint32 arrays, in order."""
         for at in range(0, len(texts), 256):
-            pieces = [STRETCH.findall(t) for t in texts[at : at + 256]]
             if len(self.known) > self.limit or self.used > 8 * self.limit:
-                self._forget()
-            found = [np.array(list(map(self.known.get, p, repeat(-1))), np.int64) for p in pieces]
-            if new := {p[k] for p, f in zip(pieces, found) for k in np.flatnonzero(f < 0)}:
-                self._learn(list(new))
-                for p, f in zip(pieces, found):
-                    miss = np.flatnonzero(f < 0)
-                    f[miss] = [self.known[p[k]] for k in miss]
+                self.forget()
+            number = self.known.__getitem__
+            found = [np.fromiter(map(number, p), np.int64, len(p)) for p in map(self.cut, texts[at : at + 256])]
+            if new := len(self.known) - len(self.lens):
+                self._learn(list(islice(reversed(self.known), new))[::-1])
             for f in found:
                 yield self.pool[gather(self.begin[f], self.lens[f])]
 
 
-#: A stretch of white space, Latin letters and at most one sign.
-PLAIN = re.compile("[ \n\t\r]*([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+class Words:
+    """For a vocabulary with word ends that lower-cases and drops white space: texts as its words, words by its merges.
 
-
-def _plain_pieces(model, path: str, limit: int = 250_000):
-    """For a vocabulary that lower-cases and drops white space: ids of a plain stretch's letters and sign.
-
-    What such a vocabulary's normaliser and splitter make of them is known: the letters in lower case are one word, the
-    sign is another. So the library's merges alone are called, once for each word. None for other vocabularies.
+    Only texts of signs up to U+017F are cut into words, those whose lower case and classes are the same to every
+    library; others stay stretches, as do texts with an added token. A word's last token alone ends in the word-end
+    suffix, so many words go to the library's merges as one text and come back apart.
     """
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-    split = [p.get("pattern") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-    if steps != ["NFC", "Replace", "Lowercase"] or split[:1] != [{"Regex": WORD_PATTERN}] or len(split) != 2:
-        return None
-    merges, signs = model.model, printable_bytes()
-    latin = {c: "".join(signs[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
-    known: dict[str, list[int]] = {}
-
-    def word(w: str) -> list[int]:
-        found = known.get(w)
-        if found is None:
-            if len(known) >= limit:
-                known.clear()
-            found = known[w] = [t.id for t in merges.tokenize(w if w.isascii() else w.translate(latin))]
-        return found
-
-    return lambda letters, sign: word(letters.lower()) + word(sign) if sign else word(letters.lower())
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.suffix = spec["model"].get("end_of_word_suffix")
+        steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        split = [p.get("pattern") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.fits = bool(self.suffix) and steps == ["NFC", "Replace", "Lowercase"] and split[:1] == [{"Regex": WORD_PATTERN}] and len(split) == 2
+        if not self.fits:
+            return
+        signs = "\t\n\r" + "".join(chr(c) for c in [*range(32, 127), *range(0xA0, 0x180)] if c != 0x130)
+        of = lambda kind: "".join(c for c in signs if unicodedata.category(c)[0] == kind)
+        self.safe = re.compile("[" + re.escape(signs) + "]*")
+        self.word = re.compile(WORD_PATTERN.replace(r"\p{L}", of("L")).replace(r"\p{N}", of("N")))
+        small = "".join(c for c in of("L") if c == c.lower())
+        others = "".join(c for c in signs if not c.isspace() and unicodedata.category(c)[0] not in "LN")
+        #: What ``word`` finds in a text in lower case, alone.
+        self.plain = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{small}]+|[{of('N')}]|[{re.escape(others)}]+")
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.merges = Tokenizer.from_file(path)
+        self.merges.no_truncation()
+        self.merges.no_padding()
+        self.merges.normalizer = None
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = spec["model"]["vocab"]
+        self.last = np.zeros(max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith(self.suffix)]] = True
+
+    def cut(self, text: str) -> list[str]:
+        if self.safe.fullmatch(text) and not any(t in text for t in self.added):
+            return self.word.findall(text.lower())
+        return STRETCH.findall(text)
+
+    def ids(self, words: list[str], at_once: int = 2_000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
+        found = [np.zeros(0, np.int64)]
+        for at in range(0, len(words), at_once):
+            found.append(np.array(self.merges.encode_batch_fast([" ".join(words[at : at + at_once])], add_special_tokens=False)[0].ids, np.int64))
+        ids = np.concatenate(found)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the vocabulary's word ends don't part the words")
+        return ids, np.diff(ends, prepend=0)
 
 
 @lru_cache(maxsize=4)
@@ -107,24 +137,28 @@ def library_encoder(path: str) -> TextEncoder:
     model.no_truncation()
     model.no_padding()
 
-    def whole(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    pieces = _plain_pieces(model, path)
-
-    def encode_many(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids: list = [None] * len(texts)
-        if pieces:
-            for k, m in enumerate(map(PLAIN.fullmatch, texts)):
-                if m:
-                    ids[k] = pieces(m[1], m[2])
-        rest = [k for k, x in enumerate(ids) if x is None]
-        for k, x in zip(rest, whole([texts[k] for k in rest])):
-            ids[k] = x
+    def whole(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.int64, int(lens.sum())), lens
 
-    return TextEncoder(encode_many)
+    words = Words(path)
+    if not words.fits:
+        return TextEncoder(whole)
+
+    def encode_many(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.array([m is not None for m in map(words.plain.fullmatch, pieces)], bool)
+        if plain.all():
+            return words.ids(pieces)
+        parts = [words.ids([p for p, ok in zip(pieces, plain) if ok]), whole([p for p, ok in zip(pieces, plain) if not ok])]
+        order = np.argsort(~plain, kind="stable")
+        lens = np.zeros(len(pieces), np.int64)
+        lens[order] = np.concatenate([n for _, n in parts])
+        begin = np.zeros(len(pieces), np.int64)
+        begin[order] = np.cumsum(lens[order]) - lens[order]
+        return np.concatenate([i for i, _ in parts])[gather(begin, lens)], lens
+
+    return TextEncoder(encode_many, words.cut)
 
 
 @lru_cache(maxsize=4)
@@ -146,6 +180,9 @@ class RankEncoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.model = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
+    def forget(self) -> None:
+        """Nothing is kept between texts."""
+
     def encode(self, texts: list[str]):
         for text in texts:
             yield self.model.encode_to_numpy(text, allowed_special="all")
