@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import written
+from attestry.llm.common import removed, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -45,5 +45,6 @@ def components(links: DataFrame, purpose: str) -> DataFrame:
     if edges.isEmpty():
         return edges.toDF("node", "root")
     while not _is_star(edges):
-        edges = written(_small_star(_large_star(edges)), purpose)
+        before, edges = edges, written(_small_star(_large_star(edges)), purpose)
+        removed(before)
     return edges.toDF("node", "root")

@@ -1,8 +1,8 @@
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from attestry.llm import line_dedup, simhash
@@ -81,51 +81,88 @@ def test_one_of_each_group_stays(odd_documents):
     assert sorted(i for i in ids if i is not None) == [1, 3, 5, 6, 7, 9, 10] and None in ids
 
 
-def line_groups(docs):
-    lines, places = {}, []
-    for doc_id, text in docs:
-        for n, line in enumerate(text.split("\n")):
-            words = tuple(w for w in re.split(r"[\x00-/:-@\[-`{-\x7f]+", line.lower()) if w)
-            if words:
-                places.append((doc_id, n, lines.setdefault(words, len(lines))))
-    all_ = list(lines)
-
-    def sim(words):
-        h = [xxh64_intdigest(w.encode(), 42) for w in words]
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    a = np.array([sim(w) for w in all_], np.uint64)
-    edges = [(int(j), i) for i in range(len(a)) for j in np.flatnonzero(np.bitwise_count(a[:i] ^ a[i]) <= 3) if distance(all_[i], all_[j]) <= 0.2 * max(len(all_[i]), len(all_[j])) + 1e-9]
-    return places, parts(len(all_), edges), len(edges)
-
-
-def expected(docs):
-    places, root, links = line_groups(docs)
-    seen, gone = set(), {}
-    for doc_id, n, line in places:
+def words_of(line):
+    return tuple(w for w in re.split(r"[\x00-/:-@\[-`{-\x7f]+", line.lower()) if w)
+
+
+def distance(a, b, most):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        if min(new) > most:
+            return most + 1
+        row = new
+    return row[-1]
+
+
+def alike(a, b):
+    most = int(0.2 * max(len(a), len(b)) + 1e-9)
+    return abs(len(a) - len(b)) <= most and distance(a, b, most) <= most
+
+
+def similar_pairs(lines):
+    """All pairs of distinct lines with an edit similarity of 0.8, by edit distance alone: each shares one of its rarest words."""
+    count = Counter(w for x in lines for w in set(x))
+    lists = defaultdict(list)
+    for k, x in enumerate(lines):
+        for w in sorted(set(x), key=lambda w: (count[w], w))[: int(0.25 * len(x) + 1e-9) + 1]:
+            lists[w].append(k)
+    met = {(i, j) for v in lists.values() for j in v for i in v if i < j}
+    return {(i, j) for i, j in met if alike(lines[i], lines[j])}
+
+
+def lines_and_links(docs, **options):
+    """Distinct lines, the pairs of them that ``links`` finds, all similar pairs, and the places of every line."""
+    rows = sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect())
+    text = dict(rows)
+    lines, distinct = line_dedup.distinct_lines(docs)
+    of = {r.h: words_of(text[r.rep.id].split("\n")[r.rep.n]) for r in distinct.collect()}
+    number = {w: k for k, w in enumerate(sorted(set(of.values())))}
+    assert len(number) == len(of)
+    found = {tuple(sorted((number[of[r.a]], number[of[r.b]]))) for r in line_dedup.links(docs, distinct, **options).collect()}
+    places = [(d, n, number[w]) for d, t in rows for n, x in enumerate(t.split("\n")) if (w := words_of(x))]
+    return sorted(number), found, places, text
+
+
+def kept(places, text, root):
+    seen, gone = set(), defaultdict(set)
+    for d, n, line in places:
         if root[line] in seen:
-            gone.setdefault(doc_id, set()).add(n)
+            gone[d].add(n)
         seen.add(root[line])
-    return {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get(i, ())) for i, t in docs}, links
+    return {d: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[d]) for d, t in text.items()}
+
+
+@pytest.fixture(scope="module")
+def some_documents(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def line_links(some_documents):
+    return lines_and_links(some_documents)
+
+
+def test_line_links_against_edit_similarity_alone(line_links):
+    lines, found, _, _ = line_links
+    want = similar_pairs(lines)
+    assert len(want) > 300 and all(alike(lines[a], lines[b]) for a, b in found)
+    root = parts(len(lines), found)
+    assert sum(root[a] == root[b] for a, b in want) >= 0.97 * len(want)
+    longer = [(a, b) for a, b in want if len(lines[a]) >= 20]
+    assert sum(root[a] == root[b] for a, b in longer) >= 0.99 * len(longer)
 
 
-def test_line_dedup_against_brute_force(spark, documents):
-    docs = sorted((r.doc_id, r.text) for r in documents.select("doc_id", "text").collect())
-    want, links = expected(docs)
-    assert links > 0
-    assert {r.doc_id: r.text for r in line_dedup.dedup(documents).collect()} == want
+def test_first_line_of_each_group_stays(some_documents, line_links):
+    lines, found, places, text = line_links
+    got = {r.doc_id: r.text for r in line_dedup.dedup(some_documents).collect()}
+    assert got == kept(places, text, parts(len(lines), found))
 
 
-def test_line_dedup_of_a_crowd(spark):
+def crowd(spark, shared=0):
+    """Copies of one line with up to three words changed, and lines of one word repeated; ``shared`` lines have a passage in common."""
     rng = np.random.default_rng(4)
     base = [f"w{k}" for k in range(60)]
     docs = [(0, " ".join(base))]
@@ -134,10 +171,34 @@ def test_line_dedup_of_a_crowd(spark):
         for at in rng.integers(0, 60, 1 + k % 3):
             words[at] = f"v{int(rng.integers(0, 50))}"
         docs.append((k, " ".join(words) + "\n" + "again " * (k % 30 + 1)))
-    want, links = expected(docs)
-    assert links > 200
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert {r.doc_id: r.text for r in line_dedup.dedup(df).collect()} == want
+    for k in range(shared):
+        own = [f"x{int(v)}" for v in rng.integers(0, 400, 12)]
+        docs.append((1000 + k, " ".join([*own, *(f"p{j}" for j in range(28))])))
+    return spark.createDataFrame(docs, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("options", [{}, {"crowd": 4, "long_list": 8}, {"crowd": 1000, "long_list": 2}])
+def test_crowded_lists_lose_no_link(spark, options):
+    lines, found, places, text = lines_and_links(crowd(spark, 90), **options)
+    want = similar_pairs(lines)
+    assert len(want) > 200 and all(alike(lines[a], lines[b]) for a, b in found)
+    assert kept(places, text, parts(len(lines), found)) == kept(places, text, parts(len(lines), want))
+
+
+def test_words_of_one_sign_are_told_apart(spark):
+    """Lines just within and just beyond the similarity, with enough words that some share a sign."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(60):
+        base = [f"n{int(v)}" for v in rng.choice(200_000, 400, replace=False)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: 320 - k % 2] + [f"m{int(v)}" for v in rng.choice(200_000, 80 + k % 2, replace=False)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, distinct = line_dedup.distinct_lines(docs)
+    h = {r.rep.id: r.h for r in distinct.collect()}
+    near = spark.createDataFrame([(h[2 * k], h[2 * k + 1]) for k in range(60)], "a long, b long")
+    got = {(r.a, r.b) for r in line_dedup._verified(docs, distinct, near).collect()}
+    assert got == {(h[2 * k], h[2 * k + 1]) for k in range(60) if alike(*(tuple(rows[2 * k + j][1].split()) for j in (0, 1)))}
+    assert 0 < len(got) < 60
 
 
 def test_line_dedup_of_odd_documents(odd_documents):
@@ -149,10 +210,11 @@ def test_line_dedup_of_odd_documents(odd_documents):
     assert line_dedup.dedup(odd_documents.limit(0)).count() == 0
 
 
-def test_long_lines_have_the_same_simhash(spark):
-    words = [f"w{k % 5000}" for k in range(20_000)]
-    row = line_dedup.fingerprints(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).first()
-    h = np.array([xxh64_intdigest(w.encode(), 42) for w in words], np.uint64)
-    counts = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=int)
-    assert row.sim & (1 << 64) - 1 == int(np.packbits(2 * counts > len(words), bitorder="little").view("<u8")[0])
-    assert F is not None
+def test_votes_of_long_and_repetitive_lines_fit(spark):
+    rows = [(1, " ".join(f"w{k % 5000}" for k in range(200_000))), (2, "same " * 300_000)]
+    got = {r.id: r for r in line_dedup.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].k, got[2].k) == (200_000, 300_000)
+    assert sum(got[2][f"s{j}"] >> 34 for j in range(16)) == 1
+    h = np.array([xxh64_intdigest(f"w{k}", 42) for k in range(5000)], np.uint64)
+    for j in range(16):
+        assert got[1][f"s{j}"] == sum((int(x) & 0x15555555) + (1 << 34) for x in h if int(x) >> 60 == j)
