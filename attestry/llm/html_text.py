@@ -2,14 +2,18 @@
 
 The standard library's parser streams its events into lines, one for each block of a page. A line's ratio is
 its text's length against its tags; the ratios are smoothed with a Gaussian over neighbouring lines and parted
-in two clusters by a threshold. The lines above it mark the content regions. What is kept of a region is every
-line of the article, or else of the boxes that hold such lines, outside menus, site headers, footers, sidebars, notices, adverts, forms and comments, short ones too.
+in two clusters by a threshold. The lines above it are the content; the region is the smallest box of the page
+that holds most of their text, and what lies around it is dropped, whatever it is called. Inside the region short lines
+belong to the content too: those beside marked ones, those between the first and the last marked one, and headings.
+Structure trims: menus, site headers, footers, sidebars, notices, adverts, forms and comments are told by
+their tags and by whole names in class, id and role, and are no lines of the region.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -17,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.common import batch, table
+from attestry.llm.common import batch, slices, table
 
 #: HTML elements that begin a line of their own.
 BLOCKS = frozenset(
@@ -28,38 +32,66 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text isn't an article's.
 APART = frozenset("nav footer aside form script style noscript noembed template head title button select textarea iframe svg canvas object audio video dialog menu search datalist".split())
-#: Words in class, id and role attributes of such parts of a page.
+#: Names in class, id and role attributes of such parts of a page.
 APART_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar "
     "footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup social share sharing "
     "comment comments commentlist reply replies respond discussion disqus related recommended recommendations teaser widget toolbar pagination pager masthead login "
     "complementary contentinfo search skip".split()
 )
+#: The same for articles, which hold what they name, if they aren't lists of others.
+ARTICLE_WORDS = frozenset("comment comments teaser related ad".split())
 #: The same for site headers, which inside an article are its own heading.
 HEADER_WORDS = frozenset("header heading topbar".split())
+#: What such names are joined with (site-footer, cookie_bar) without meaning anything else.
+PLACE_WORDS = frozenset("site page main top bottom left right side bar box block list wrap wrapper container area section inner outer global primary secondary item items content link links button form icon icons label text".split())
 CONTENT = frozenset(["article", "main"])
-BOXES = frozenset(["body", "div", "section", "td", "table", "center"])
-_WORD = re.compile(r"[a-z]+")
+BOXES = frozenset(["body", "div", "section", "td", "th", "table", "center", "article", "main"])
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+_WORD = re.compile(r"[a-z0-9]+")
+
+
+def names(value: str, known: frozenset[str]) -> bool:
+    """Whether one of the names in an attribute is known as a whole: ``ad``, ``cookie-notice``, ``site-footer``; not ``ad-hoc``."""
+    for name in value.lower().split():
+        words = _WORD.findall(name)
+        if any(w in known for w in words) and all(w in known or w in PLACE_WORDS or w.isdigit() for w in words):
+            return True
+    return False
+
+
+@dataclass
+class Line:
+    """One block of text: its tags, characters inside links, whether it is apart, number of its box, whether a heading."""
+
+    text: str
+    tags: int
+    linked: int
+    apart: bool
+    box: int
+    heading: bool
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, number of tags, whether apart, number of the article or main that holds it (0: none), number of its box."""
+    """Lines of a page, and the tag and parent of each of its boxes; box 0 is the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int, int]] = []
-        # Tag, apart (1: with lines of its own, 2: inside a line, whose text goes on behind it), scope, box.
-        self.open: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]
+        self.lines: list[Line] = []
+        # Tag, apart (1: with lines of its own, 2: inside a line, whose text goes on behind it), inside an article or main, box.
+        self.open: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]
+        self.boxes: list[tuple[str, int]] = [("", -1)]
         self.parts: list[str] = []
-        self.tags = self.scopes = self.boxes = 0
+        self.tags = self.links = self.linked = 0
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                _, apart, scope, box = self.open[-1]
-                self.lines.append((text, max(1, self.tags), bool(apart), scope, box))
-                self.tags = 0
+                tag, apart, _, box = self.open[-1]
+                heading = tag in HEADINGS or any(o[0] in HEADINGS for o in self.open[-4:-1])
+                self.lines.append(Line(text, max(1, self.tags), self.linked, bool(apart), box, heading))
+                self.tags = self.linked = 0
             self.parts = []
 
     def handle_starttag(self, tag, attrs):
@@ -71,36 +103,35 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        _, apart, scope, box = self.open[-1]
+        if tag == "a":
+            self.links += 1
+        _, apart, inside, box = self.open[-1]
         if not apart:
-            apart = self._apart(tag, attrs, scope) and (1 if tag in BLOCKS else 2)
-        if tag in CONTENT and not scope and not apart:
-            self.scopes += 1
-            scope = self.scopes
+            apart = self._apart(tag, attrs, inside) and (1 if tag in BLOCKS else 2)
         if tag in BOXES:
-            self.boxes += 1
-            box = self.boxes
-        self.open.append((tag, apart, scope, box))
+            self.boxes.append((tag, box))
+            box = len(self.boxes) - 1
+        self.open.append((tag, apart, inside or tag in CONTENT, box))
 
     def handle_startendtag(self, tag, attrs):
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
             self.handle_endtag(tag)
 
-    def _apart(self, tag, attrs, scope: int) -> bool:
-        if tag in APART or tag == "header" and not scope:
+    def _apart(self, tag, attrs, inside: bool) -> bool:
+        if tag in APART or tag == "header" and not inside:
             return True
-        words: set[str] = set()
+        named = ""
         for name, value in attrs:
-            if name in ("class", "id", "role", "aria-label"):
-                words.update(_WORD.findall((value or "").lower()))
+            if name in ("class", "id", "role"):
+                named += f" {value or ''}"
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value or ""):
                 return True
+        if not named:
+            return False
         if tag in CONTENT or tag in ("body", "html"):
-            return bool(words & {"comment", "comments", "teaser", "related", "ad"}) and tag == "article"
-        return bool(words & APART_WORDS) or not scope and bool(words & HEADER_WORDS)
+            return tag == "article" and names(named, ARTICLE_WORDS)
+        return names(named, APART_WORDS) or not inside and names(named, HEADER_WORDS)
 
     def _imply_end(self, tag: str) -> None:
         """A block ends an open paragraph, an item the item before it."""
@@ -114,6 +145,8 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
+        if tag == "a" and self.links:
+            self.links -= 1
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
                 if tag in BLOCKS:
@@ -126,6 +159,8 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if self.open[-1][1] != 2:
             self.parts.append(data)
+            if self.links:
+                self.linked += len(data)
 
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -148,25 +183,57 @@ def threshold(values: np.ndarray, rounds: int = 20) -> float:
     return cut
 
 
-def main_text(html: str) -> str:
-    """Blocks of the main text joined by an empty line; empty where a page has none."""
+def region(lines: list[Line], boxes: list[tuple[str, int]], marked: np.ndarray, share: float = 0.8) -> list[bool]:
+    """Which lines are content: see the module's docstring. ``share``: of the marked text that the region's box holds.
+
+    Further articles of a page are regions of their own if the first is one, unless most of their text is links.
+    """
+    mass, direct = np.zeros(len(boxes)), np.zeros(len(boxes), bool)
+    for line, m in zip(lines, marked.tolist()):
+        if m:
+            mass[line.box] += len(line.text)
+            direct[line.box] = True
+    for b in range(len(boxes) - 1, 0, -1):  # a box follows its parent
+        mass[boxes[b][1]] += mass[b]
+    if not mass[0]:
+        return [False] * len(lines)
+    root = max(b for b in range(len(boxes)) if mass[b] >= share * mass[0])
+    whole = np.zeros(len(boxes), int)  # the article or main that a box lies in, or the region
+    for b, (tag, parent) in enumerate(boxes):
+        whole[b] = whole[parent] if b and whole[parent] else b if tag in CONTENT else 0
+    chosen: set[int] = set()
+    if whole[root]:
+        text, linked = np.zeros(len(boxes)), np.zeros(len(boxes))
+        for line in lines:
+            text[whole[line.box]] += len(line.text)
+            linked[whole[line.box]] += line.linked
+        first = int(whole[root])
+        chosen = {first} | {int(b) for b in set(whole.tolist()) - {0} if boxes[b][0] == boxes[first][0] and 2 * linked[b] < text[b]}
+        return [int(whole[line.box]) in chosen for line in lines]
+    inside = np.zeros(len(boxes), bool)
+    for b, (_, parent) in enumerate(boxes):
+        inside[b] = b == root or b > 0 and inside[parent]
+    titled = {line.box for line in lines if line.heading}
+    at = [k for k, (line, m) in enumerate(zip(lines, marked.tolist())) if m and inside[line.box]]
+    kept = [bool(inside[line.box]) and (at[0] <= k <= at[-1] or bool(direct[line.box]) or line.box in titled) for k, line in enumerate(lines)]
+    k = kept.index(True)
+    while k and lines[k - 1].heading:  # a title in a box of its own
+        k -= 1
+        kept[k] = True
+    return kept
+
+
+def main_text(html: str, cut=threshold) -> str:
+    """Blocks of the main text joined by an empty line; empty where a page has none. ``cut`` parts the smoothed ratios."""
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = [x for x in parser.lines if not x[2]]
+    lines = [x for x in parser.lines if not x.apart]
     if not lines:
         return ""
-    ratios = smoothed(np.array([len(t) / n for t, n, *_ in lines]))
-    content = ratios >= threshold(ratios)
-    scopes = np.array([x[3] for x in lines])
-    if scopes.any():
-        chosen = set(scopes[content & (scopes > 0)].tolist()) or {int(np.argmax(np.bincount(scopes, [len(x[0]) for x in lines])[1:])) + 1}
-        kept = [x[0] for x in lines if x[3] in chosen]
-    else:
-        boxes = {x[4] for x, marked in zip(lines, content.tolist()) if marked}
-        kept = [x[0] for x in lines if x[4] in boxes]
-    return "\n\n".join(kept)
+    ratios = smoothed(np.array([len(x.text) / x.tags for x in lines]))
+    return "\n\n".join(x.text for x, kept in zip(lines, region(lines, parser.boxes, ratios >= cut(ratios))) if kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -177,7 +244,7 @@ def extract(pages: DataFrame) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = [main_text(h) for h in b.column("html").to_pylist()]
             yield batch(schema, page_id=b.column("page_id"), url=b.column("url"), text=texts, n_chars=[len(t) for t in texts])
 
@@ -186,4 +253,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; see ``extract`` for its cases."""
     return extract(table(spark, sf_dir, "pages"))

@@ -16,6 +16,30 @@ def test_main_text():
     assert html_text.main_text(plain) == "Title\n\n" + ("Long text of the page. " * 10).strip() + "\n\nShort."
 
 
+LONG = "Words of a paragraph that goes on for a while, as they do in articles. " * 4
+
+
+def test_ratios_choose_the_region():
+    """No part has a tag or a name that tells what it is: ratios alone do."""
+    page = f"""<body><div class=x><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></div><div><h1>Title</h1></div><div><p>{LONG}</p><p>Ok.</p><div>Cell</div><p>{LONG}</p><p>End.</p></div>
+    <div><ul><li><a href=4>More</a></li><li><a href=5>Others</a></li></ul></div><div><p>All rights reserved.</p></div>"""
+    text = LONG.strip()
+    assert html_text.main_text(page) == "\n\n".join(["Title", text, "Ok.", "Cell", text, "End."])
+    assert html_text.main_text(page, lambda ratios: ratios.max() + 1) == ""
+    assert "All rights reserved." in html_text.main_text(page, lambda ratios: -1)
+    table = f"<body><table><tr><td>Menu</td></tr></table><table><tr><td>{LONG}</td><td>Short</td><td>{LONG}</td></tr></table><p>Foot</p>"
+    assert html_text.main_text(table) == "\n\n".join([text, "Short", text])
+    two = f"<body><article><p>{LONG}</p></article><article><p>Short one.</p></article><article><a href=1>Link</a></article><p>Foot.</p>"
+    assert html_text.main_text(two) == f"{text}\n\nShort one."
+
+
+def test_names_are_taken_whole():
+    for kept in ('class="ad-hoc"', 'id="search-for-life"', 'class="social-science"', 'class="related-work"', 'aria-label="Share of voters"'):
+        assert "Kept here." in html_text.main_text(f"<article><p>{LONG}</p><p {kept}>Kept here.</p></article>")
+    for gone in ('class="ad"', 'id="cookie-notice"', 'class="big site-footer"', 'class="ad_box left"', "role=search"):
+        assert "Gone" not in html_text.main_text(f"<article><p>{LONG}</p><div {gone}>Gone here.</div></article>")
+
+
 def test_pages_against_their_markup(spark):
     import html as H
     import re
@@ -26,7 +50,8 @@ def test_pages_against_their_markup(spark):
         inside = r.html[r.html.index("<article>") + 9 : r.html.index("</article>")]
         blocks = [" ".join(H.unescape(re.sub("<[^>]+>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1)>", inside)]
         assert got[r.page_id] == "\n\n".join(b for b in blocks if b)
-    odd = spark.createDataFrame([(1, None, None), (1, "u", ""), (None, "v", "<p>a" + "<b>" * 5000)], "page_id long, url string, html string").withColumn("text", F.lit(1))
+    odd = spark.createDataFrame([(1, None, None), (1, "u", ""), (None, "v", "<p>a" + "<b>" * 5000)], "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("text", "n_chars", "lines", "box")})
+    assert html_text.extract(odd.limit(0)).count() == 0
     assert sorted(r.n_chars for r in html_text.extract(odd).collect()) == [0, 0, 1]
 
 
