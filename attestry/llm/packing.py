@@ -5,6 +5,9 @@ the nearest documents that no window has used; they fill the window in order of
 where the window ends, and its rest opens the next window. When nothing related is left, the next unused
 document goes on. The counts behind the scores (documents with a term, documents, mean length) cover the
 whole corpus; only the postings are per shard, so a task holds the index of one shard at a time.
+
+A seed sees its own shard alone, so documents are dealt to shards by content: in the order of the rare ids that
+they hold (``kinship``), copies and documents that share such ids are neighbours.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm.bpe import gather
-from attestry.llm.common import batch, id_and_text, table, written
+from attestry.llm.common import batch, id_and_text, slices, table, written
 from attestry.llm.tokens import rank_encoder, vocabulary
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -30,22 +33,24 @@ class ShardIndex:
     """BM25 postings of one shard; ``documents`` are arrays of term ids, ``idf`` is by term id."""
 
     def __init__(self, documents: list[np.ndarray], idf: np.ndarray, mean_length: float, k1: float = 1.2, b: float = 0.75):
-        self.idf, self.docs = idf, len(documents)
+        self.docs = len(documents)
         lens = np.fromiter(map(len, documents), np.int64, len(documents))
-        flat = np.concatenate(documents).astype(np.int64)
-        pairs, tf = np.unique(np.repeat(np.arange(len(documents)), lens) * len(idf) + flat, return_counts=True)
-        doc, term = pairs // len(idf), pairs % len(idf)
-        weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[doc] / mean_length))
+        found = [np.unique(d, return_counts=True) for d in documents]
+        sizes = np.fromiter((len(t) for t, _ in found), np.int64, len(found))
         # A document's own terms, for its turn as a seed.
-        self.own = np.searchsorted(doc, np.arange(len(documents) + 1))
-        self.terms = term
-        order = np.argsort(term, kind="stable")
-        self._post(term[order], doc[order], weight[order])
+        self.own = np.concatenate([[0], np.cumsum(sizes)])
+        self.terms = np.concatenate([t for t, _ in found]).astype(np.int32)
+        doc = np.repeat(np.arange(len(documents), dtype=np.int32), sizes)
+        tf = np.concatenate([c for _, c in found]).astype(np.float32)
+        weight = (idf[self.terms] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[doc] / mean_length))).astype(np.float32)
+        order = np.argsort(self.terms, kind="stable")
+        self._post(self.terms[order], doc[order], weight[order])
 
     def _post(self, term: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> None:
         self.term, self.doc, self.weight, self.left = term, doc, weight, self.docs
-        bounds = np.searchsorted(term, np.arange(len(self.idf) + 1))
-        self.begin, self.count = bounds[:-1], np.diff(bounds)
+        # Postings of the n-th distinct term of the shard; a term's number is found by binary search.
+        self.known, begin = np.unique(term, return_index=True)
+        self.begin = np.append(begin, len(term))
 
     def ranked(self, seed: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with the seed, by the BM25 of all its terms, best first, ties by position.
@@ -58,7 +63,9 @@ class ShardIndex:
             self._post(self.term[stay], self.doc[stay], self.weight[stay])
             self.left = unused
         terms = self.terms[self.own[seed] : self.own[seed + 1]]
-        at = gather(self.begin[terms], self.count[terms])
+        k = np.minimum(np.searchsorted(self.known, terms), len(self.known) - 1)
+        k = k[self.known[k] == terms] if len(self.known) else k[:0]
+        at = gather(self.begin[k], self.begin[k + 1] - self.begin[k])
         score = np.bincount(self.doc[at], self.weight[at], self.docs)
         score[used] = 0
         found = np.flatnonzero(score)
@@ -108,32 +115,48 @@ def cuts(total: int, window: int) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
-def encode(docs: DataFrame, vocabulary_path: str, end_id: int) -> DataFrame:
-    """doc_id, ids (little-endian uint32) of each text and ``end_id``, by the byte-level rank file."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+def kinship(ids: np.ndarray, cost: np.ndarray) -> int:
+    """The three ids of least ``cost`` in a document, as one number: documents that share rare ids have them in common."""
+    low = np.argsort(cost[own := np.unique(ids)])[:3]
+    key = 0
+    for k in range(3):
+        key = key << 20 | (int(own[low[k]]) + 1 if k < len(low) else 0)
+    return key
+
+
+def costs(vocabulary_size: int) -> np.ndarray:
+    """A fixed random cost of each id, lower for ids late in the vocabulary, which merges made of rarer strings."""
+    return np.random.default_rng(2).exponential(1.0, vocabulary_size) / np.linspace(1e-3, 1.0, vocabulary_size) ** 2
+
+
+def encode(docs: DataFrame, vocabulary_path: str, end_id: int, vocabulary_size: int) -> DataFrame:
+    """doc_id, kin (see ``kinship``), ids (little-endian uint32) of each text and ``end_id``, by the byte-level rank file."""
+    schema = pa.schema([("doc_id", pa.int64()), ("kin", pa.int64()), ("ids", pa.binary())])
+    cost = costs(vocabulary_size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = rank_encoder(vocabulary_path)
-        for b in batches:
-            ids = [np.append(x, np.uint32(end_id)).astype("<u4").tobytes() for x in encoder.encode(b.column("text").to_pylist())]
-            yield batch(schema, doc_id=b.column("doc_id"), ids=ids)
+        for b in slices(batches):
+            ids = [np.append(x, np.uint32(end_id)).astype("<u4") for x in encoder.encode(b.column("text").to_pylist())]
+            yield batch(schema, doc_id=b.column("doc_id"), kin=[kinship(x, cost) for x in ids], ids=[x.tobytes() for x in ids])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, ids binary")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, kin long, ids binary")
 
 
-def pack(encoded: DataFrame, vocabulary_size: int, window: int = 2048, shard_docs: int = 2048) -> DataFrame:
-    """Pieces of the documents of ``encoded`` (doc_id, ids as uint32 with their end id): see ``PIECE``.
+def pack(encoded: DataFrame, vocabulary_size: int, window: int = 2048, shard_docs: int = 512, shard_tokens: int = 1 << 19) -> DataFrame:
+    """Pieces of the documents of ``encoded`` (doc_id, kin, ids as uint32 with their end id): see ``PIECE``.
 
     Every token of every row lies in one piece; repeated and null doc_ids are packed like others. Rows
-    without ids give no piece; no rows, no pieces. A shard is ``shard_docs`` rows of a task one after
-    another, so no row moves. The last window of a task ends as sequences of powers of two.
-    ``encoded`` must be stored, since its rows are read twice.
+    without ids give no piece; no rows, no pieces. Rows are put in order of ``kin`` by ranges, where rows of
+    one kin may lie in several tasks; a shard is the next rows of a task, up to ``shard_docs`` of them or the first
+    beyond ``shard_tokens`` tokens, so that its index is bounded whatever the texts. The last window of a task ends as
+    sequences of powers of two. ``encoded`` must be stored, since its rows are read more than once.
     """
     counted = pa.schema([("term", pa.int32()), ("docs", pa.int64()), ("rows", pa.int64()), ("tokens", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, rows, tokens = np.zeros(vocabulary_size, np.int64), 0, 0
-        for b in batches:
+        for b in slices(batches):
             for x in b.column("ids"):
                 ids = np.frombuffer(x.as_buffer(), "<u4")
                 docs[np.unique(ids)] += 1
@@ -186,24 +209,30 @@ def pack(encoded: DataFrame, vocabulary_size: int, window: int = 2048, shard_doc
 
         doc_ids: list = []
         documents: list[np.ndarray] = []
+        tokens_ = 0
         for b in batches:
             for d, x in zip(b.column("doc_id").to_pylist(), b.column("ids")):
-                ids = np.frombuffer(x.as_buffer(), "<u4")
+                # A copy: what is kept of a batch must not keep the batch.
+                ids = np.frombuffer(x.as_buffer(), "<u4").copy()
                 if len(ids):
                     doc_ids.append(d)
                     documents.append(ids)
-                if len(documents) >= shard_docs:
+                    tokens_ += len(ids)
+                if len(documents) >= shard_docs or tokens_ >= shard_tokens:
                     yield shard(doc_ids, documents, False)
-                    doc_ids, documents = [], []
+                    doc_ids, documents, tokens_ = [], [], 0
         yield shard(doc_ids, documents, True)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, PIECE)
+    near = encoded.withColumn("at", F.xxhash64("doc_id", F.length("ids"))).repartitionByRange("kin", "at").sortWithinPartitions("kin", "at")
+    return near.select("doc_id", "ids").mapInArrow(run, PIECE)
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
     """All of ``docs`` (doc_id, text; null text: empty) as the contract of operator 2 asks."""
-    return pack(written(encode(docs, vocabulary("byte_bpe_50k.tiktoken"), end_id=1), "packing"), vocabulary_size=50_257)
+    size = 50_257
+    return pack(written(encode(docs, vocabulary("byte_bpe_50k.tiktoken"), 1, size), "packing"), size)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 2048 tokens; see ``pack`` for its cases."""
     return pack_documents(table(spark, sf_dir, "documents"))
