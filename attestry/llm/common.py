@@ -51,6 +51,22 @@ def removed(table: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df``, stored and of rows of a fixed size of some 40 bytes, with a broadcast hint if it has at most ``rows``."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def joined(rows: DataFrame, named: DataFrame, keys: list[str], hot: int = 100_000) -> DataFrame:
+    """``rows`` joined with ``named``, which has one row a key and in ``copies`` how many of ``rows`` have it.
+
+    Keys of more than ``hot`` copies are broadcast, at most one for ``hot`` rows, so none of them fills a task; the others
+    meet by shuffle.
+    """
+    often = named.where(F.col("copies") > hot).drop("copies")
+    rest = named.where(F.col("copies") <= hot).drop("copies")
+    return rows.join(F.broadcast(often), keys).unionByName(rows.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(rest, keys))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most ``rows``, so that a task holds few rows as Python values at a time."""
     for b in batches:
