@@ -1,11 +1,12 @@
 """Operator 4: exact top-k inner products by norm-bucketed retrieval.
 
-Vectors are grouped by length, longest first. The group of the longest vectors gives each query a score that
-its k-th result reaches at least; a later group takes part only where the product of lengths can reach it. Inside
-a group, that score against the group's longest vector is a local cosine threshold: where it is high, the
-query's largest coordinates bound the same coordinates of any result (coordinate pruning); where it is low,
-the vectors are cut by length alone. What is left is verified by exact integer products. Groups of vectors and
-blocks of queries have bounded sizes, and each pair of them that isn't pruned is a task's work on its own.
+Vectors are grouped by length, in steps of a fixed ratio from the longest down. A bounded part of the longest
+gives each query a score that its k-th result reaches at least; queries are put in blocks by the length that this score
+asks of a vector, and of the other groups and blocks only those pairs meet whose greatest length reaches the least
+asked. Inside a pair, a query's score against the group's longest vector is a local cosine threshold. It bounds
+the values that a result's coordinates may have where the query's are largest; from the number of vectors inside
+these bounds and the number long enough, the cheaper of coordinate and length pruning is chosen for each query. What
+is left is verified by exact integer products. Parts of groups and blocks of queries have bounded sizes.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestry.llm.common import table, written
+from attestry.llm.common import small, table, written
 from attestry.llm.vectors import best, classes, expand, matrix, usable
 
 _EXACT = float(1 << 53)
@@ -45,36 +46,59 @@ class Group:
         self.order = np.argsort(-self.lengths, kind="stable")
         self.vectors, self.lengths = vectors[self.order], self.lengths[self.order]
         self.unit = self.vectors / np.maximum(self.lengths, 1e-300)[:, None]
+        self.low, self.high = self.unit.min(axis=0), self.unit.max(axis=0)
         self.by_coordinate: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def by_length(self, need: float) -> int:
+    def by_length(self, need: np.ndarray) -> np.ndarray:
         """How many vectors, from the longest, are at least ``need`` long."""
-        return int(np.searchsorted(-self.lengths, -need, side="right"))
-
-    def feasible(self, query: np.ndarray, cosine: float, focus: int) -> np.ndarray:
-        """Vectors whose ``focus`` coordinates allow ``cosine`` with the unit vector ``query``."""
-        hits = np.zeros(len(self.unit), np.int16)
-        for c in np.argsort(-np.abs(query), kind="stable")[:focus].tolist():
-            if c not in self.by_coordinate:
-                order = np.argsort(self.unit[:, c], kind="stable")
-                self.by_coordinate[c] = order, self.unit[order, c]
-            order, values = self.by_coordinate[c]
-            middle, reach = query[c] * cosine, np.sqrt(max(0.0, 1 - query[c] ** 2) * max(0.0, 1 - cosine**2))
-            a, b = np.searchsorted(values, [middle - reach - 1e-9, middle + reach + 1e-9])
-            hi = b if middle + reach < 1 and cosine > query[c] else len(values)
-            lo = a if middle - reach > -1 and cosine > -query[c] else 0
-            hits[order[lo:hi]] += 1
-        return np.flatnonzero(hits == min(focus, self.unit.shape[1]))
-
-
-def group_top(group: Group, queries: np.ndarray, floors: np.ndarray, first: np.ndarray, k: int, steep: float = 0.8, focus: int = 4):
+        return np.searchsorted(-self.lengths, -need, side="right")
+
+    def _sorted(self, c: int) -> tuple[np.ndarray, np.ndarray]:
+        if c not in self.by_coordinate:
+            order = np.argsort(self.unit[:, c], kind="stable")
+            self.by_coordinate[c] = order, self.unit[order, c]
+        return self.by_coordinate[c]
+
+    def spans(self, units: np.ndarray, cosines: np.ndarray, focus: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each unit query its ``focus`` largest coordinates, and the begin and end, in the order of that
+        coordinate, of the vectors whose value there allows the cosine."""
+        at = np.argsort(-np.abs(units), axis=1, kind="stable")[:, :focus]
+        value = np.take_along_axis(units, at, 1)
+        middle, reach = value * cosines[:, None], np.sqrt(np.maximum(0, 1 - value**2) * np.maximum(0, 1 - cosines[:, None] ** 2))
+        # Where the bound passes the end of the axis the sphere is cut on one side only.
+        low = np.where((middle - reach > -1) & (cosines[:, None] > -value), middle - reach - 1e-9, -2.0)
+        high = np.where((middle + reach < 1) & (cosines[:, None] > value), middle + reach + 1e-9, 2.0)
+        begin, end = np.zeros(at.shape, np.int64), np.full(at.shape, len(self.unit))
+        tight = (low > self.low[at]) | (high < self.high[at])
+        for c in np.unique(at[tight]).tolist():
+            values = self._sorted(c)[1]
+            some = tight & (at == c)
+            begin[some], end[some] = np.searchsorted(values, low[some]), np.searchsorted(values, high[some], side="right")
+        return at, begin, end
+
+    def feasible(self, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Vectors inside all spans of one query, looked for from the shortest on."""
+        left: np.ndarray | None = None
+        for k in np.argsort(end - begin, kind="stable").tolist():
+            if end[k] - begin[k] < len(self.unit):
+                values = self._sorted(int(at[k]))[1]
+                if left is None:
+                    left = self._sorted(int(at[k]))[0][begin[k] : end[k]]
+                elif len(left):
+                    own = self.unit[left, at[k]]
+                    left = left[(own >= (values[begin[k]] if begin[k] < len(values) else 2.0)) & (own <= (values[end[k] - 1] if end[k] else -2.0))]
+        return np.arange(len(self.unit)) if left is None else left
+
+
+def group_top(group: Group, queries: np.ndarray, floors: np.ndarray, first: np.ndarray, k: int, focus: int = 4, tally: dict | None = None):
     """(query, vector, score) of each query's ``k`` best in a group among those that reach its floor.
 
-    ``floors`` may be -inf. Ties go to the smaller ``first``.
+    ``floors`` may be -inf. Ties go to the smaller ``first``. ``tally`` counts products by the pruning that left them.
     """
     lengths = np.sqrt((queries * queries).sum(axis=1))
     longest = float(group.lengths[0])
-    local = np.where(floors > 0, floors / np.maximum(lengths * longest, 1e-300), -1.0)
+    asks = (floors > 0) & (lengths > 0)
+    local = np.where(asks, floors / np.maximum(lengths * longest, 1e-300), -1.0)
     out = []
     rank_first = first[group.order]
 
@@ -90,55 +114,65 @@ def group_top(group: Group, queries: np.ndarray, floors: np.ndarray, first: np.n
         few = np.arange(len(a)) - np.searchsorted(a, a) < k
         out.append((rows[a[few]], group.order[columns[b[few]]], score[few]))
 
-    wide = []
-    for r in range(len(queries)):
-        if local[r] > 1 + 1e-9:
-            continue
-        if local[r] >= steep:
-            columns = group.feasible(queries[r] / lengths[r], min(1.0, local[r]) - 1e-9, focus)
-            columns = columns[columns < group.by_length(floors[r] / lengths[r] * (1 - 1e-12))]
+    def counted(kind: str, n: int) -> None:
+        if tally is not None:
+            tally[kind] = tally.get(kind, 0) + n
+
+    reach = np.where(asks, group.by_length(np.where(asks, floors / np.maximum(lengths, 1e-300), 0.0) * (1 - 1e-12)), len(group.lengths))
+    reach[local > 1 + 1e-9] = 0
+    steep = np.flatnonzero((local > 0) & (reach > 0))
+    if len(steep):
+        at, begin, end = group.spans(queries[steep] / lengths[steep, None], np.minimum(1.0, local[steep]) - 1e-9, focus)
+        # A look-up costs as much as a few products; products of gathered vectors cost four times those of a block.
+        inside = (end - begin).min(axis=1)
+        cheaper = inside * (focus + 4 * queries.shape[1]) + 2_000 < reach[steep] * queries.shape[1]
+        for r, a, b, e in zip(steep[cheaper].tolist(), at[cheaper], begin[cheaper], end[cheaper]):
+            columns = group.feasible(a, b, e)
+            columns = columns[columns < reach[r]]
+            counted("coordinate", len(columns))
             if len(columns):
                 keep(np.array([r]), columns, products(queries[r : r + 1], group.vectors[columns]))
-        else:
-            wide.append(r)
+        reach[steep[cheaper]] = 0
     # The others in order of how many vectors their lengths leave, so that a block shares one cut.
-    reach = {r: group.by_length(floors[r] / lengths[r] * (1 - 1e-12)) if floors[r] > 0 and lengths[r] > 0 else len(group.lengths) for r in wide}
-    wide.sort(key=reach.__getitem__)
+    wide = np.flatnonzero(reach)
+    wide = wide[np.argsort(reach[wide], kind="stable")]
     step = max(1, 2_000_000 // len(group.lengths))
-    for at in range(0, len(wide), step):
-        rows = np.array(wide[at : at + step])
-        if n := reach[wide[min(at + step, len(wide)) - 1]]:
-            keep(rows, slice(0, n), products(queries[rows], group.vectors[:n]))
+    for lo in range(0, len(wide), step):
+        rows = wide[lo : lo + step]
+        n = int(reach[rows[-1]])
+        counted("length", n * len(rows))
+        keep(rows, slice(0, n), products(queries[rows], group.vectors[:n]))
     parts = list(zip(*out)) if out else [[np.zeros(0, np.int64)]] * 3
     return tuple(np.concatenate(p) for p in parts)
 
 
-def search(embeddings: DataFrame, every: int = 20, k: int = 20, group: int = 8_192, block: int = 4_096) -> DataFrame:
+def search(embeddings: DataFrame, every: int = 20, k: int = 20, group: int = 8_192, block: int = 4_096, ratio: float = 0.95, opening: int = 1_024) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` highest integer inner products of each row whose vec_id ``every`` divides.
 
     See ``vectors.usable`` for rows without part; zero vectors take part. Ties go to the smaller vec_id; a
     vec_id that repeats takes part with each of its rows, but is no candidate of a query of its own number.
-    Vectors of different lengths never meet. Scores beyond a long are its limits.
+    Vectors of different lengths never meet. Scores beyond a long are its limits. ``ratio``: of the shortest to the
+    longest vector of a group; ``opening``: at least so many of the longest vectors, if there are, give the first scores.
     """
     rows = usable(embeddings, nonzero=False)
     total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + F.pow(F.floor(F.lit(64.0) * x.cast("double")).cast("double"), F.lit(2.0)))
     index = written(classes(rows, k + 1).withColumn("dim", F.size("embedding")).withColumn("length", F.sqrt(total)), "mips-classes")
-    groups = max(1, -(-index.count() // group))
-    bounds = sorted(set(index.stat.approxQuantile("length", [n / groups for n in range(1, groups)], 0.1 / groups)), reverse=True) if groups > 1 else []
-    # The number of the group: how many of the descending bounds lie above the length. Equal lengths share a
-    # group however many they are, so a hash cuts large groups into parts.
-    number = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b > F.col("length"))) if bounds else F.lit(0)
-    index_ = index.withColumn("g", number.cast("int"))
-    sizes = index_.groupBy("dim", "g").agg(F.ceil(F.count("*") / (2 * group)).cast("int").alias("m"), F.max("length").alias("longest"))
-    sizes = written(sizes, "mips-groups")
+    longest = index.groupBy("dim").agg(F.max("length").alias("top"))  # one row a length of vectors
+    # A group's number follows from the length alone; those of length under a 10^9th of the longest share the last.
+    last = int(np.ceil(np.log(1e9) / -np.log(ratio)))
+    steps = F.floor(F.log(F.col("top") / F.greatest(F.col("length"), F.col("top") * 1e-9)) / float(-np.log(ratio)))
+    number = F.when(F.col("length") > 0, F.least(F.lit(last), steps)).otherwise(F.lit(last)).cast("int")
+    grouped = index.join(F.broadcast(longest), "dim").withColumn("g", number)
+    # Some 400 rows a length of vectors. Equal lengths share a group however many they are, so a hash cuts it into parts.
+    sizes = grouped.groupBy("dim", "g").agg(F.count("*").alias("n"), F.ceil(F.count("*") / group).cast("int").alias("m"), F.max("length").alias("longest"))
+    before = F.sum("n").over(Window.partitionBy("dim").orderBy("g").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = written(sizes.withColumn("opens", F.coalesce(before, F.lit(0)) < opening).drop("n"), "mips-groups")
+    placed = grouped.join(F.broadcast(sizes), ["dim", "g"]).withColumn("i", F.pmod(F.xxhash64("c1", F.lit(2)), "m").cast("int"))
+    placed = placed.select("dim", "g", "i", (F.col("opens") & (F.col("i") == 0)).alias("opens"), "c1", "c2", "first", "embedding")
+
     queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "c1", "c2")
     asked = index.join(queries.select("c1", "c2").distinct(), ["c1", "c2"], "left_semi")
-    blocks = max(1, -(-asked.count() // block))
-    asked = asked.select(F.col("c1").alias("q1"), F.col("c2").alias("q2"), "dim", "length", "embedding", F.pmod(F.xxhash64("c1", F.lit(1)), F.lit(blocks)).cast("int").alias("j"))
-    asked = written(asked, "mips-queries")
-    placed = index_.join(F.broadcast(sizes.select("dim", "g", "m")), ["dim", "g"])
-    placed = placed.select("dim", "g", F.pmod(F.xxhash64("c1", F.lit(2)), "m").cast("int").alias("i"), "c1", "c2", "first", "embedding")
-    placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = written(asked.select(F.col("c1").alias("q1"), F.col("c2").alias("q2"), "dim", "length", "embedding"), "mips-queries")
     out = pa.schema([("q1", pa.int64()), ("q2", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("first", pa.int64()), ("score", pa.int64())])
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -149,26 +183,35 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, group: int = 8_1
         q, x = pa.array(q), pa.array(x)
         return pa.table([right["q1"].take(q), right["q2"].take(q), left["c1"].take(x), left["c2"].take(x), left["first"].take(x), pa.array(score)], schema=out)
 
-    keys = ["dim", "g", "i", "j"]
-
-    def meet(groups_: DataFrame, asked_: DataFrame) -> DataFrame:
-        sent = asked_.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select(*keys, "q1", "q2", "embedding", "floor")
-        return groups_.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(verify, "q1 long, q2 long, c1 long, c2 long, first long, score long")
-
-    longest = sizes.groupBy("dim").agg(F.min("g").alias("g"))
-    head = sizes.join(longest, ["dim", "g"])
-    started = asked.join(F.broadcast(head), "dim").withColumn("floor", F.lit(float("-inf")))
-    opening = written(meet(placed.join(F.broadcast(longest), ["dim", "g"], "left_semi"), started), "mips-opening")
+    def blocks(asked_: DataFrame) -> DataFrame:
+        """q1, q2, dim, floor, need (the length that the floor asks of a vector), embedding, r, j: queries of like need in blocks."""
+        need = F.when((F.col("floor") > 0) & (F.col("length") > 0), F.col("floor") / F.col("length") * (1 - 1e-9)).otherwise(F.lit(0.0))
+        rated = asked_.withColumn("need", need).join(F.broadcast(longest), "dim")
+        rated = written(rated.withColumn("r", F.floor(F.least(F.lit(1.0), F.col("need") / F.greatest("top", F.lit(1e-300))) * 64).cast("int")).drop("top", "length"), "mips-asked")
+        cuts = rated.groupBy("dim", "r").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts"))  # at most 65 rows a length of vectors
+        return rated.join(F.broadcast(cuts), ["dim", "r"]).withColumn("j", F.pmod(F.xxhash64("q1", F.lit(1)), "cuts").cast("int")).drop("cuts")
+
+    def meet(parts: DataFrame, asked_: DataFrame) -> DataFrame:
+        """Parts and blocks whose bounds allow a result: the pairs are chosen before any vector is copied."""
+        held = blocks(asked_)
+        least = held.groupBy("dim", "r", "j").agg(F.min("need").alias("need"))
+        found_ = parts.select("dim", "g", "i").distinct().join(F.broadcast(sizes.select("dim", "g", "longest")), ["dim", "g"])
+        pairs = small(written(found_.join(least, "dim").where(F.col("longest") >= F.col("need")).select("dim", "g", "i", "r", "j"), "mips-pairs"))
+        keys = ["dim", "g", "i", "r", "j"]
+        left = parts.drop("opens").join(pairs, ["dim", "g", "i"]).groupBy(*keys)
+        right = held.select("dim", "r", "j", "q1", "q2", "embedding", "floor").join(pairs, ["dim", "r", "j"]).groupBy(*keys)
+        return left.cogroup(right).applyInArrow(verify, "q1 long, q2 long, c1 long, c2 long, first long, score long")
+
+    first_ = written(meet(placed.where("opens"), asked.withColumn("floor", F.lit(float("-inf")))), "mips-opening")
     # The k-th other result scores at least what the (k + 1)-th class of the opening does.
-    floor = best(opening, ["q1", "q2"], k + 1, F.desc("score"), F.col("first")).groupBy("q1", "q2").agg(F.when(F.count("*") > k, F.min("score")).cast("double").alias("floor"))
+    floor = best(first_, ["q1", "q2"], k + 1, F.desc("score"), F.col("first")).groupBy("q1", "q2").agg(F.when(F.count("*") > k, F.min("score")).cast("double").alias("floor"))
     later = asked.join(floor, ["q1", "q2"], "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    later = later.join(F.broadcast(sizes.join(longest, ["dim", "g"], "left_anti")), "dim").where(F.col("length") * F.col("longest") * (1 + 1e-9) >= F.col("floor"))
-    rest = meet(placed.join(F.broadcast(longest), ["dim", "g"], "left_anti"), later)
-    tops = best(opening.union(rest), ["q1", "q2"], k + 1, F.desc("score"), F.col("first")).drop("rank")
+    tops = best(first_.union(meet(placed.where("not opens"), later)), ["q1", "q2"], k + 1, F.desc("score"), F.col("first")).drop("rank")
     return expand(tops, queries, index, k)
 
 
 def op4_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty highest products of every twentieth row; see ``search`` for its cases."""
     return search(table(spark, sf_dir, "embeddings"))
 
 
