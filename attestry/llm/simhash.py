@@ -1,14 +1,16 @@
 """Operator 3: SimHash near-duplicates through a byte-position inverted index with count filtering.
 
-Two fingerprints of 8 bytes that differ in at most 2 bits share at least 6 of the 8 positional bytes. Lists
-by one positional byte would be a 256th of the corpus each, and pairs would grow with its square; so an index
-key joins the bytes of two of four 2-byte positions, of which any such pair shares at least one key. For a
-pair from a list, the shared positional bytes are tallied; pairs with 6 or more are verified bit by bit.
+Two fingerprints of 8 bytes that differ in at most 2 bits share at least 6 of the 8 positional bytes. A posting
+list of one positional byte would hold a 256th of the corpus, and its pairs would grow with the square; so a posting
+is four positional bytes, and the 14 sets of four positions are those whose numbers have the exclusive or 0. Any
+6 positions hold exactly 3 of these sets, any 5 at most 1: for each pair the shared postings are tallied, pairs
+with 3 or more, the guaranteed minimum, are those that share 6 positional bytes, and these are verified bit by bit.
 
 Work is on distinct fingerprints, so copies never meet as pairs. Lists longer than ``LONG_LIST`` give no
-pairs: their members write down every one-bit change of their other bits, and members with a change in
-common are at most two bits apart and, reversely, two bits apart have one in common. At most 33 members
-share a change, so links from each to the smallest of them stay in proportion to the members.
+pairs: their members write down every one-bit change of themselves, and members with a change in common are at most two
+bits apart and, reversely, two bits apart have one in common. At most 65 members share a change, so links from each
+to the smallest of them stay in proportion to the members. A pair within 2 bits either shares a long list, or all
+of its shared postings are tallied.
 """
 
 from __future__ import annotations
@@ -22,19 +24,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm import shingle_sets
-from attestry.llm.common import batch, id_and_text, table, written
+from attestry.llm.common import batch, id_and_text, joined, slices, table, written
 from attestry.llm.graph import components
 
 LONG_LIST = 64
-_BLOCKS = [0xFFFF << 16 * k for k in range(4)]
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-#: The index keys: two of the four blocks each, as masks.
-KEYS = [_signed(a | b) for a, b in combinations(_BLOCKS, 2)]
+#: The sets of four byte positions that make a posting.
+POSTINGS = [p for p in combinations(range(8), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0]
+#: Postings that fingerprints with 6 equal positional bytes share at least.
+LEAST_SHARED = 3
+_MASKS = [_signed(sum(0xFF << 8 * k for k in p)) for p in POSTINGS]
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -61,42 +63,50 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield batch(schema, doc_id=b.column("doc_id"), th=b.column("th"), fp=[_signed(fingerprint(t, shingle)) for t in b.column("text").to_pylist()])
 
     return id_and_text(docs).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
+def postings(fps: DataFrame) -> DataFrame:
+    """n, key, fp: each of the distinct ``fp`` values once in each of its 14 lists."""
+    keys = F.array(*[F.struct(F.lit(n).alias("n"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for n, m in enumerate(_MASKS)])
+    return fps.select("fp", F.explode(keys).alias("k")).select("k.*", "fp")
+
+
+def tallied(lists: DataFrame) -> DataFrame:
+    """a, b, shared: how many of the ``lists`` (n, key, fp) each pair that meets has in common."""
+    pairs = lists.withColumnRenamed("fp", "a").join(lists.withColumnRenamed("fp", "b"), ["n", "key"]).where("a < b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
 def links(fps: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     """a, b: links that connect exactly those of the distinct ``fp`` values that are within 2 bits.
 
     Every pair within 2 bits is linked, directly or, in long lists, through common neighbours of both.
     """
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("n"), F.lit(m).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(KEYS)])).alias("k")).select("fp", "k.*")
-    lists = keyed.groupBy("n", "key").agg(F.count("*").alias("size")).where("size > 1")
-    keyed = written(keyed.join(lists, ["n", "key"]), "simhash-lists")
+    posted = postings(fps)
+    sizes = posted.groupBy("n", "key").agg(F.count("*").alias("size")).where("size > 1")
+    lists = written(posted.join(sizes, ["n", "key"]), "simhash-lists")
 
-    short = keyed.where(F.col("size") <= long_list).select("n", "key", "fp")
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    shared = sum((F.shiftrightunsigned(x, 8 * p).bitwiseAND(F.lit(255)) == 0).cast("int") for p in range(8))
-    pairs = short.withColumnRenamed("fp", "a").join(short.withColumnRenamed("fp", "b"), ["n", "key"])
-    near = pairs.where("a < b").where(shared >= 6).where(F.bit_count(x) <= 2).select("a", "b")
+    pairs = tallied(lists.where(F.col("size") <= long_list).select("n", "key", "fp")).where(F.col("shared") >= LEAST_SHARED)
+    near = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).select("a", "b")
 
-    long = keyed.where(F.col("size") > long_list)
     bits = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << k)) for k in range(64)])
-    changed = long.select("n", "key", "fp", F.explode(F.filter(bits, lambda b: b.bitwiseAND(F.col("mask")) == 0)).alias("bit"))
-    changed = changed.select("n", "fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("change"))
-    smallest = changed.groupBy("n", "change").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z")
-    stars = changed.join(smallest.drop("z"), ["n", "change"]).where("a <> fp").select("a", F.col("fp").alias("b"))
-    return near.union(stars)
+    changed = lists.where(F.col("size") > long_list).select("fp").distinct().select("fp", F.explode(bits).alias("bit"))
+    changed = changed.select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("change"))
+    smallest = changed.groupBy("change").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z")
+    stars = changed.join(smallest.drop("z"), "change").where("a <> fp").select("a", F.col("fp").alias("b"))
+    return near.union(stars.distinct())
 
 
 def _rooted(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """Stored fingerprints of every row, and fp, first, root of every distinct fingerprint."""
+    """Stored fingerprints of every row, and fp, first, copies, root of every distinct fingerprint."""
     found = written(fingerprints(docs, shingle), "simhash")
-    distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "simhash-distinct")
     root = components(links(distinct.select("fp")), "simhash-links")
-    return found, distinct.join(root, distinct.fp == root.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return found, distinct.join(root, distinct.fp == root.node, "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root"))
 
 
 def groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -106,7 +116,7 @@ def groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """
     found, rooted = _rooted(docs, shingle)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return found.join(rooted.select("fp", "root").join(least, "root").drop("root"), "fp").select("doc_id", "fp", "component_id")
+    return joined(found, rooted.select("fp", "copies", "root").join(least, "root").drop("root"), ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, small: int = 1_000_000, similarity: float | None = None) -> DataFrame:
@@ -120,7 +130,7 @@ def one_of_each(docs: DataFrame, shingle: int = 3, small: int = 1_000_000, simil
     found, rooted = _rooted(docs, shingle) if similarity is None else shingle_sets.rooted(docs, shingle, similarity)
     last = F.lit((1 << 63) - 1)
     rows = found.select(F.coalesce("doc_id", last).alias("id"), "th", "fp")
-    kept = rows.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct("id", "th")).alias("row")).select("row.*")
+    kept = joined(rows, rooted.select("fp", "copies", "root"), ["fp"]).groupBy("root").agg(F.min(F.struct("id", "th")).alias("row")).select("row.*")
     kept = written(kept, "simhash-kept")
     id_, th = F.coalesce(F.col("doc_id").cast("long"), last), F.xxhash64(F.coalesce("text", F.lit("")))
     named = docs.select(F.struct(*docs.columns).alias("row"), id_.alias("id"), th.alias("th"))
@@ -131,5 +141,6 @@ def one_of_each(docs: DataFrame, shingle: int = 3, small: int = 1_000_000, simil
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; see ``groups`` for its cases."""
     found = groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

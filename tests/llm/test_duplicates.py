@@ -73,6 +73,24 @@ def test_links_lose_none_of_any_list(spark, long_list):
     assert got == parts(len(values), [(i, int(j)) for i in range(len(a)) for j in np.flatnonzero(np.bitwise_count(a ^ a[i]) <= 2)])
 
 
+def test_tally_is_the_guaranteed_minimum(spark):
+    """Pairs are tallied 3 times or more exactly if they share 6 positional bytes; the count rejects others that met."""
+    assert len(simhash.POSTINGS) == 14
+    rng = np.random.default_rng(6)
+    values = set()
+    for base in rng.integers(0, 1 << 62, 8).tolist():
+        for _ in range(30):
+            change = sum(int(rng.integers(1, 256)) << 8 * int(k) for k in rng.choice(7, int(rng.integers(0, 5)), replace=False))
+            values.add(base ^ change)
+    values = sorted(values)
+    bytes_ = np.array(values, np.int64).view(np.uint8).reshape(-1, 8)
+    same = (bytes_[:, None] == bytes_[None]).sum(axis=2)
+    want = {(values[i], values[j]) for i, j in zip(*np.nonzero(same >= 6)) if i < j}
+    rows = simhash.tallied(simhash.postings(spark.createDataFrame([(v,) for v in values], "fp long"))).collect()
+    assert {(r.a, r.b) for r in rows if r.shared >= simhash.LEAST_SHARED} == want
+    assert len(rows) > len(want) > 0
+
+
 def test_one_of_each_group_stays(odd_documents):
     kept = simhash.one_of_each(odd_documents)
     assert kept.columns == odd_documents.columns
@@ -118,7 +136,7 @@ def lines_and_links(docs, **options):
     rows = sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect())
     text = dict(rows)
     lines, distinct = line_dedup.distinct_lines(docs)
-    of = {r.h: words_of(text[r.rep.id].split("\n")[r.rep.n]) for r in distinct.collect()}
+    of = {r.h: words_of(text[r.id].split("\n")[r.n]) for r in distinct.collect()}
     number = {w: k for k, w in enumerate(sorted(set(of.values())))}
     assert len(number) == len(of)
     found = {tuple(sorted((number[of[r.a]], number[of[r.b]]))) for r in line_dedup.links(docs, distinct, **options).collect()}
@@ -194,7 +212,7 @@ def test_words_of_one_sign_are_told_apart(spark):
         rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: 320 - k % 2] + [f"m{int(v)}" for v in rng.choice(200_000, 80 + k % 2, replace=False)]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     _, distinct = line_dedup.distinct_lines(docs)
-    h = {r.rep.id: r.h for r in distinct.collect()}
+    h = {r.id: r.h for r in distinct.collect()}
     near = spark.createDataFrame([(h[2 * k], h[2 * k + 1]) for k in range(60)], "a long, b long")
     got = {(r.a, r.b) for r in line_dedup._verified(docs, distinct, near).collect()}
     assert got == {(h[2 * k], h[2 * k + 1]) for k in range(60) if alike(*(tuple(rows[2 * k + j][1].split()) for j in (0, 1)))}
