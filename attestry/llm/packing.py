@@ -117,34 +117,41 @@ def cuts(total: int, window: int) -> np.ndarray:
 
 def kinship(ids: np.ndarray, cost: np.ndarray) -> int:
     """The three ids of least ``cost`` in a document, as one number: documents that share rare ids have them in common."""
-    low = np.argsort(cost[own := np.unique(ids)])[:3]
+    own = np.unique(ids)
+    low = np.argpartition(cost[own], min(3, len(own) - 1))[:3] if len(own) else own
+    low = low[np.argsort(cost[own[low]])]
     key = 0
     for k in range(3):
         key = key << 20 | (int(own[low[k]]) + 1 if k < len(low) else 0)
     return key
 
 
+def width(vocabulary_size: int) -> str:
+    """Little-endian unsigned integers that hold the ids of a vocabulary."""
+    return "<u2" if vocabulary_size <= 1 << 16 else "<u4"
+
+
 def costs(vocabulary_size: int) -> np.ndarray:
     """A fixed random cost of each id, lower for ids late in the vocabulary, which merges made of rarer strings."""
     return np.random.default_rng(2).exponential(1.0, vocabulary_size) / np.linspace(1e-3, 1.0, vocabulary_size) ** 2
 
 
 def encode(docs: DataFrame, vocabulary_path: str, end_id: int, vocabulary_size: int) -> DataFrame:
-    """doc_id, kin (see ``kinship``), ids (little-endian uint32) of each text and ``end_id``, by the byte-level rank file."""
+    """doc_id, kin (see ``kinship``), ids of each text and ``end_id``, by the byte-level rank file; ids as ``width`` says."""
     schema = pa.schema([("doc_id", pa.int64()), ("kin", pa.int64()), ("ids", pa.binary())])
     cost = costs(vocabulary_size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = rank_encoder(vocabulary_path)
         for b in slices(batches):
-            ids = [np.append(x, np.uint32(end_id)).astype("<u4") for x in encoder.encode(b.column("text").to_pylist())]
+            ids = [np.append(x, np.uint32(end_id)).astype(width(vocabulary_size)) for x in encoder.encode(b.column("text").to_pylist())]
             yield batch(schema, doc_id=b.column("doc_id"), kin=[kinship(x, cost) for x in ids], ids=[x.tobytes() for x in ids])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, kin long, ids binary")
 
 
 def pack(encoded: DataFrame, vocabulary_size: int, window: int = 2048, shard_docs: int = 512, shard_tokens: int = 1 << 19) -> DataFrame:
-    """Pieces of the documents of ``encoded`` (doc_id, kin, ids as uint32 with their end id): see ``PIECE``.
+    """Pieces of the documents of ``encoded`` (doc_id, kin, ids with their end id, as ``encode`` gives them): see ``PIECE``.
 
     Every token of every row lies in one piece; repeated and null doc_ids are packed like others. Rows
     without ids give no piece; no rows, no pieces. Rows are put in order of ``kin`` by ranges, where rows of
@@ -158,7 +165,7 @@ def pack(encoded: DataFrame, vocabulary_size: int, window: int = 2048, shard_doc
         docs, rows, tokens = np.zeros(vocabulary_size, np.int64), 0, 0
         for b in slices(batches):
             for x in b.column("ids"):
-                ids = np.frombuffer(x.as_buffer(), "<u4")
+                ids = np.frombuffer(x.as_buffer(), width(vocabulary_size))
                 docs[np.unique(ids)] += 1
                 rows, tokens = rows + 1, tokens + len(ids)
         seen = np.flatnonzero(docs)
@@ -199,7 +206,7 @@ def pack(encoded: DataFrame, vocabulary_size: int, window: int = 2048, shard_doc
             for k, a, b, s, o in zip(owner.tolist(), begins.tolist(), points.tolist(), seq.tolist(), opens.tolist()):
                 doc_id, ids, start = held[k]
                 start += a - int(ends[k] - lens[k])
-                values = doc_id, start, b - a, zlib.crc32(ids[start : start + b - a]), len(ids), sequence + s, a - o
+                values = doc_id, start, b - a, zlib.crc32(ids[start : start + b - a].astype("<u4")), len(ids), sequence + s, a - o
                 for c, v in zip(out.values(), values):
                     c.append(v)
             first = int(np.searchsorted(ends, closed, side="right"))
@@ -213,7 +220,7 @@ def pack(encoded: DataFrame, vocabulary_size: int, window: int = 2048, shard_doc
         for b in batches:
             for d, x in zip(b.column("doc_id").to_pylist(), b.column("ids")):
                 # A copy: what is kept of a batch must not keep the batch.
-                ids = np.frombuffer(x.as_buffer(), "<u4").copy()
+                ids = np.frombuffer(x.as_buffer(), width(vocabulary_size)).copy()
                 if len(ids):
                     doc_ids.append(d)
                     documents.append(ids)
