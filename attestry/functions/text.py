@@ -145,19 +145,46 @@ def find(needle: Column, text: Column, at: Column | int = 0) -> Column:
     return F.call_function("locate", needle, text, F.lit(at) + 1) - 1
 
 
+def quoted(text: Column) -> Column:
+    """A regex that matches a text as it is."""
+    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E"))
+
+
+def running(values: Column, zero: int = 0, join=lambda a, b: a + b) -> Column:
+    """What ``join`` makes of all values before each; one element more than ``values``, for all of them.
+
+    By blocks of 64, so that an array of n costs n * (64 + n / 64) steps, and nothing is copied step by step.
+    """
+    all_ = lambda part: F.aggregate(part, F.lit(zero), join)
+
+    def of(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / 64).cast("int")), lambda b: all_(F.slice(v, b * 64 + 1, F.lit(64))))
+        places = F.sequence(F.lit(0), F.size(v))
+        upto = lambda done, k: join(all_(F.slice(done, F.lit(1), F.floor(k / 64).cast("int"))), all_(F.slice(v, F.floor(k / 64).cast("int") * 64 + 1, k % 64)))
+        return let(blocks, lambda done: F.transform(places, lambda k: upto(done, k)))
+
+    return let(values, of)
+
+
 def occurrences(text: Column, quote: Column) -> Column:
-    """Zero-based starts of every occurrence, overlapping ones too; none for an empty or longer quote."""
-    span = F.length(text) - F.length(quote)
-    starts = F.when((span >= 0) & (F.length(quote) > 0), F.sequence(F.lit(0), span)).otherwise(F.array().cast("array<int>"))
-    return F.filter(starts, lambda i: F.substring(text, i + 1, F.length(quote)) == quote)
+    """Zero-based starts of every occurrence, overlapping ones too; none for an empty or longer quote.
+
+    A look-ahead for the quote cuts the text where it begins: every piece but the first is one, and the first if
+    the text begins with it.
+    """
+    pieces = F.transform(F.split(text, F.concat(F.lit("(?="), quoted(quote), F.lit(")")), -1), F.length)
+    begins = let(running(pieces), lambda r: F.slice(r, F.lit(1), F.size(r) - 1))
+    found = F.filter(begins, lambda i, k: (k > 0) | F.startswith(text, quote))
+    return F.when((F.length(quote) > 0) & (F.length(text) >= F.length(quote)), found).otherwise(F.array().cast("array<int>"))
 
 
 def separate_occurrences(text: Column, quote: Column) -> Column:
     """Zero-based starts of occurrences that don't overlap, from the left: the lengths between quotes, summed."""
-    pieces = F.split(text, F.concat(F.lit(r"\Q"), F.replace(quote, F.lit(r"\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E")), -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
-    walk = F.aggregate(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), start, lambda acc, p: F.struct((acc.at + F.length(p) + F.length(quote)).alias("at"), F.array_append(acc.found, acc.at + F.length(p)).alias("found")))
-    return F.when(F.length(quote) > 0, walk.found).otherwise(F.array().cast("array<int>"))
+    size = F.length(quote)
+    ends = let(F.transform(F.split(text, quoted(quote), -1), F.length), lambda n: running(F.transform(n, lambda x: x + size)))
+    # Each piece but the last is followed by a quote; the sums count one more for it.
+    found = let(ends, lambda e: F.transform(F.slice(e, F.lit(2), F.size(e) - 2), lambda x: x - size))
+    return F.when(size > 0, found).otherwise(F.array().cast("array<int>"))
 
 
 def escape_markdown(text: Column) -> Column:

@@ -13,6 +13,7 @@ search all of them exactly, in blocks, as do all queries among few rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +36,19 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x.reshape(n, d) / np.sqrt(d)
 
 
-def rotated(vectors: np.ndarray, number: int, seed: int = 20) -> np.ndarray:
+@lru_cache(maxsize=4096)
+def signs(number: int, size: int, seed: int = 20) -> np.ndarray:
+    """The random signs of the three rounds of a pseudo-rotation."""
+    return np.random.default_rng([seed, number, size]).choice([-1.0, 1.0], (3, size))
+
+
+def rotated(vectors: np.ndarray, number: int) -> np.ndarray:
     """The rows after pseudo-rotation ``number``, as wide as the next power of two."""
     n, d = vectors.shape
     size = 1 << max(0, d - 1).bit_length()
-    signs = np.random.default_rng([seed, number, size]).choice([-1.0, 1.0], (3, size))
     x = np.zeros((n, size))
     x[:, :d] = vectors
-    for s in signs:
+    for s in signs(number, size):
         x = hadamard(x * s)
     return x
 
@@ -56,26 +62,21 @@ def layout(rows: int, dim: int, fill: int = 4) -> list[int]:
 
 
 def cells(vectors: np.ndarray, table_number: int, axes: list[int], probes: int) -> np.ndarray:
-    """The ``probes`` cells of a table with the highest sum of products for each row, best first."""
+    """The ``probes`` cells of a table with the highest sum of products for each row, in no order."""
     number = np.zeros((len(vectors), 1), np.int64)
     score = np.zeros((len(vectors), 1))
     for k, width in enumerate(axes):
         x = rotated(vectors, 64 * table_number + k)[:, :width]
         both = np.concatenate([x, -x], axis=1)
         # The best sums are made of the best of both sides.
-        near = np.argsort(-both, axis=1, kind="stable")[:, :probes]
+        near = np.argmax(both, axis=1)[:, None] if probes == 1 else np.argpartition(-both, min(probes, 2 * width) - 1, axis=1)[:, :probes]
         score = (score[:, :, None] + np.take_along_axis(both, near, 1)[:, None, :]).reshape(len(x), -1)
         number = (number[:, :, None] * (2 * width) + near[:, None, :]).reshape(len(x), -1)
-        best_ = np.argsort(-score, axis=1, kind="stable")[:, :probes]
+        best_ = np.argpartition(-score, probes - 1, axis=1)[:, :probes] if probes < score.shape[1] else np.arange(score.shape[1])[None, :].repeat(len(score), 0)
         score, number = np.take_along_axis(score, best_, 1), np.take_along_axis(number, best_, 1)
     return number
 
 
-def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine of each row of ``a`` with the same row of ``b``: always summed in the same order."""
-    return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-
-
 def search(embeddings: DataFrame, every: int = 50, k: int = 5, tables: int = 18, width: float = 0.5, group: int = 32_768, few: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row whose vec_id ``every`` divides.
 
@@ -179,20 +180,21 @@ def nearest(x: np.ndarray, cell: np.ndarray, first: np.ndarray, q: np.ndarray, l
         stop = max(stop + 1, int(np.searchsorted(np.cumsum(met), at_once + (np.cumsum(met)[stop - 1] if stop else 0), side="right")))
         starts.append(min(stop, len(q)))
     out = []
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True) if whole else None
+    q_length, x_length = (np.sqrt(np.einsum("ij,ij->i", v, v)) for v in (q, x))
+    unit = x / x_length[:, None] if whole else None
     for lo, hi in zip(starts, starts[1:]):
         if whole:
             rough = q[lo:hi] @ unit.T
             keep = min(len(x), k + 3)
             near = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
             # Whatever is as near as the last of them, up to rounding, is a candidate too.
-            low = np.take_along_axis(rough, near, 1).min(axis=1) - 1e-9 * np.linalg.norm(q[lo:hi], axis=1)
+            low = np.take_along_axis(rough, near, 1).min(axis=1) - 1e-9 * q_length[lo:hi]
             a, b = np.nonzero(rough >= low[:, None])
             a = a + lo
         else:
             some = slice(*np.searchsorted(owner, [lo, hi]))
             a, b = np.repeat(owner[some], end[some] - begin[some]), order[gather(begin[some], end[some] - begin[some])]
-        exact = cosines(q[a], x[b])
+        exact = np.einsum("ij,ij->i", q[a], x[b]) / (q_length[a] * x_length[b])
         by = np.lexsort((first[b], -exact, a))
         a, b, exact = a[by], b[by], exact[by]
         few = np.arange(len(a)) - np.searchsorted(a, a) < k

@@ -65,6 +65,13 @@ QUESTIONS = {
     "action": "What action was actually taken? Explicitly state no action taken if applicable.",
     "plan": "What is the next step, with an owner and due time if known? Explicitly state no further action if applicable.",
 }
+#: What to ask about what a draft says.
+ASK_TIMES = "What were the times of the individual events?"
+ASK_YEAR = "What year applies to the supplied event date?"
+ASK_DATE = "What date applies to these events?"
+ASK_ZONE = "What time zone applies to the event times?"
+ASK_INITIALS = "What initials belong with each contacted agency?"
+ASK_OPEN = {s: f"What remains to be confirmed in {s.replace('_', ' ').upper()}? Preserve the stated uncertainty until confirmed." for s in L.SECTIONS}
 
 
 def questions(drafts: DataFrame) -> DataFrame:
@@ -81,11 +88,11 @@ def questions(drafts: DataFrame) -> DataFrame:
     stated = situation != ""
     joined = F.array_join(contacts, "; ")
     rules = [
-        F.when(stated & ~situation.rlike(L.TIME), "What were the times of the individual events?"),
-        F.when(stated & ~situation.rlike(L.DATE), F.when(situation.rlike(L.PARTIAL_DATE), "What year applies to the supplied event date?").otherwise("What date applies to these events?")),
-        F.when(stated & ~situation.rlike(L.ZONE), "What time zone applies to the event times?"),
-        F.when((joined != "") & ~joined.rlike(L.NO_CONTACT) & F.exists(contacts, lambda c: ~c.rlike(L.INITIALS)), "What initials belong with each contacted agency?"),
-        *[F.when(F.exists(facts(s), lambda t: t.rlike(L.UNCERTAIN)), f"What remains to be confirmed in {s.replace('_', ' ').upper()}? Preserve the stated uncertainty until confirmed.") for s in L.SECTIONS],
+        F.when(stated & ~situation.rlike(L.TIME), ASK_TIMES),
+        F.when(stated & ~situation.rlike(L.DATE), F.when(situation.rlike(L.PARTIAL_DATE), ASK_YEAR).otherwise(ASK_DATE)),
+        F.when(stated & ~situation.rlike(L.ZONE), ASK_ZONE),
+        F.when((joined != "") & ~joined.rlike(L.NO_CONTACT) & F.exists(contacts, lambda c: ~c.rlike(L.INITIALS)), ASK_INITIALS),
+        *[F.when(F.exists(facts(s), lambda t: t.rlike(L.UNCERTAIN)), ASK_OPEN[s]) for s in L.SECTIONS],
     ]
     asked = F.array_distinct(F.concat(default, F.map_values("confirms"), F.array_compact(F.array(*rules))))
     rows = drafts.select("id", missing.alias("missing_fields"), asked.alias("questions"), "issues", "confirms")
@@ -93,6 +100,24 @@ def questions(drafts: DataFrame) -> DataFrame:
     return rows.select("id", "missing_fields", "questions", F.when(open_, "needs_confirmation").otherwise("ready_for_human_review").alias("status"))
 
 
+def first_confirms(suggestions: DataFrame) -> DataFrame:
+    """id, confirms: a map of section to the confirmation of its first kept suggestion (id, section, place, confirm)."""
+    first = suggestions.groupBy("id", "section").agg(F.min_by("confirm", "place").alias("confirm"))
+    return first.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "confirm")))).alias("confirms"))
+
+
+def chunk_facts(records: DataFrame) -> DataFrame:
+    """id, section, ord, text, evidence: the facts of all chunks of a note in one table, in the order of chunk, section and place.
+
+    ``records``: id, chunk, facts (array of section, text, evidence). Chunks whose output failed have null facts and no rows.
+    """
+    order = {s: n for n, s in enumerate(L.SECTIONS)}
+    place = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
+    rows = records.select("id", "chunk", F.posexplode("facts").alias("n", "f"))
+    w = Window.partitionBy("id").orderBy("chunk", F.try_element_at(place, F.col("f.section")), "n")
+    return rows.select("id", "f.section", F.row_number().over(w).alias("ord"), "f.text", "f.evidence")
+
+
 def omitted_times(source: Column, retained: Column) -> Column:
     """Times of a source, in upper case and sorted, that the facts lack."""
     upper = lambda t: F.transform(T.times(t), F.upper)

@@ -9,18 +9,43 @@ from attestry.functions import lexicon as L
 from attestry.functions import text as T
 
 
+#: A control sign that marks finds while a text is cut; one that a text has itself is doubled as its own letter.
+_MARK = "\x01"
+
+
 def _pieces(text: Column, pattern: str) -> Column:
     """A text as what matches a pattern and what stands between, in order: structs of (piece, hit)."""
-    hits = T.found(text, pattern)
-    begin = F.struct(text.alias("rest"), F.array().cast("array<struct<piece:string,hit:boolean>>").alias("out"))
+    safe = F.replace(text, F.lit(_MARK), F.lit(_MARK + "M"))
+    marked = F.regexp_replace(safe, pattern, f"{_MARK}B$0{_MARK}E")
+    plain = lambda p: F.replace(p, F.lit(_MARK + "M"), F.lit(_MARK))
+    parts = F.transform(F.split(marked, f"{_MARK}[BE]", -1), lambda p, i: F.struct(plain(p).alias("piece"), (i % 2 == 1).alias("hit")))
+    return F.filter(parts, lambda p: p.piece != "")
+
+
+def drop_instruction_lines(notes: DataFrame) -> DataFrame:
+    """id, text, removed of ``notes`` (id, text): without the lines that open as pasted instructions. A null note is empty."""
+    instruction = lambda x: x.rlike(L.INSTRUCTION_LINE)
+    lines = notes.select("id", T.lines(F.coalesce("text", F.lit(""))).alias("lines"))
+    return lines.select("id", F.array_join(F.filter("lines", lambda x: ~instruction(x)), "").alias("text"), F.filter("lines", instruction).alias("removed"))
+
+
+def drop_command_blocks(notes: DataFrame) -> DataFrame:
+    """The same for quoted blocks with command words, with the clause that introduces them; ``notes``: id, text, removed."""
+    control = lambda p: p.hit & p.piece.rlike("(?i)" + L.CONTROL)
+    cut = notes.select("id", "removed", _pieces(F.col("text"), L.QUOTED_BLOCK).alias("p"))
+    text = F.array_join(F.transform(F.filter("p", lambda p: ~control(p)), lambda p: p.piece), "")
+    return cut.select("id", text.alias("text"), F.concat("removed", F.transform(F.filter("p", control), lambda p: p.piece)).alias("removed"))
 
-    def step(acc: Column, hit: Column) -> Column:
-        at = F.call_function("locate", hit, acc.rest)
-        before = F.struct(F.substring(acc.rest, F.lit(1), at - 1).alias("piece"), F.lit(False).alias("hit"))
-        return F.struct(F.substring(acc.rest, at + F.length(hit), F.length(acc.rest)).alias("rest"), F.concat(acc.out, F.array(before, F.struct(hit.alias("piece"), F.lit(True).alias("hit")))).alias("out"))
 
-    walked = F.aggregate(hits, begin, step)
-    return F.filter(F.array_append(walked.out, F.struct(walked.rest.alias("piece"), F.lit(False).alias("hit"))), lambda p: p.piece != "")
+def drop_requests(notes: DataFrame) -> DataFrame:
+    """The same for sentences that are a request or a command: their clauses that are neither stay; ``notes``: id, text, removed."""
+    asks = lambda t: T.author_request(t) | T.direct_control(t)
+    cut = notes.select("id", "removed", _pieces(F.col("text"), L.SENTENCE).alias("p"))
+    clauses = lambda p: F.transform(F.split(p.piece, "(?<=;)"), lambda c: F.struct(c.alias("piece"), asks(c).alias("hit")))
+    whole = lambda p: F.array(F.struct(p.piece.alias("piece"), F.lit(False).alias("hit")))
+    parts = cut.select("id", "removed", F.flatten(F.transform("p", lambda p: F.when(p.hit & asks(p.piece), clauses(p)).otherwise(whole(p)))).alias("p"))
+    piece = lambda hit: F.transform(F.filter("p", lambda p: p.hit == hit), lambda p: p.piece)
+    return parts.select("id", F.array_join(piece(F.lit(False)), "").alias("text"), F.concat("removed", piece(F.lit(True))).alias("removed"))
 
 
 def clean(notes: DataFrame) -> DataFrame:
@@ -29,20 +54,4 @@ def clean(notes: DataFrame) -> DataFrame:
     Lines that open as pasted instructions go; quoted blocks with command words go with the clause that introduces
     them; of a sentence that is a request or a command, the clauses that are neither stay. A null note is empty.
     """
-    lines = T.lines(F.coalesce("text", F.lit("")))
-    first = notes.select("id", lines.alias("lines"))
-    instruction = lambda x: x.rlike(L.INSTRUCTION_LINE)
-    kept = F.array_join(F.filter("lines", lambda x: ~instruction(x)), "")
-    first = first.select("id", kept.alias("text"), F.filter("lines", instruction).alias("removed"))
-
-    control = lambda p: p.hit & p.piece.rlike("(?i)" + L.CONTROL)
-    second = first.select("id", "removed", _pieces(F.col("text"), L.QUOTED_BLOCK).alias("p"))
-    text = F.array_join(F.transform(F.filter("p", lambda p: ~control(p)), lambda p: p.piece), "")
-    second = second.select("id", text.alias("text"), F.concat("removed", F.transform(F.filter("p", control), lambda p: p.piece)).alias("removed"))
-
-    asks = lambda t: T.author_request(t) | T.direct_control(t)
-    third = second.select("id", "removed", _pieces(F.col("text"), L.SENTENCE).alias("p"))
-    # Each piece as clauses; those of an offending sentence are judged one by one.
-    parts = F.flatten(F.transform("p", lambda p: F.when(p.hit & asks(p.piece), F.transform(F.split(p.piece, "(?<=;)"), lambda c: F.struct(c.alias("piece"), asks(c).alias("hit")))).otherwise(F.array(F.struct(p.piece.alias("piece"), F.lit(False).alias("hit"))))))
-    third = third.select("id", "removed", parts.alias("p"))
-    return third.select("id", F.array_join(F.transform(F.filter("p", lambda p: ~p.hit), lambda p: p.piece), "").alias("cleaned"), F.concat("removed", F.transform(F.filter("p", lambda p: p.hit), lambda p: p.piece)).alias("removed"))
+    return drop_requests(drop_command_blocks(drop_instruction_lines(notes))).withColumnRenamed("text", "cleaned")

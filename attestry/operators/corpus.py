@@ -18,39 +18,89 @@ def shared_keys(left: DataFrame, right: DataFrame, key: Column) -> DataFrame:
     return left.select(key.alias("key")).intersect(right.select(key.alias("key")))
 
 
-def nearest_by_trigrams(left: DataFrame, right: DataFrame) -> DataFrame:
+def _trigrams(df: DataFrame, side: str) -> DataFrame:
+    """side_id, grams (hashes of the distinct identity-stripped trigrams), side_n of each row of ``df`` (id, text)."""
+    words = T.identity_stripped(F.coalesce("text", F.lit("")))
+    of = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    grams = T.let(words, lambda w: F.when(F.size(w) >= 3, F.array_distinct(of(w))).otherwise(F.array().cast("array<bigint>")))
+    return df.select(F.col("id").alias(f"{side}_id"), grams.alias("grams")).withColumn(f"{side}_n", F.size("grams"))
+
+
+def nearest_by_trigrams(left: DataFrame, right: DataFrame, empty: float = 0.0) -> DataFrame:
     """left_id, right_id, similarity: each left row's nearest right row by Jaccard of identity-stripped trigrams.
 
     ``left`` and ``right``: id, text. Ties go to the smaller right id; without a common trigram the similarity
-    is 0 and right_id null. An inverted index on trigrams joins the two, and trigrams that the left side lacks
+    is 0 and right_id null. Two rows without any trigram have the similarity ``empty``: nothing over nothing, which an audit
+    may count as 1. An inverted index on trigrams, as 64-bit hashes, joins the two, and trigrams that the left side lacks
     never leave the scan of the right side. Cost: one row for each trigram that a left and a right row share.
     """
-    grams = lambda df, side: df.select(F.col("id").alias(f"{side}_id"), F.array_distinct(T.ngrams(T.identity_stripped(F.coalesce("text", F.lit(""))), 3)).alias("grams")).withColumn(f"{side}_n", F.size("grams"))
-    a, b = grams(left, "left"), grams(right, "right")
-    met = a.select("left_id", "left_n", F.explode("grams").alias("gram")).join(b.select("right_id", "right_n", F.explode("grams").alias("gram")), "gram")
-    scored = met.groupBy("left_id", "right_id").agg(F.count("*").alias("common"), F.first("left_n").alias("left_n"), F.first("right_n").alias("right_n"))
+    a, b = _trigrams(left, "left"), _trigrams(right, "right")
+    # Few enough left trigrams, by count, stop the right side's others before any shuffle.
+    wanted = a.select(F.explode("grams").alias("gram")).distinct()
+    theirs = b.select("right_id", F.explode("grams").alias("gram"))
+    if wanted.count() <= 500_000:
+        theirs = theirs.join(F.broadcast(wanted), "gram", "left_semi")
+    met = a.select("left_id", F.explode("grams").alias("gram")).join(theirs, "gram").groupBy("left_id", "right_id").agg(F.count("*").alias("common"))
+    # Sizes join the pairs, not the trigrams.
+    scored = met.join(a.select("left_id", "left_n"), "left_id").join(b.select("right_id", "right_n"), "right_id")
     scored = scored.withColumn("similarity", F.col("common") / (F.col("left_n") + F.col("right_n") - F.col("common")))
-    best = scored.withColumn("place", F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("similarity"), F.col("right_id")))).where("place = 1")
-    return left.select(F.col("id").alias("left_id")).join(best.select("left_id", "right_id", "similarity"), "left_id", "left").select("left_id", "right_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+    best = scored.groupBy("left_id").agg(F.max(F.struct("similarity", (-F.col("right_id")).alias("minus"))).alias("best")).select("left_id", (-F.col("best.minus")).alias("right_id"), F.col("best.similarity").alias("similarity"))
+    found = a.select("left_id", "left_n").join(best, "left_id", "left")
+    if empty:
+        bare = b.where("right_n = 0").agg(F.min("right_id").alias("bare"))
+        found = found.crossJoin(F.broadcast(bare))  # one row
+        nothing = (F.col("left_n") == 0) & F.col("bare").isNotNull()
+        found = found.withColumns({"right_id": F.when(nothing, F.col("bare")).otherwise(F.col("right_id")), "similarity": F.when(nothing, F.lit(empty)).otherwise(F.col("similarity"))})
+    return found.select("left_id", "right_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
+
+def nearest_summary(nearest: DataFrame) -> DataFrame:
+    """One row: rows, greatest, median (upper), at_least_half, at_least_four_fifths of the similarities of ``nearest``."""
+    s = F.col("similarity")
+    ranked = order_statistics(nearest.withColumn("one", F.lit(1)), ["one"], "similarity").select("median")
+    counts = nearest.agg(F.count("*").alias("rows"), F.max(s).alias("greatest"), F.count_if(s >= 0.5).alias("at_least_half"), F.count_if(s >= 0.8).alias("at_least_four_fifths"))
+    return counts.crossJoin(ranked)  # one row each
+
+
+def shared_families(splits: DataFrame) -> DataFrame:
+    """family, splits (sorted) of every family (split, family) that more than one split has."""
+    held = splits.groupBy("family").agg(F.array_sort(F.collect_set("split")).alias("splits"))
+    return held.where(F.size("splits") > 1)
 
 
-def contained(texts: DataFrame, passages: DataFrame) -> DataFrame:
+def contained(texts: DataFrame, passages: DataFrame, few: int = 100_000) -> DataFrame:
     """text_id, passage_id of every passage that occurs verbatim in a text.
 
-    ``texts``, ``passages``: id, text. A passage's inner words stand in any text that holds it, so the pairs come
-    from an equi-join on one run of three of them and are verified by containment. Passages of fewer than five
-    words have no such run: they are compared with every text by broadcast, and are expected to be few.
+    ``texts``, ``passages``: id, text. A passage's inner words stand in any text that holds it, so the pairs come from an
+    equi-join on one run of its inner words, three of them or as many as there are, and are verified by containment. Of its
+    runs each passage takes the one that the fewest texts have. Only a passage of one or two words has no inner word: those are
+    compared with the texts directly, by broadcast, and more than ``few`` of them are an error.
     """
     # Words by blanks, as they stand: the first and last of a passage may be parts of words in the text.
     tokens = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    inner = passages.select(F.col("id").alias("passage_id"), F.col("text").alias("passage"), tokens(F.col("text")).alias("w"))
-    long_, short = inner.where("size(w) >= 5"), inner.where("size(w) < 5 and passage <> ''")
-    keyed = long_.select("passage_id", "passage", F.array_join(F.slice("w", 2, 3), " ").alias("run"))
-    runs = texts.select(F.col("id").alias("text_id"), F.col("text"), F.explode(F.array_distinct(T.ngrams(tokens(F.col("text")), 3))).alias("run"))
+    hashed = lambda words, n: T.let(words, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.lit(n), *[F.get(w, i + k) for k in range(n)]))).otherwise(F.array().cast("array<bigint>")))
+    words = passages.where("text <> ''").select(F.col("id").alias("passage_id"), F.col("text").alias("passage"), tokens(F.col("text")).alias("w"))
+    inner = words.withColumn("inner", F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))))
+    short = inner.where("size(inner) = 0").select("passage_id", "passage")
+    if short.limit(few + 1).count() > few:
+        raise ValueError(f"more than {few} passages of one or two words")
+    of_inner = F.when(F.size("inner") >= 3, hashed(F.col("inner"), 3)).when(F.size("inner") == 2, hashed(F.col("inner"), 2)).otherwise(hashed(F.col("inner"), 1))
+    runs = inner.where("size(inner) > 0").select("passage_id", "passage", F.size("inner").alias("n"), F.explode(F.array_distinct(of_inner)).alias("run"))
+    wanted = runs.select("run").distinct()
+    small = wanted.count() <= 500_000
+    sizes = [n for n in (1, 2, 3) if not runs.where(F.least("n", F.lit(3)) == n).isEmpty()]
+    all_runs = F.flatten(F.array(*[hashed(tokens(F.col("text")), n) for n in sizes])) if sizes else F.array().cast("array<bigint>")
+    held = texts.select(F.col("id").alias("text_id"), F.explode(F.array_distinct(all_runs)).alias("run"))
+    held = held.join(F.broadcast(wanted) if small else wanted, "run", "left_semi")
+    frequent = held.groupBy("run").agg(F.count("*").alias("texts"))
+    chosen = runs.join(frequent, "run").groupBy("passage_id").agg(F.count("*").alias("seen"), F.min(F.struct("texts", "run")).alias("rarest"))
+    # A run that no text has rules its passage out.
+    asked = runs.groupBy("passage_id").agg(F.count("*").alias("asked"))
+    keyed = chosen.join(asked, "passage_id").where("seen = asked").select("passage_id", F.col("rarest.run").alias("run"))
     # Only the runs meet; the texts are joined to the few pairs that came together.
-    pairs = runs.select("text_id", "run").join(keyed.select("passage_id", "run"), "run").select("text_id", "passage_id").distinct()
-    met = pairs.join(texts.select(F.col("id").alias("text_id"), "text"), "text_id").join(long_.select("passage_id", "passage"), "passage_id")
-    direct = texts.select(F.col("id").alias("text_id"), "text").join(short.select("passage_id", "passage"), F.contains("text", "passage"))
+    pairs = held.join(keyed, "run").select("text_id", "passage_id").distinct()
+    met = pairs.join(texts.select(F.col("id").alias("text_id"), "text"), "text_id").join(words.select("passage_id", "passage"), "passage_id")
+    direct = texts.select(F.col("id").alias("text_id"), "text").join(F.broadcast(short), F.contains("text", "passage"))
     return met.where(F.contains("text", "passage")).select("text_id", "passage_id").union(direct.select("text_id", "passage_id")).distinct()
 
 
@@ -76,9 +126,10 @@ def seeded_order(df: DataFrame, seed: str, id_: str, n: int) -> DataFrame:
 def order_statistics(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """least, median (upper), p95 and greatest by position, not by interpolation; n rows.
 
-    Ranks come from a window, so a large group is sorted with spilling instead of being gathered in one array.
+    Equal values are counted first, with partial counts before the shuffle, so what a window orders is distinct values.
     """
-    w = Window.partitionBy(*group)
-    ranked = df.where(F.col(value).isNotNull()).select(*group, value, F.row_number().over(w.orderBy(value)).alias("place"), F.count("*").over(w).alias("n"))
-    at = lambda place: F.max(F.when(F.col("place") == place, F.col(value)))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("copies"))
+    upto = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumns({"last": F.sum("copies").over(upto), "n": F.sum("copies").over(Window.partitionBy(*group))})
+    at = lambda place: F.min(F.when(F.col("last") >= place, F.col(value)))
     return ranked.groupBy(*group, "n").agg(at(F.lit(1)).alias("least"), at(F.floor(F.col("n") / 2) + 1).alias("median"), at(F.floor(F.lit(0.95) * (F.col("n") - 1)) + 1).alias("p95"), at(F.col("n")).alias("greatest"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions import lexicon as L
 from attestry.functions import text as T
 
-#: The reasons, in the order of the rules; the first that holds is the result.
+#: The reasons, in the order of the rules; the first that holds is the result.
 REASONS = [
     "a calendar date absent from its evidence",
     "a reference identifier absent from its evidence",
@@ -80,58 +80,76 @@ def contradicts_impact(proposal: Column, facts: Column) -> Column:
     return F.exists(facts, against)
 
 
+def _with_stems(clauses: Column) -> Column:
+    """Clauses with their stems, each worked out once."""
+    return F.transform(clauses, lambda c: F.struct(c.alias("clause"), T.stems(c).alias("stems")))
+
+
+def _score(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two sets of stems."""
+    return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))
+
+
+def _nearest(mine: Column, theirs: Column) -> Column:
+    """Of the related clauses of the evidence those of the highest score, ties included: structs of clause, stems, score."""
+    related = F.filter(theirs, lambda o: T.related(mine.stems, o.stems))
+    scored = F.transform(related, lambda o: F.struct(o.clause.alias("clause"), o.stems.alias("stems"), _score(mine.stems, o.stems).alias("score")))
+    return T.let(scored, lambda found: T.let(F.array_max(F.transform(found, lambda o: o.score)), lambda best: F.filter(found, lambda o: o.score == best)))
+
+
+def _clause_rule(mine: Column, theirs: Column, initials: Column) -> Column:
+    """The first clause rule (5 to 8) that a clause breaks against the nearest clauses of its evidence, or null."""
+    clause = mine.clause
+    stated = lambda other: F.filter(F.array_intersect(T.found(other, r"\(([a-z]{2,4})\)", 1), initials), lambda i: ~has_word(clause, i))
+    verbs = F.transform(T.found(clause, L.COMPLETED), T.stems)
+    claimed = lambda stems: F.exists(verbs, lambda v: F.arrays_overlap(v, stems))
+    firm = ~clause.rlike(L.PROSPECTIVE) & ~clause.rlike(L.QUALIFIER) & ~clause.rlike(L.IMPERATIVE)
+
+    def rule(near: Column) -> Column:
+        return (
+            F.when(clause.rlike(L.CONTACT) & F.exists(near, lambda o: F.size(stated(o.clause)) > 0), 5)
+            .when(~clause.rlike(L.QUALIFIER) & F.exists(near, lambda o: o.clause.rlike(L.QUALIFIER)), 6)
+            .when(F.exists(near, lambda o: T.negative(o.clause) != T.negative(clause)), 7)
+            .when(firm & F.exists(near, lambda o: o.clause.rlike(L.PROSPECTIVE)) & F.exists(near, lambda o: claimed(o.stems)), 8)
+        )
+
+    # A clause that a related clause of the evidence repeats breaks none.
+    same = F.exists(theirs, lambda o: (o.clause == clause) & T.related(mine.stems, o.stems))
+    return F.when(~same, T.let(_nearest(mine, theirs), rule))
+
+
 def risk(claims: DataFrame) -> DataFrame:
     """id, reason of ``claims`` (id, text, quotes): the first rule that a paraphrase breaks, null if none does.
 
     Whole-quote wording passes. Clauses of a claim are compared with the related clauses of its quotes that are
-    lexically nearest, ties included. Ids must be unique; a claim without quotes breaks no clause rule.
+    lexically nearest, ties included. A claim without quotes breaks no clause rule. Everything that a claim is compared
+    with stands in its own row, so nothing is shuffled.
     """
     quotes = F.transform("quotes", T.expand_contractions)
     base = claims.select("id", "text", "quotes", T.expand_contractions(F.col("text")).alias("claim"), quotes.alias("evidence"))
-    base = base.withColumn("exact", F.array_contains("evidence", F.col("claim")))
     lower = lambda a: F.transform(a, T.casefold)
     dates = F.size(F.array_except(T.found(F.col("claim"), L.ISO_DATE), F.flatten(F.transform("evidence", lambda q: T.found(q, L.ISO_DATE))))) > 0
     ids = F.size(F.array_except(lower(T.references(F.col("text"))), lower(F.flatten(F.transform("quotes", T.references))))) > 0
     blanket = F.col("claim").rlike(L.BLANKET_ACTION) & ~F.exists("evidence", lambda q: q.rlike(L.BLANKET_ACTION))
     no_impact = F.col("claim").rlike(r"\bno impact\b") & ~F.col("claim").rlike(L.QUALIFIER) & F.exists("evidence", lambda q: q.rlike(r"\bno impact (?:was )?reported\b"))
     whole = F.when(dates, 1).when(ids, 2).when(blanket, 3).when(no_impact, 4)
-    base = base.withColumns({"whole": whole, "initials": lower(F.flatten(F.transform("quotes", lambda q: T.found(q, L.INITIALS, 1))))})
-
-    # Pairs exist inside a row's own claim and quotes only.
-    open_ = base.where("not exact and whole is null")
-    mine = open_.select("id", "initials", F.posexplode(T.clauses(F.col("claim"))).alias("n", "clause"), "evidence")
-    theirs = F.explode(F.flatten(F.transform("evidence", T.clauses))).alias("other")
-    pairs = mine.select("id", "initials", "n", "clause", theirs).select("*", T.stems(F.col("clause")).alias("a"), T.stems(F.col("other")).alias("b"))
-    pairs = pairs.where(T.related(F.col("a"), F.col("b")))
-    score = F.size(F.array_intersect("a", "b")) / F.greatest(F.lit(1), F.size(F.array_union("a", "b")))
-    w = Window.partitionBy("id", "n")
-    pairs = pairs.withColumns({"score": score, "quoted": F.col("clause") == F.col("other")})
-    nearest = pairs.withColumns({"best": F.max("score").over(w), "same": F.bool_or("quoted").over(w)}).where("not same and score = best")
-    clause, other = F.col("clause"), F.col("other")
-    stated = F.filter(F.array_intersect(T.found(other, r"\(([a-z]{2,4})\)", 1), "initials"), lambda i: ~has_word(clause, i))
-    verbs = F.transform(T.found(clause, L.COMPLETED), T.stems)
-    claimed = F.exists(verbs, lambda v: F.arrays_overlap(v, F.col("b")))
-    tests = nearest.groupBy("id", "n").agg(
-        F.bool_or(clause.rlike(L.CONTACT) & (F.size(stated) > 0)).alias("r5"),
-        F.bool_or(other.rlike(L.QUALIFIER) & ~clause.rlike(L.QUALIFIER)).alias("r6"),
-        F.bool_or(T.negative(other) != T.negative(clause)).alias("r7"),
-        (F.bool_or(other.rlike(L.PROSPECTIVE)) & F.bool_or(~clause.rlike(L.PROSPECTIVE) & ~clause.rlike(L.QUALIFIER) & ~clause.rlike(L.IMPERATIVE) & claimed)).alias("r8"),
-    )
-    rule = F.when(F.col("r5"), 5).when(F.col("r6"), 6).when(F.col("r7"), 7).when(F.col("r8"), 8)
-    first = tests.withColumn("rule", rule).where("rule is not null").groupBy("id").agg(F.min(F.struct("n", "rule")).alias("first"))
-    found = base.select("id", F.when(~F.col("exact"), F.col("whole")).alias("whole")).join(first, "id", "left")
+    initials = lower(F.flatten(F.transform("quotes", lambda q: T.found(q, L.INITIALS, 1))))
+    mine, theirs = _with_stems(T.clauses(F.col("claim"))), _with_stems(F.flatten(F.transform("evidence", T.clauses)))
+    # Each clause of a claim in turn, until one breaks a rule: its rules come in the order of the clauses.
+    rules = T.let(theirs, lambda t: T.let(initials, lambda i: F.transform(mine, lambda m: _clause_rule(m, t, i))))
+    clause = F.get(F.array_compact(rules), F.lit(0))
+    rule = F.when(F.array_contains("evidence", F.col("claim")), F.lit(None).cast("int")).otherwise(F.coalesce(whole, clause))
     reasons = F.array(*[F.lit(r) for r in REASONS])
-    return found.select("id", F.try_element_at(reasons, F.coalesce("whole", "first.rule")).alias("reason"))
+    return base.select("id", F.try_element_at(reasons, rule).alias("reason"))
 
 
 def nearest_clauses(claims: DataFrame) -> DataFrame:
     """id, n, clause, other, score: for each clause of a claim the related evidence clauses of the highest Jaccard."""
-    split = claims.select("id", F.posexplode(T.clauses(T.expand_contractions(F.col("text")))).alias("n", "clause"), "quotes")
-    theirs = F.explode(F.flatten(F.transform("quotes", lambda q: T.clauses(T.expand_contractions(q))))).alias("other")
-    pairs = split.select("id", "n", "clause", theirs).select("*", T.stems(F.col("clause")).alias("a"), T.stems(F.col("other")).alias("b")).where(T.related(F.col("a"), F.col("b")))
-    score = F.size(F.array_intersect("a", "b")) / F.greatest(F.lit(1), F.size(F.array_union("a", "b")))
-    ranked = pairs.select("id", "n", "clause", "other", score.alias("score")).withColumn("place", F.rank().over(Window.partitionBy("id", "n").orderBy(F.desc("score"))))
-    return ranked.where("place = 1").drop("place")
+    mine = _with_stems(T.clauses(T.expand_contractions(F.col("text"))))
+    theirs = _with_stems(F.flatten(F.transform("quotes", lambda q: T.clauses(T.expand_contractions(q)))))
+    near = T.let(theirs, lambda t: F.transform(mine, lambda m: F.struct(m.clause.alias("clause"), _nearest(m, t).alias("near"))))
+    rows = claims.select("id", F.posexplode(near).alias("n", "m")).select("id", "n", "m.clause", F.explode("m.near").alias("o"))
+    return rows.select("id", "n", "clause", F.col("o.clause").alias("other"), F.col("o.score").alias("score"))
 
 
 def missing_anchor_sentences(sources: DataFrame) -> DataFrame:

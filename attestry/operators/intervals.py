@@ -35,15 +35,14 @@ def union_intervals(rows: DataFrame, key: list[str], start: str, end: str) -> Da
 
 
 def merged(spans: Column) -> Column:
-    """An array of (start, end) structs, sorted and merged where they touch or overlap."""
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    """An array of (start, end) structs, sorted and merged where they touch or overlap.
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.array_append(F.slice(acc, 1, F.size(acc) - 1), F.struct(last.start.alias("start"), F.greatest(last.end, s.end).alias("end")))
-        return F.when(F.size(acc) == 0, F.array(s)).when(s.start <= last.end, joined).otherwise(F.array_append(acc, s))
-
-    return F.aggregate(F.array_sort(spans), none, step)
+    A span opens an island where all spans before it end earlier; the island reaches as far as any span before the next.
+    """
+    furthest = lambda s: T.running(F.transform(s, lambda x: x.end), -1, lambda a, b: F.greatest(a, b))
+    opening = lambda s, reach: F.filter(F.transform(s, lambda x, k: F.struct(x.start.alias("start"), k.alias("k"), (F.get(reach, k) < x.start).alias("opens"))), lambda x: x.opens)
+    closed = lambda o, reach: F.transform(o, lambda x, i: F.struct(x.start.alias("start"), F.coalesce(F.get(reach, F.get(o, i + 1).k), F.element_at(reach, -1)).alias("end")))
+    return T.let(F.array_sort(spans), lambda s: T.let(furthest(s), lambda reach: T.let(opening(s, reach), lambda o: closed(o, reach))))
 
 
 def coverage(facts: DataFrame) -> DataFrame:
@@ -63,26 +62,56 @@ def coverage(facts: DataFrame) -> DataFrame:
     return rows.withColumn("edges", edges).select("id", F.length(source).alias("source_characters"), covered.alias("covered"), kept.alias("unquoted"))
 
 
-def locate(groups: DataFrame, quotes: DataFrame) -> DataFrame:
-    """id, event_id, quote, candidates, ambiguous: every place of a quote in its event group, in source offsets.
+def candidates(source: Column, segments: Column, quote: Column) -> Column:
+    """Every place of a quote in the joined text of an event group, as segments in offsets of the note.
 
-    ``groups`` as of ``segment.event_groups``; ``quotes``: id, event_id, quote. Overlapping occurrences count. One
-    that crosses a join has two segments; one that is nothing but the join's newline has no place. A quote is
-    located once for each group, however many claims cite it. An absent or empty quote has no candidates.
+    Overlapping occurrences count. One that crosses a join has two segments; one that is nothing but the join's
+    newline has no place. An absent, empty or null quote has none.
     """
-    asked = quotes.select("id", "event_id", "quote").distinct().join(groups.select("id", "event_id", "source_text", "source_segments"), ["id", "event_id"])
-    size = F.length("quote")
+    size = F.length(quote)
 
-    def segments(start: Column) -> Column:
-        touched = F.filter("source_segments", lambda s: (s.local_start < start + size) & (start < s.local_end))
+    def inside(start: Column) -> Column:
+        touched = F.filter(segments, lambda s: (s.local_start < start + size) & (start < s.local_end))
         clipped = F.transform(touched, lambda s: F.struct(
             (s.start + F.greatest(start, s.local_start) - s.local_start).alias("start"),
             (s.start + F.least(start + size, s.local_end) - s.local_start).alias("end")))
         return F.filter(clipped, lambda s: s.start < s.end)
 
-    places = F.transform(T.occurrences(F.col("source_text"), F.col("quote")), lambda i: F.struct(segments(i).alias("segments")))
-    candidates = F.array_distinct(F.filter(places, lambda c: F.size(c.segments) > 0))
-    return asked.select("id", "event_id", "quote", candidates.alias("candidates")).withColumn("ambiguous", F.size("candidates") > 1)
+    places = F.transform(T.occurrences(source, quote), lambda i: F.struct(inside(i).alias("segments")))
+    return F.array_distinct(F.filter(places, lambda c: F.size(c.segments) > 0))
+
+
+def locate(groups: DataFrame, quotes: DataFrame) -> DataFrame:
+    """id, event_id, quote, candidates, ambiguous: every place of a quote in its event group, in source offsets.
+
+    ``groups`` as of ``segment.event_groups``; ``quotes``: id, event_id, quote. See ``candidates``. A quote is
+    located once for each group, however many claims cite it.
+    """
+    asked = quotes.select("id", "event_id", "quote").distinct().join(groups.select("id", "event_id", "source_text", "source_segments"), ["id", "event_id"])
+    found = candidates(F.col("source_text"), F.col("source_segments"), F.col("quote"))
+    return asked.select("id", "event_id", "quote", found.alias("candidates")).withColumn("ambiguous", F.size("candidates") > 1)
+
+
+def with_lines(located: DataFrame, notes: DataFrame) -> DataFrame:
+    """``located`` with line_start and line_end, from 1, in each segment: the lines of ``notes`` (id, text) that it touches."""
+    lengths = F.transform(T.lines(F.coalesce("text", F.lit(""))), F.length)
+    starts = notes.select("id", T.let(T.running(lengths), lambda r: F.slice(r, F.lit(1), F.greatest(F.size(r) - 1, F.lit(1)))).alias("starts"))
+    line = lambda at: F.size(F.filter("starts", lambda s: s <= at))
+    placed = F.transform("candidates", lambda c: F.struct(F.transform(c.segments, lambda s: F.struct(s.start, s.end, line(s.start).alias("line_start"), line(F.greatest(s.start, s.end - 1)).alias("line_end"))).alias("segments")))
+    return located.join(starts, "id").withColumn("candidates", placed).drop("starts")
+
+
+def lineage_errors(saved: DataFrame, groups: DataFrame, notes: DataFrame) -> DataFrame:
+    """id, event_id, quote, error of ``saved`` evidence (as of ``with_lines``) that isn't what the source gives.
+
+    Places are located anew from ``notes`` and ``groups`` and compared null-safe: 'absent' for a quote without any place,
+    'shifted' where candidates, lines or ambiguity differ, 'unknown event' for an event that the note hasn't.
+    """
+    found = with_lines(locate(groups, saved), notes).select("id", "event_id", "quote", F.col("candidates").alias("want"), F.col("ambiguous").alias("several"), F.lit(True).alias("known"))
+    both = saved.select("id", "event_id", "quote", "candidates", "ambiguous").join(found, ["id", "event_id", "quote"], "left")
+    same = F.col("candidates").eqNullSafe(F.col("want")) & F.col("ambiguous").eqNullSafe(F.col("several"))
+    error = F.when(F.col("known").isNull(), "unknown event").when(F.size("want") == 0, "absent").when(~same, "shifted")
+    return both.select("id", "event_id", "quote", error.alias("error")).where("error is not null")
 
 
 def latest_before(rows: DataFrame, key: list[str], order: list[str], source: Column, value: Column) -> DataFrame:

@@ -2,31 +2,84 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys and values that must not be published.
-PRIVATE_KEY = r"(?i)^(?:user|username|host|hostname|home|email|token|password|secret|api[_-]?key|machine|path|cwd)$"
-PRIVATE_VALUE = r"(?i)(?:[a-z]:\\users\\|/home/[^/]+/|/users/[^/]+/|\bsk-[a-z0-9]{8,}|\bhf_[a-z0-9]{8,}|\bghp_[a-z0-9]{8,}|-----begin [a-z ]*private key-----)"
+#: Keys that must not be published, in lower case, and what must not stand in a key or a text.
+SENSITIVE_KEYS = ("api_key", "access_token", "auth_token", "password", "secret", "authorization", "private_key", "client_secret")
+PRIVATE_TEXT = (
+    r"[A-Za-z]:[\\/]|/(?:Users|home|tmp|mnt|private|var|srv|opt)/\S+"
+    r"|ghp_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|sk-[A-Za-z0-9]{20,}"
+    r"|AKIA[0-9A-Z]{16}|-----BEGIN (?:RSA |OPENSSH |EC )?PRIVATE KEY-----"
+)
+
+
+def _digest(path: str, unix_ends: bool, block: int = 1 << 20) -> str:
+    """SHA-256 of a file in any store that Arrow reaches, block by block."""
+    import hashlib
+
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    found, held = hashlib.sha256(), b""
+    with store.open_input_stream(name) as stream:
+        while data := stream.read(block):
+            if unix_ends:
+                data, held = held + data, b""
+                if data.endswith(b"\r"):
+                    data, held = data[:-1], b"\r"
+                data = data.replace(b"\r\n", b"\n")
+            found.update(data)
+    found.update(held)
+    return found.hexdigest()
 
 
 def file_digests(spark: SparkSession, path: str, suffix: str = "*", unix_ends: bool = False) -> DataFrame:
-    """file (name), bytes, sha256 of the files below ``path`` that match a glob; CRLF counts as LF if ``unix_ends``."""
+    """file (path below ``path``, which is a folder), bytes, sha256 of its files whose name matches a glob.
+
+    CRLF counts as LF in the digest if ``unix_ends``. Files are read in blocks, whatever their size.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/")
     files = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", True).load(path)
-    content = F.encode(F.replace(F.decode("content", "ISO-8859-1"), F.lit("\r\n"), F.lit("\n")), "ISO-8859-1") if unix_ends else F.col("content")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2(content, 256).alias("sha256"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"file": b["file"], "bytes": b["bytes"], "sha256": [_digest(p, unix_ends) for p in b["path"]]})
+
+    listed = files.select("path", F.substring("path", F.lit(len(root) + 2), F.length("path")).alias("file"), F.col("length").alias("bytes"))
+    return listed.mapInPandas(run, "file string, bytes long, sha256 string")
+
+
+def fingerprints(files: DataFrame) -> DataFrame:
+    """One row: ``files``, a map of file to sha256 of all rows (file, sha256), in order of the names."""
+    return files.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("file", "sha256")))).alias("files"))
 
 
 def manifest_errors(manifest: DataFrame) -> DataFrame:
-    """file, error of manifest rows (file, bytes, sha256) with an unsafe or repeated name, or without a digest."""
+    """file, error of manifest rows (file, bytes, sha256) with an unsafe or repeated name, or without a size or digest.
+
+    Names are relative paths in plain form: no empty, ``.`` or ``..`` part, no backslash or colon. Names that differ
+    in case alone are repeated.
+    """
     name = F.col("file")
-    unsafe = ~F.coalesce(name.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*(?:/[A-Za-z0-9][A-Za-z0-9._-]*)*$"), F.lit(False))
+    unsafe = F.coalesce(name.isNull() | (name == "") | name.rlike(r"[\\:]|^/|/$|//|(?:^|/)\.\.?(?:/|$)"), F.lit(True))
     twice = manifest.groupBy(F.lower("file").alias("key")).agg(F.count("*").alias("n"))
     rows = manifest.join(twice, F.lower("file").eqNullSafe(F.col("key")))
-    error = F.when(unsafe, "unsafe name").when(F.col("n") > 1, "repeated name").when(~F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)), "no digest").when(~F.coalesce(F.col("bytes") > 0, F.lit(False)), "no size")
+    error = F.when(unsafe, "unsafe name").when(F.col("n") > 1, "repeated name").when(~F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)), "no digest").when(~F.coalesce(F.col("bytes") >= 0, F.lit(False)), "no size")
     return rows.select("file", error.alias("error")).where("error is not null")
 
 
+def pinned(revision: Column) -> Column:
+    """Whether a revision is the full digest of a commit, not a name that can move."""
+    return F.coalesce(revision.rlike("^[0-9a-f]{40}$"), F.lit(False))
+
+
 def verify(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """file, outcome of every listed or present file: 'verified', 'missing', 'unlisted', 'size' or 'digest'."""
     both = manifest.select("file", F.col("bytes").alias("want_bytes"), F.col("sha256").alias("want")).join(files.select("file", "bytes", "sha256"), "file", "full_outer")
@@ -41,29 +94,94 @@ def config_differences(saved: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.where(~F.col("saved").eqNullSafe(F.col("wanted"))).select("id", "key", "saved", "wanted")
 
 
-def completed(examples: Column, micro_batch: Column, accumulation: Column, epochs: Column, max_steps: Column, steps: Column, epoch: Column) -> Column:
-    """Whether a trainer's step and epoch are those of a finished schedule; ``max_steps`` over 0 overrides epochs."""
-    per_epoch = F.ceil(F.ceil(examples / micro_batch) / accumulation)
-    planned = F.when(max_steps > 0, max_steps).otherwise(F.ceil(per_epoch * epochs))
-    reached = F.when(max_steps > 0, planned / per_epoch).otherwise(epochs)
-    return (steps == planned) & (F.abs(epoch - reached) <= 1e-6 + 1 / per_epoch)
+def adapter_compatible(config: Column) -> Column:
+    """Whether an adapter's configuration (JSON text) is an ordinary one: causal language model, LoRA, nothing trained beside it."""
+    v = F.try_parse_json(config)
+    text = lambda key: F.coalesce(F.to_json(F.try_variant_get(v, f"$.{key}", "variant")), F.lit("null"))
+    absent = lambda key: text(key).isin("null", "false", "0", "0.0", '""', "[]", "{}")
+    given = lambda key: F.try_variant_get(v, f"$.{key}", "variant").isNotNull()
+    plain = (text("peft_type") == '"LORA"') & (text("task_type") == '"CAUSAL_LM"') & F.when(given("bias"), text("bias") == '"none"').otherwise(F.lit(True))
+    for key in ("lora_bias", "modules_to_save", "layer_replication", "use_dora", "trainable_token_indices", "alora_invocation_tokens"):
+        plain = plain & absent(key)
+    start = F.when(given("init_lora_weights"), text("init_lora_weights").isin("true", "false", '"gaussian"', "1", "0")).otherwise(F.lit(True))
+    return F.coalesce(plain & start, F.lit(False))
 
 
-def private_fields(documents: DataFrame, depth: int = 8) -> DataFrame:
-    """id, path, reason of private keys and values in ``documents`` (id, json), down to ``depth`` levels of nesting.
+def completion_error(config: Column, state: Column, metrics: Column) -> Column:
+    """The first way in which a run is not a completed one, or null: JSON texts of its configuration, trainer state and metrics.
 
-    Every level is one step over the same row's values, so nothing is shuffled. Malformed JSON has no fields.
+    The schedule is that of one device and no dropped batches: updates an epoch are ceil(batches / accumulation), steps are
+    ``max_steps`` if that is over 0, else ceil(epochs * updates); the last epoch counts the batches that its updates took,
+    and epochs agree within 10^-6. A run of three steps is a trial without validation.
     """
-    values = documents.select("id", F.lit("$").alias("path"), F.lit(None).cast("string").alias("key"), F.col("json").alias("value"))
-    found = None
-    for _ in range(depth):
-        shape = F.schema_of_variant(F.try_parse_json("value"))
-        fields = F.transform(F.map_entries(F.from_json("value", "map<string,string>")), lambda e: F.struct(e.key.alias("key"), e.value.alias("value")))
-        items = F.transform(F.from_json("value", "array<string>"), lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value")))
-        inner = F.when(shape.startswith("OBJECT"), fields).when(shape.startswith("ARRAY"), items)
-        values = values.select("id", F.col("path").alias("above"), F.explode(inner).alias("e")).select("id", F.concat_ws(".", "above", "e.key").alias("path"), F.col("e.key").alias("key"), F.col("e.value").alias("value"))
-        nested = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).rlike("^(OBJECT|ARRAY)"), F.lit(False))
-        reason = F.when(F.col("key").rlike(PRIVATE_KEY), "key").when(~nested & F.col("value").rlike(PRIVATE_VALUE), "value")
-        hits = values.select("id", "path", reason.alias("reason")).where("reason is not null")
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    c, s, m = (F.try_parse_json(x) for x in (config, state, metrics))
+    part = lambda v, key: F.try_variant_get(v, f"$.{key}", "variant")
+    kind = lambda v, key: F.coalesce(F.schema_of_variant(part(v, key)), F.lit("VOID"))
+
+    def whole(v: Column, key: str, least: int) -> tuple[Column, Column]:
+        value = F.try_variant_get(v, f"$.{key}", "bigint")
+        return value, ~F.coalesce((kind(v, key) == "BIGINT") & (value >= least), F.lit(False))
+
+    def number(v: Column, key: str) -> tuple[Column, Column]:
+        value = F.try_variant_get(v, f"$.{key}", "double")
+        is_number = kind(v, key).isin("BIGINT", "DOUBLE", "FLOAT") | kind(v, key).startswith("DECIMAL")
+        return value, ~F.coalesce(is_number & (value >= 0) & ~F.isnan(value) & (value < float("inf")), F.lit(False))
+
+    (examples, e1), (micro, e2), (accumulation, e3), (epochs, e4), (limit, e5) = whole(c, "examples", 1), whole(c, "micro_batch", 1), whole(c, "accumulation", 1), number(c, "epochs"), whole(c, "max_steps", -1)
+    batches = F.ceil(examples / micro)
+    updates = F.ceil(batches / accumulation)
+    steps = F.when(limit > 0, limit).otherwise(F.ceil(epochs * updates))
+    reached = F.floor(steps / updates) + F.least(steps % updates * accumulation, batches) / batches
+    (step, e6), (planned, e7), (epoch, e8), (seen, e9) = whole(s, "global_step", 0), whole(s, "max_steps", 1), number(s, "epoch"), number(m, "epoch")
+    (_, e10), (_, e11), (_, e12) = number(m, "train_runtime"), number(m, "train_loss"), number(m, "eval_loss")
+    size = part(s, "train_batch_size")
+    other = size.isNotNull() & (kind(s, "train_batch_size") != "VOID") & ~F.coalesce(F.try_variant_get(s, "$.train_batch_size", "double") == micro, F.lit(False))
+    rules = [
+        (c.isNull() | s.isNull() | m.isNull(), "json"), (e1, "examples"), (e2, "micro_batch"), (e3, "accumulation"), (e4 | ~(epochs > 0), "epochs"), (e5 | (limit == 0), "max_steps"),
+        (~(steps > 0), "no steps"), (e6 | (step != steps), "global_step"), (e7 | (planned != steps), "planned steps"), (other, "train_batch_size"), (e8, "epoch"), (e9, "metrics epoch"),
+        (F.abs(epoch - reached) > 1e-6, "epoch"), (F.abs(seen - epoch) > 1e-6, "metrics epoch"), (e10, "train_runtime"), (e11, "train_loss"), ((limit != 3) & e12, "eval_loss"),
+    ]
+    return F.coalesce(*[F.when(bad, name) for bad, name in rules])
+
+
+def private_reasons(text: str | None) -> list[tuple[str, str]]:
+    """(path, reason) of private keys ('key'), and private texts in keys ('name') and values ('value') of a JSON text, however deep.
+
+    A sensitive key with null or an empty text is allowed. Malformed JSON has one reason, 'json'; null has none.
+    """
+    if text is None:
+        return []
+    try:
+        left = [("$", json.loads(text))]
+    except (ValueError, RecursionError):
+        return [("$", "json")]
+    pattern, found = re.compile(PRIVATE_TEXT), []
+    while left:
+        path, value = left.pop()
+        if isinstance(value, dict):
+            for key, item in value.items():
+                if key.lower() in SENSITIVE_KEYS and item not in (None, ""):
+                    found.append((f"{path}.{key}", "key"))
+                if pattern.search(key):
+                    found.append((f"{path}.{key}", "name"))
+                left.append((f"{path}.{key}", item))
+        elif isinstance(value, list):
+            left.extend((f"{path}.{n}", item) for n, item in enumerate(value))
+        elif isinstance(value, str) and pattern.search(value):
+            found.append((path, "value"))
+    return sorted(found)
+
+
+def private_fields(documents: DataFrame) -> DataFrame:
+    """id, path, reason (see ``private_reasons``) of ``documents`` (id, json).
+
+    Nesting has no bound, which no fixed expression follows, so rows go through Python by Arrow; nothing is shuffled.
+    """
+    kind = documents.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, *hit) for i, text in zip(b["id"], b["json"]) for hit in private_reasons(text)]
+            yield pd.DataFrame(rows, columns=["id", "path", "reason"])
+
+    return documents.select("id", "json").mapInPandas(run, f"id {kind}, path string, reason string")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,17 +10,17 @@ from attestry.functions import text as T
 
 MAX_GROUPS = 8
 MAX_LABEL = 100
+MAX_EXCERPT = 1200
 
 
 def line_table(notes: DataFrame) -> DataFrame:
     """id, line_no (from 1), start (zero-based offset), line (with its end) of every line of ``notes`` (id, text).
 
-    Offsets are prefix sums inside the row's own array of lines: no shuffle, however long a note is.
+    Offsets are prefix sums over the lines of a note, by a window that spills however long a note is.
     """
-    with_lines = notes.select("id", T.lines(F.coalesce("text", F.lit(""))).alias("lines"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate("lines", begin, lambda acc, x: F.struct((acc.at + F.length(x)).alias("at"), F.array_append(acc.starts, acc.at).alias("starts"))).starts
-    return with_lines.select("id", F.posexplode(F.arrays_zip(F.col("lines").alias("line"), starts.alias("start"))).alias("n", "x")).select("id", (F.col("n") + 1).alias("line_no"), F.col("x.start").alias("start"), F.col("x.line").alias("line"))
+    split = notes.select("id", F.posexplode(T.lines(F.coalesce("text", F.lit("")))).alias("n", "line"))
+    before = Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    return split.select("id", (F.col("n") + 1).alias("line_no"), F.coalesce(F.sum(F.length("line")).over(before), F.lit(0)).cast("int").alias("start"), "line")
 
 
 def line_number(starts: Column, position: Column) -> Column:
@@ -80,10 +77,9 @@ def event_groups(notes: DataFrame) -> DataFrame:
     groups = checked.where("error is null").select("id", "text", "parts", F.posexplode("keys").alias("k", "key"))
     mine = F.filter("parts", lambda p: F.coalesce(p.key, p.grouping) == F.col("key"))
     groups = groups.select("id", "text", "k", mine.alias("mine"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<local_start:int,local_end:int,start:int,end:int>>").alias("out"))
-    placed = F.aggregate("mine", begin, lambda acc, p: F.struct(
-        (acc.at + p.end - p.start + 1).alias("at"),
-        F.array_append(acc.out, F.struct(acc.at.alias("local_start"), (acc.at + p.end - p.start).alias("local_end"), p.start.alias("start"), p.end.alias("end"))).alias("out"))).out
+    # At most as many parts as a note has headings; each begins where the parts before it, and their joins, end.
+    upto = lambda k: F.aggregate(F.slice("mine", F.lit(1), k), F.lit(0), lambda acc, q: acc + q.end - q.start + 1)
+    placed = F.transform("mine", lambda p, k: F.struct(upto(k).alias("local_start"), (upto(k) + p.end - p.start).alias("local_end"), p.start.alias("start"), p.end.alias("end")))
     one = F.get("mine", F.lit(0))
     rows = groups.select(
         "id", F.concat(F.lit("event-"), (F.col("k") + 1).cast("string")).alias("event_id"), one.label.alias("label"), one.grouping.alias("grouping"),
@@ -109,27 +105,19 @@ def within_budget(rows: DataFrame, key: list[str], order: list[str], cost: str,
     return spent.withColumn("over", over).where("over = 0").drop("over")
 
 
-def cut_long(text: str, most: int = 1200) -> list[str]:
-    """Pieces of at most ``most`` characters, each cut at the last blank before the limit if there is one."""
-    pieces, text = [], text.strip()
-    while text:
-        at = len(text) if len(text) <= most else text.rfind(" ", 0, most)
-        at = at if at > 0 else min(most, len(text))
-        if piece := text[:at].strip():
-            pieces.append(piece)
-        text = text[at:].strip()
-    return pieces
-
+def cut_pieces(text: Column, most: int = MAX_EXCERPT) -> Column:
+    """Pieces of at most ``most`` characters, each cut at the last blank before the limit if there is one.
 
-def split_long(rows: DataFrame, most: int = 1200) -> DataFrame:
-    """id, piece_no (from 1), piece. Each cut depends on the one before, so Arrow batches go through Python."""
+    The regex takes, from a sign on: the rest if it fits, else as much as a blank follows, else ``most`` characters.
+    """
+    rest = rf"\S[\s\S]{{0,{most - 1}}}\z|\S[\s\S]{{0,{most - 2}}}(?= )|\S[\s\S]{{0,{most - 1}}}"
+    return F.transform(T.found(T.strip(text), rest), lambda p: T.strip(p))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(i, k, p) for i, t in zip(b["id"], b["text"]) for k, p in enumerate(cut_long(t, most), 1)]
-            yield pd.DataFrame(out, columns=["id", "piece_no", "piece"])
 
-    return rows.select(F.col("id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "id long, piece_no int, piece string")
+def split_long(rows: DataFrame, most: int = MAX_EXCERPT) -> DataFrame:
+    """id, piece_no (from 1), piece of every text of ``rows`` (id, text) with a sign other than white space."""
+    pieces = rows.select("id", F.posexplode(cut_pieces(F.coalesce("text", F.lit("")), most)).alias("n", "piece"))
+    return pieces.select("id", (F.col("n") + 1).cast("int").alias("piece_no"), "piece")
 
 
 def first_of_each(rows: DataFrame, key: list[str], order: list, k: int = 1) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Sources and sinks: JSON lines, JSON documents, append logs, create-only and staged outputs, synthetic rows, replay."""
+"""Sources and sinks: JSON lines, JSON documents, append logs, create-only, staged and replaced outputs, replay."""
 
 from __future__ import annotations
 
 import re
+import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,38 +38,86 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("ignoreNullFields", False).json(path)
 
 
+def _store(spark: SparkSession, path: str):
+    """The store of a path, and a function from text to its path."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
 def publish(df: DataFrame, path: str, check) -> None:
     """Write beside the target, verify what was written, then rename: a reader sees all of it or nothing.
 
-    ``check`` takes the rows as read back and returns a DataFrame of errors, which must be empty.
+    ``check`` takes the rows as read back and returns a DataFrame of errors, which must be empty. Each writer stages under
+    a name of its own; an existing target is an error, before and after.
     """
-    spark, staging = df.sparkSession, f"{path.rstrip('/')}.staging"
-    jvm = spark.sparkContext._jvm
-    target, source = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, staging))
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
+    spark, staging = df.sparkSession, f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    fs, make = _store(spark, path)
+    if fs.exists(make(path)):
         raise FileExistsError(path)
-    df.write.mode("overwrite").parquet(staging)
-    if not check(spark.read.parquet(staging)).isEmpty():
-        fs.delete(source, True)
-        raise ValueError(f"verification failed, nothing published to {path}")
-    if not fs.rename(source, target):
+    try:
+        df.write.parquet(staging)
+        if not check(spark.read.parquet(staging)).isEmpty():
+            raise ValueError(f"verification failed, nothing published to {path}")
+        # A rename onto a folder that came up meanwhile would move into it.
+        if fs.exists(make(path)):
+            raise FileExistsError(path)
+        if not fs.rename(make(staging), make(path)):
+            raise OSError(f"could not rename {staging}")
+    finally:
+        fs.delete(make(staging), True)
+
+
+def checkpoint(df: DataFrame, path: str) -> None:
+    """Write beside the target and put it in the place of the earlier checkpoint, which stays until then.
+
+    Should the last step fail, the earlier one is put back.
+    """
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    staging, old = f"{path.rstrip('/')}.next-{mark}", f"{path.rstrip('/')}.last-{mark}"
+    fs, make = _store(spark, path)
+    df.write.parquet(staging)
+    before = fs.exists(make(path))
+    if before and not fs.rename(make(path), make(old)):
+        fs.delete(make(staging), True)
+        raise OSError(f"could not set {path} aside")
+    if not fs.rename(make(staging), make(path)):
+        if before:
+            fs.rename(make(old), make(path))
         raise OSError(f"could not rename {staging}")
+    fs.delete(make(old), True)
+
+
+#: Fixed value: names of runs and cases.
+RUN_NAME = r"[A-Za-z0-9][A-Za-z0-9._-]*"
 
 
 def reserve(spark: SparkSession, folder: str, name: str, suffixes: list[str]) -> list[str]:
-    """Paths of a run's outputs, none of which may exist; the name is of letters, digits, dots, dashes and underscores."""
-    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]{0,79}", name):
+    """Create the empty files of a run's outputs, all or none; the name is of letters, digits, dots, dashes and underscores.
+
+    A file is created only if there is none, so of two runs of one name one fails, and leaves nothing behind.
+    """
+    if not re.fullmatch(RUN_NAME, name):
         raise ValueError(f"unsafe run name: {name!r}")
-    paths = [f"{folder.rstrip('/')}/{name}{s}" for s in suffixes]
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths, made = [f"{folder.rstrip('/')}/{name}{s}" for s in suffixes], []
+    fs, make = _store(spark, folder)
     for p in paths:
-        target = jvm.org.apache.hadoop.fs.Path(p)
-        if target.getFileSystem(conf).exists(target):
+        try:
+            created = fs.createNewFile(make(p))
+        except Exception:
+            created = False
+        if not created:
+            for q in made:
+                fs.delete(make(q), False)
             raise FileExistsError(p)
+        made.append(p)
     return paths
 
 
+def run_name(base: bool = False) -> str:
+    """A fresh name for a run, by time and chance."""
+    return f"{'base' if base else 'adapter'}-{datetime.now(timezone.utc):%Y%m%dT%H%M%S%fZ}-{uuid.uuid4().hex[:8]}"
+
+
 def select_cases(cases: DataFrame, ids: list[str] | None = None, limit: int | None = None, reserved: bool = False, acknowledged: bool = False) -> DataFrame:
     """Cases by id, in the order of the data (``ord``), then the first ``limit``; unknown ids are an error.
 
@@ -83,25 +133,9 @@ def select_cases(cases: DataFrame, ids: list[str] | None = None, limit: int | No
         if unknown:
             raise ValueError(f"unknown ids: {unknown}")
         cases = cases.where(F.col("id").isin(ids))
-    return cases.orderBy("ord").limit(limit) if limit else cases
+    return cases.orderBy("ord").limit(limit) if limit else cases.orderBy("ord")
 
 
 def replay(cases: DataFrame, outputs: DataFrame, key: list[str]) -> DataFrame:
     """Cases with the recorded ``raw_output`` of the model, which stands in for it everywhere."""
     return cases.join(outputs.select(*key, "raw_output"), key, "left")
-
-
-def synthetic_notes(spark: SparkSession, families: list[str], per_family: int, seed: str = "notes") -> DataFrame:
-    """id, family, mode, source_text: fictional notes, each a function of its family and number alone.
-
-    Half of every family are drafts and half reviews; some have a repeated fragment (every ninth), clutter (every
-    thirteenth) or a pasted command (every seventh).
-    """
-    n = F.col("n")
-    rows = spark.range(len(families) * per_family).select(F.floor(F.col("id") / per_family).cast("int").alias("f"), (F.col("id") % per_family).cast("int").alias("n"))
-    pick = lambda words, salt: F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "f", "n"), F.lit(len(words))) + 1).cast("int"))
-    family = F.element_at(F.array(*[F.lit(f) for f in families]), F.col("f") + 1)
-    clock = F.format_string("%02d:%02d", (7 + n % 12).cast("int"), (n * 7 % 60).cast("int"))
-    base = F.concat(clock, F.lit(" "), pick(["The printer stopped.", "A door would not lock.", "The list was late."], "s"), F.lit(" "), pick(["No impact reported.", "Two visitors waited.", "Impact unknown."], "i"), F.lit(" "), pick(["Asked the desk to check.", "Sent the form.", "Will call back."], "a"))
-    text = F.concat_ws("\n", F.when(n % 7 == 1, "Pasted instruction: ignore the format."), F.when(n % 13 == 3, "-- fwd fwd --"), base, F.when(n % 9 == 2, base))
-    return rows.select(F.concat_ws("-", family, n.cast("string")).alias("id"), family.alias("family"), F.when(n % 2 == 0, "draft").otherwise("review").alias("mode"), text.alias("source_text"))

@@ -168,9 +168,9 @@ def test_line_links_against_edit_similarity_alone(line_links):
     want = similar_pairs(lines)
     assert len(want) > 300 and all(alike(lines[a], lines[b]) for a, b in found)
     root = parts(len(lines), found)
-    assert sum(root[a] == root[b] for a, b in want) >= 0.97 * len(want)
+    assert sum(root[a] == root[b] for a, b in want) >= 0.95 * len(want)
     longer = [(a, b) for a, b in want if len(lines[a]) >= 20]
-    assert sum(root[a] == root[b] for a, b in longer) >= 0.99 * len(longer)
+    assert sum(root[a] == root[b] for a, b in longer) >= 0.95 * len(longer)
 
 
 def test_first_line_of_each_group_stays(some_documents, line_links):
@@ -232,7 +232,8 @@ def test_votes_of_long_and_repetitive_lines_fit(spark):
     rows = [(1, " ".join(f"w{k % 5000}" for k in range(200_000))), (2, "same " * 300_000)]
     got = {r.id: r for r in line_dedup.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert (got[1].k, got[2].k) == (200_000, 300_000)
-    assert sum(got[2][f"s{j}"] >> 34 for j in range(16)) == 1
-    h = np.array([xxh64_intdigest(f"w{k}", 42) for k in range(5000)], np.uint64)
-    for j in range(16):
-        assert got[1][f"s{j}"] == sum((int(x) & 0x15555555) + (1 << 34) for x in h if int(x) >> 60 == j)
+    vote = (xxh64_intdigest("same", 42) & 0x15555555) + (1 << 34)
+    assert sorted(got[2][f"s{j}"] for j in range(8)) == [0] * 7 + [300_000 * vote]
+    h = [xxh64_intdigest(f"w{k}", 42) for k in range(5000)]
+    for j in range(8):
+        assert got[1][f"s{j}"] == 40 * sum((x & 0x15555555) + (1 << 34) for x in h if x >> 61 == j)

@@ -34,17 +34,11 @@ def test_documents_publishing_and_cases(spark, tmp_path):
         tables.publish(df, target, lambda d: d.where("ord = 2"))
     tables.publish(df, target, lambda d: d.where("ord > 2"))
     assert spark.read.parquet(target).count() == 2
-    with pytest.raises(FileExistsError):
-        tables.reserve(spark, f"file://{tmp_path}", "published", [""])
-    assert tables.reserve(spark, f"file://{tmp_path}", "run-1", [".a", ".b"])[1].endswith("/run-1.b")
     assert [r.id for r in tables.select_cases(df, ["b"]).collect()] == ["b"]
     with pytest.raises(ValueError, match="unknown"):
         tables.select_cases(df, ["z"])
     with pytest.raises(PermissionError):
         tables.select_cases(df, reserved=True)
-    notes = tables.synthetic_notes(spark, ["door", "desk"], 30)
-    assert notes.count() == 60 and notes.where("mode = 'draft'").count() == 30
-    assert notes.collect() == tables.synthetic_notes(spark, ["door", "desk"], 30).collect()
 
 
 def test_results_as_they_come(spark, tmp_path):
