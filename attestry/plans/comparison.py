@@ -22,14 +22,14 @@ def pending_pairs_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.pending(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
-@query("""WITH e AS (SELECT doc_id, CASE WHEN n_chars >= 1000 THEN 1 ELSE 0 END AS label FROM documents WHERE doc_id % 3 <> 0), a AS (SELECT doc_id, quality AS label FROM labels)
+@query("""WITH e AS (SELECT doc_id, CASE WHEN n_chars >= 1000 THEN 1 ELSE 0 END AS label FROM documents), a AS (SELECT doc_id, quality AS label FROM labels UNION ALL SELECT -1 - item_id, 1 FROM benchmark)
 SELECT coalesce(e.doc_id, a.doc_id) AS doc_id, e.label AS expected, a.label AS actual,
 CASE WHEN a.doc_id IS NULL THEN 'missing' WHEN e.doc_id IS NULL THEN 'unexpected' WHEN e.label IS NOT DISTINCT FROM a.label THEN 'matched' ELSE 'mismatched' END AS outcome
 FROM e FULL OUTER JOIN a ON e.doc_id = a.doc_id""")
 def expected_actual_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Two of three documents are expected: the others' labels are unexpected, which the outcome needs.
-    expected = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id", (F.col("n_chars") >= 1000).cast("int").alias("label"))
-    actual = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    # Every document is expected, and labels of other things are not: documents without a label are missing, those unexpected.
+    expected = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") >= 1000).cast("int").alias("label"))
+    actual = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).unionAll(table(spark, sf_dir, "benchmark").select(-1 - F.col("item_id"), F.lit(1)))
     return E.match_groups(expected, actual, ["doc_id"], "label")
 
 
@@ -51,16 +51,19 @@ def variant_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.roll_up(outcomes, "variant").withColumn("failures", F.array_join("failures", ",")).drop("seconds")
 
 
-@query("""WITH m AS (SELECT doc_id AS file, n_chars AS bytes, sha256(text) AS sha256 FROM documents WHERE doc_id % 10 <> 0),
-f AS (SELECT doc_id AS file, n_chars AS bytes, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '.' ELSE text END) AS sha256 FROM documents WHERE doc_id % 11 <> 0)
+@query("""WITH m AS (SELECT doc_id AS file, n_chars AS bytes, sha256(text) AS sha256 FROM documents UNION ALL SELECT -1 - item_id, length(text), sha256(text) FROM benchmark),
+f AS (SELECT doc_id AS file, n_chars + (lang = 'fr')::INT AS bytes, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '.' ELSE text END) AS sha256 FROM documents UNION ALL SELECT -1000000 - page_id, length(url), sha256(url) FROM pages)
 SELECT CAST(coalesce(m.file, f.file) AS VARCHAR) AS file, CASE WHEN f.file IS NULL THEN 'missing' WHEN m.file IS NULL THEN 'unlisted' WHEN f.bytes <> m.bytes THEN 'size' WHEN f.sha256 <> m.sha256 THEN 'digest' ELSE 'verified' END AS outcome
 FROM m FULL OUTER JOIN f ON m.file = f.file""")
 def manifest_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), "doc_id", F.col("n_chars").alias("bytes"), "text")
-    # A manifest and a folder that differ in every way the outcome names, made of the documents.
-    listed = docs.where("doc_id % 10 <> 0").select("file", "bytes", F.sha2("text", 256).alias("sha256"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), "doc_id", F.col("n_chars").alias("bytes"), "text", "lang")
+    # A manifest and a folder that differ in every way the outcome names: every document is on both sides, some with another
+    # size or text; benchmark items are listed only, pages only there.
+    more = lambda name, id_, text: table(spark, sf_dir, name).select(id_.cast("string").alias("file"), F.length(text).cast("long").alias("bytes"), F.sha2(text, 256).alias("sha256"))
+    listed = docs.select("file", "bytes", F.sha2("text", 256).alias("sha256")).unionAll(more("benchmark", -1 - F.col("item_id"), "text"))
     changed = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))
-    present = docs.where("doc_id % 11 <> 0").select("file", "bytes", F.sha2(changed, 256).alias("sha256"))
+    size = F.col("bytes") + (F.col("lang") == "fr").cast("int")
+    present = docs.select("file", size.alias("bytes"), F.sha2(changed, 256).alias("sha256")).unionAll(more("pages", -1_000_000 - F.col("page_id"), "url"))
     return P.verify(listed, present)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import text as T
 from attestry.operators import corpus as C
+from attestry.operators import grounding as G
 from attestry.operators import intervals as I
 from attestry.plans.registry import query, table
 
@@ -55,21 +56,19 @@ FROM (SELECT doc_id, text, list_filter(range(0, length(text) - 2), lambda i: sub
 def overlapping_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("ene")))
     quote, text = F.lit("ene"), F.col("text")
-    # Jumping from find to find keeps this linear; occurrences() tries every place, for short event groups.
-    pieces = F.split(text, "(?=ene)", -1)
-    starts = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")), lambda acc, p: F.struct((acc.at + F.length(p)).alias("at"), F.when(F.substring(text, acc.at + 1, F.lit(3)) == quote, F.array_append(acc.found, acc.at)).otherwise(acc.found).alias("found"))).found
-    # "enene" holds two finds that share a sign: each start begins a piece, and its find may reach into the next one.
-    rows = docs.select("doc_id", starts.alias("p"), F.size(T.separate_occurrences(text, quote)).cast("long").alias("n_separate"))
+    rows = docs.select("doc_id", T.occurrences(text, quote).alias("p"), F.size(T.separate_occurrences(text, quote)).cast("long").alias("n_separate"))
     return rows.select("doc_id", F.size("p").cast("long").alias("n_overlapping"), F.get("p", F.lit(0)).cast("long").alias("first_at"), F.try_element_at("p", F.lit(-1)).cast("long").alias("last_at"), "n_separate")
 
 
-@query("""SELECT d.doc_id, b.item_id, strpos(d.text, b.text) - 1 AS at, CAST(length(b.text) AS BIGINT) AS n_chars FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
+@query("""SELECT d.doc_id, b.item_id, strpos(d.text, b.text) - 1 AS at, CAST(length(b.text) AS BIGINT) AS n_chars, true AS supported, upper(b.text) = b.text OR contains(d.text, upper(b.text)) AS upper_supported
+FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def quote_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
     held = C.contained(docs, items)
     both = held.join(docs.toDF("text_id", "text"), "text_id").join(items.toDF("passage_id", "quote"), "passage_id")
-    return both.select(F.col("text_id").alias("doc_id"), F.col("passage_id").alias("item_id"), T.find(F.col("quote"), F.col("text")).cast("long").alias("at"), F.length("quote").cast("long").alias("n_chars"))
+    return both.select(F.col("text_id").alias("doc_id"), F.col("passage_id").alias("item_id"), T.find(F.col("quote"), F.col("text")).cast("long").alias("at"), F.length("quote").cast("long").alias("n_chars"),
+                       G.quotes_exist(F.array("quote"), F.col("text")).alias("supported"), G.quotes_exist(F.array("quote", F.upper("quote")), F.col("text")).alias("upper_supported"))
 
 
 @query()

@@ -8,22 +8,26 @@ from pyspark.sql import functions as F
 from attestry.functions import lexicon as L
 from attestry.functions import text as T
 from attestry.operators import clean as K
+from attestry.operators import evaluate as E
 from attestry.operators import grounding as G
 from attestry.operators import validate as V
 from attestry.plans.registry import query, table
 
-#: Fixed for both engines: what the driver's texts have in place of pasted commands and keys.
+#: Fixed for both engines: what the driver's texts have in place of pasted commands.
 LICENCE_LINE = r"(?i)^\s*(?:licensed under|copyright|all rights reserved)"
-SECRET = r"(?i)\b(?:api[_-]?key|secret|password|token)\b\s*[:=]|\bAKIA[0-9A-Z]{8,}|\bsk-[A-Za-z0-9]{8,}|\bghp_[A-Za-z0-9]{8,}"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
-@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
-SELECT doc_id, count(*) FILTER (regexp_matches(line, '{LICENCE_LINE}')) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT regexp_matches(line, '{LICENCE_LINE}')), '')) AS kept_sha256 FROM l GROUP BY 1""")
+#: Licence lines stand for pasted instructions: both engines mark them as such first.
+_MARKED = "regexp_replace(text, '" + LICENCE_LINE.replace("(?i)^", "(?im)^") + "', 'Pasted instruction: ', 'g')"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace({_MARKED}, '\n$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace({_MARKED}, '\n$', ''), chr(10)), 1) AS n FROM documents)
+SELECT doc_id, count(*) FILTER (regexp_matches(line, '{L.INSTRUCTION_LINE}')) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT regexp_matches(line, '{L.INSTRUCTION_LINE}')), '')) AS kept_sha256 FROM l GROUP BY 1""")
 def instruction_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l"))
-    kept = F.filter("l", lambda x: ~x.rlike(LICENCE_LINE))
-    return lines.select("doc_id", (F.size("l") - F.size(kept)).cast("long").alias("n_removed"), F.sha2(F.array_join(kept, "\n"), 256).alias("kept_sha256"))
+    marked = F.regexp_replace("text", LICENCE_LINE.replace("(?i)^", "(?im)^"), "Pasted instruction: ")
+    kept = K.drop_instruction_lines(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), marked.alias("text")))
+    lines = F.array_join(T.lines(F.col("text"), keep_ends=False), "\n")
+    return kept.select(F.col("id").alias("doc_id"), F.size("removed").cast("long").alias("n_removed"), F.sha2(lines, 256).alias("kept_sha256"))
 
 
 @query()
@@ -32,14 +36,6 @@ def note_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.clean(turns).select("id.conv_id", "id.turn", F.length("cleaned").alias("n_kept"), F.size("removed").alias("n_removed"))
 
 
-@query(rf"""SELECT doc_id, CAST(len(regexp_extract_all(text, '{SECRET}')) AS BIGINT) AS n_secrets, CAST(len(regexp_extract_all(text, '{EMAIL}')) AS BIGINT) AS n_emails FROM documents
-WHERE regexp_matches(text, '{SECRET}') OR regexp_matches(text, '{EMAIL}')""")
-def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(SECRET) | F.col("text").rlike(EMAIL))
-    count = lambda p: F.size(T.found(F.col("text"), p)).cast("long")
-    return docs.select("doc_id", count(SECRET).alias("n_secrets"), count(EMAIL).alias("n_emails"))
-
-
 _FLAGS = {"qualified": L.QUALIFIER, "prospective": L.PROSPECTIVE, "completed": L.COMPLETED, "negated": L.NEGATIVE}
 
 
@@ -111,15 +107,19 @@ def parse_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), v.isNotNull().alias("valid"))
 
 
-@query("""SELECT event_id, CASE WHEN NOT json_valid(props) THEN 'json' WHEN json_keys(props) <> ['k'] THEN 'keys' WHEN json_type(props, '$.k') NOT IN ('UBIGINT', 'BIGINT') THEN 'type'
-WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50 THEN 'range' ELSE '' END AS schema_error FROM events""")
+@query(f"""SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN turn = 3 THEN 'keys' END, CASE WHEN role <> 'assistant' THEN 'event_type' END, CASE WHEN length(text) > 1200 OR text = '' THEN 'situation' END,
+ CASE WHEN turn % 4 = 1 THEN 'plan' END, CASE WHEN turn % 5 = 2 THEN 'suggestions' END], lambda x: x IS NOT NULL), '|') AS errors FROM conversations WHERE turn <> 6
+UNION ALL SELECT conv_id, turn, 'json' FROM conversations WHERE turn = 6""")
 def schema_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.try_parse_json("props")
-    error = (
-        F.when(v.isNull(), "json").when(~V.keys_are(v, "$", ["k"]), "keys").when(F.schema_of_variant(F.try_variant_get(v, "$.k", "variant")) != "BIGINT", "type")
-        .when(F.try_variant_get(v, "$.k", "bigint") >= 50, "range").otherwise("")
-    )
-    return table(spark, sf_dir, "events").select("event_id", error.alias("schema_error"))
+    turn = F.col("turn")
+    fact = F.to_json(F.struct(F.col("text"), F.array(F.lit("q")).alias("evidence")))
+    plan = F.when(turn % 4 == 1, F.lit('[{"text": "x", "evidence": "no list"}]')).otherwise("[]")
+    tips = F.when(turn % 5 == 2, F.lit('[{"section": "situation", "text": "x", "basis": ["q"], "confirm": "?"}]')).otherwise("[]")
+    kind = F.when(F.col("role") == "assistant", "conversation").otherwise(F.col("role"))
+    more = F.when(turn == 3, ', "more": 1').otherwise("")
+    raw = F.concat(F.lit('{"event_type": "'), kind, F.lit('", "sections": {"situation": ['), fact, F.lit('], "impact": [], "agencies_contacted": [], "action": [], "plan": '), plan, F.lit('}, "suggestions": '), tips, more, F.when(turn == 6, "").otherwise("}"))
+    found = V.parse_records(table(spark, sf_dir, "conversations").select("conv_id", "turn", raw.alias("raw_output")))
+    return found.select("conv_id", "turn", F.array_join("schema_errors", "|").alias("errors"))
 
 
 @query(r"""WITH p AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w, list_distinct(regexp_extract_all(lower(lag(text) OVER (PARTITION BY conv_id ORDER BY turn)), '[\p{L}\p{N}_]+')) AS b FROM conversations)
@@ -132,23 +132,30 @@ def omitted_tokens_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gone.select("conv_id", "turn", F.size("gone").cast("long").alias("n_omitted"), F.array_join(F.slice("gone", 1, 5), " ").alias("omitted"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+(?:[.!?]+|$)') AS s FROM documents), u AS (SELECT doc_id, unnest(s) AS sentence FROM s)
-SELECT doc_id, regexp_replace(sentence, '^\s+|\s+$', '', 'g') AS sentence FROM u WHERE regexp_matches(sentence, '[0-9]{2,}')""")
+@query(rf"""WITH c AS (SELECT conv_id, turn, 'At 09:15 it began. ' || text || ' On 3 May 2031, by ' || lpad(CAST(turn % 24 AS VARCHAR), 2, '0') || ':30, it was done.' AS source, CASE WHEN turn % 2 = 0 THEN 'at 09:15' ELSE '3 MAY 2031' END AS visible FROM conversations),
+s AS (SELECT conv_id, turn, visible, regexp_replace(unnest(regexp_extract_all(source, '[^.!?\n]+(?:[.!?]+|$)')), '^\s+|\s+$', '', 'g') AS sentence FROM c)
+SELECT conv_id, turn, sentence FROM s WHERE regexp_matches(sentence, '{L.TIME}') AND NOT (turn % 2 = 0 AND sentence LIKE 'At 09:15 it began.%')""")
 def missing_anchor_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("sentence"))
-    return s.where(F.col("sentence").rlike("[0-9]{2,}")).select("doc_id", T.strip(F.col("sentence")).alias("sentence"))
+    turn = F.col("turn")
+    clock = F.lpad((turn % 24).cast("string"), 2, "0")
+    source = F.concat(F.lit("At 09:15 it began. "), "text", F.lit(" On 3 May 2031, by "), clock, F.lit(":30, it was done."))
+    rows = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), source.alias("source"), F.when(turn % 2 == 0, "at 09:15").otherwise("3 MAY 2031").alias("visible"))
+    return G.missing_anchor_sentences(rows).select("id.conv_id", "id.turn", "sentence")
+
+
+_FOLD = "replace(lower({}), 'ß', 'ss')"
 
 
-@query("""WITH w AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: length(x) >= 6)) AS w FROM benchmark),
-d AS (SELECT doc_id, lower(text) AS t FROM documents)
-SELECT item_id, doc_id, CAST(len(w) AS BIGINT) AS n_required, CAST(len(list_filter(w, lambda x: NOT contains(t, x))) AS BIGINT) AS n_missing FROM w JOIN d ON doc_id = item_id""")
+@query(f"""WITH w AS (SELECT item_id, list_distinct(list_filter(string_split(text, ' '), lambda x: length(x) >= 6)) AS w FROM benchmark), d AS (SELECT doc_id, {_FOLD.format('text')} AS t FROM documents)
+SELECT item_id, CAST(len(w) AS BIGINT) AS n_required, CAST(len(list_filter(w, lambda x: NOT contains(coalesce(t, ''), {_FOLD.format('x')}))) AS BIGINT) AS n_missing, CAST(contains(coalesce(t, ''), 'que')::INT AS BIGINT) AS n_hits FROM w LEFT JOIN d ON doc_id = item_id""")
 def required_fragments_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fragments = F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x) >= 6))
-    items = table(spark, sf_dir, "benchmark").select("item_id", fragments.alias("w"))
-    # A check is about the document of its own number.
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
-    missing = F.filter("w", lambda x: ~F.contains("t", x))
-    return docs.join(items, docs.doc_id == items.item_id).select("item_id", "doc_id", F.size("w").cast("long").alias("n_required"), F.size(missing).cast("long").alias("n_missing"))
+    fragments = F.array_distinct(F.filter(F.split("text", " "), lambda x: F.length(x) >= 6))
+    items = table(spark, sf_dir, "benchmark")
+    # A check is about the one event of its number's document, named in another case.
+    checks = items.select(F.col("item_id").alias("id"), F.lit(" DOCUMENT").alias("label"), F.lit("situation").alias("section"), fragments.alias("required"), F.array(F.lit("QUE")).alias("forbidden"))
+    events = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("event-1").alias("event_id"), F.lit("Document").alias("label"), F.lit("situation").alias("section"), "text")
+    screened = E.screen(checks, events.join(items.select(F.col("item_id").alias("id")), "id", "left_semi"))
+    return screened.join(checks.select("id", F.size("required").cast("long").alias("n_required")), "id").select(F.col("id").alias("item_id"), "n_required", F.size("missing").cast("long").alias("n_missing"), F.size("hits").cast("long").alias("n_hits"))
 
 
 @query("""WITH f AS (SELECT doc_id, text, strpos(lower(text), ' idiot') AS p FROM documents WHERE contains(lower(text), ' idiot'))
