@@ -12,16 +12,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
-from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm.bpe import gather
-from attestry.llm.common import batch, id_and_text, table
+from attestry.llm.common import batch, id_and_text, slices, table
 
 _TOKEN = re.compile(r"[^\W_]+(?:[*@$!'’][^\W_]+)*")
 #: Averages over hundreds of words are small; the softmax sees them times this fixed number.
@@ -34,12 +33,40 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
-def buckets(word: str, size: int, shortest: int = 3, longest: int = 6) -> list[int]:
-    """Buckets of a word and of its character n-grams, with marks at both ends."""
-    marked = f"<{word}>"
-    n = len(marked)
-    grams = {marked[k : k + w] for w in range(shortest, longest + 1) for k in range(n - w + 1)}
-    return [crc32(g.encode("utf-8", "replace")) % size for g in sorted(grams | {marked})]
+def buckets(words: list[str], size: int, shortest: int = 3, longest: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word and of its character n-grams, with marks at both ends, word after word, and how many each has.
+
+    All words lie in one array of code points: an n-gram's hash is a sum of its signs times fixed odd numbers, the word's
+    own one over all its signs. ``size`` is a power of two.
+    """
+    lens = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    signs = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.cumsum(lens)
+    place = np.arange(len(signs)) - np.repeat(ends - lens, lens)
+    left = np.repeat(lens, lens) - place
+    odd = np.cumprod(np.full(max(longest, int(lens.max(initial=1))), 0x9E3779B97F4A7C15, np.uint64)) | np.uint64(1)
+
+    def bucket(h: np.ndarray) -> np.ndarray:
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h >> np.uint64(64 - (size.bit_length() - 1))).astype(np.int32)
+
+    widths = [w for w in range(shortest, longest + 1)]
+    # A word as short as an n-gram is that n-gram.
+    many = [np.maximum(0, lens - w + 1) - (lens == w) for w in widths]
+    counts = 1 + sum(many)
+    at = np.cumsum(counts) - counts
+    out = np.zeros(int(counts.sum()), np.int32)
+    out[at] = bucket(np.add.reduceat(signs * odd[place], ends - lens)) if len(words) else 0
+    at = at + 1
+    owner = np.repeat(np.arange(len(words)), lens)
+    for w, n in zip(widths, many):
+        starts = np.flatnonzero((left >= w) & (np.repeat(lens, lens) != w))
+        h = np.full(len(starts), w, np.uint64)
+        for j in range(w):
+            h += signs[starts + j] * odd[j]
+        out[at[owner[starts]] + place[starts]] = bucket(h)
+        at = at + n
+    return out, counts
 
 
 @dataclass
@@ -50,25 +77,25 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     known: dict[str, float] = field(default_factory=dict, repr=False)
+    per_bucket: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self):
         return self.vectors, self.weights, self.bias
 
     def __setstate__(self, state):
         self.vectors, self.weights, self.bias = state
-        self.known = {}
+        self.known, self.per_bucket = {}, None
 
     def word_logits(self, words: list[str]) -> list[float]:
         """What each word adds to the log-odds of class 1, before the mean over words."""
         if not words:
             return []
-        rows = [buckets(w, len(self.vectors)) for w in words]
-        starts = np.cumsum([0] + [len(r) for r in rows[:-1]])
-        per_bucket = self.vectors @ (self.weights[:, 1] - self.weights[:, 0])
-        values = per_bucket[np.fromiter((b for r in rows for b in r), np.int64)]
-        return (np.add.reduceat(values, starts) / [len(r) for r in rows] * _SCALE).tolist()
+        slots, counts = buckets(words, len(self.vectors))
+        if self.per_bucket is None:
+            self.per_bucket = self.vectors @ (self.weights[:, 1] - self.weights[:, 0])
+        return (np.add.reduceat(self.per_bucket[slots], np.cumsum(counts) - counts) / counts * _SCALE).tolist()
 
-    def scores(self, texts: list[str], remembered: int = 250_000, at_once: int = 256) -> list[float]:
+    def scores(self, texts: list[str], remembered: int = 150_000, at_once: int = 256) -> list[float]:
         """Probability of class 1; a text without words has that of the bias alone."""
         base, out = float(self.bias[1] - self.bias[0]), []
         for at in range(0, len(texts), at_once):
@@ -98,12 +125,8 @@ class Counts:
         return Counts(list(known), index, np.fromiter((n for d in documents for n in d.values()), np.float32), np.array([len(d) for d in documents], np.int64))
 
 
-def train(documents: Counts, labels: list[int], size: int = 1 << 16, dim: int = 8, epochs: int | None = None, rate: float = 0.3, seed: int = 1, group: int = 32, damping: float = 1e-3, least_docs: int = 20) -> Model:
-    """Fit to counted documents. One class or no rows: the prior alone.
-
-    ``epochs``: where none are given, 4, or more for few documents, so that they get as many steps (40 at most).
-    """
-    epochs = epochs or min(40, max(4, 48_000 // max(1, len(labels))))
+def train(documents: Counts, labels: list[int], size: int = 1 << 16, dim: int = 8, steps: int = 1_500, rate: float = 0.3, seed: int = 1, group: int = 32, damping: float = 1e-3, least_docs: int = 20) -> Model:
+    """Fit to counted documents in ``steps`` gradient steps of ``group`` documents, whatever their number. One class or no rows: the prior alone."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.int64)
     vectors = rng.uniform(-1 / dim, 1 / dim, (size, dim)).astype(np.float32)
@@ -115,13 +138,9 @@ def train(documents: Counts, labels: list[int], size: int = 1 << 16, dim: int =
     n_docs, ends = len(documents.sizes), np.cumsum(documents.sizes)
     doc = [slice(int(e - n), int(e)) for e, n in zip(ends, documents.sizes)]
     share = documents.counts / np.repeat(np.add.reduceat(np.append(documents.counts, 0), np.minimum(ends - documents.sizes, len(documents.counts))) + _SILENT, documents.sizes)
-    lens = np.zeros(len(documents.words), np.int64)
-    flat = []
-    for at in range(0, len(lens), 20_000):
-        rows = [buckets(w, size) for w in documents.words[at : at + 20_000]]
-        lens[at : at + len(rows)] = [len(r) for r in rows]
-        flat.append(np.fromiter(chain.from_iterable(rows), np.int32))
-    flat = np.concatenate(flat)
+    parts = [buckets(documents.words[at : at + 20_000], size) for at in range(0, len(documents.words), 20_000)]
+    flat, lens = (np.concatenate(x) for x in zip(*parts))
+    del parts
     begin = np.cumsum(lens) - lens
     # A bucket of few documents would only learn those by heart: it stays zero.
     in_docs = np.zeros(size, np.int64)
@@ -130,42 +149,40 @@ def train(documents: Counts, labels: list[int], size: int = 1 << 16, dim: int =
         in_docs[np.unique(flat[gather(begin[words], lens[words])])] += 1
     live = in_docs >= least_docs
     vectors[~live] = 0
+    vectors = np.ascontiguousarray(vectors.T)  # a row for each dimension
     seen, seen_w, seen_b = np.full(size, damping, np.float32), np.full(weights.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    for epoch in range(epochs):
-        step = np.float32(rate * (1 - epoch / epochs))
-        order = rng.permutation(n_docs)
-        for at in range(0, n_docs, group):
-            some = [k for k in order[at : at + group] if documents.sizes[k]]
-            if not some:
-                continue
-            words, inverse = np.unique(np.concatenate([documents.index[doc[k]] for k in some]), return_inverse=True)
-            part = np.concatenate([share[doc[k]] for k in some])
-            first = np.cumsum(documents.sizes[some]) - documents.sizes[some]
-            owner = np.repeat(np.arange(len(some)), documents.sizes[some])
-            n = lens[words]
-            starts = np.cumsum(n) - n
-            slots = flat[gather(begin[words], n)]
-            word_vectors = np.add.reduceat(vectors[slots], starts) / n[:, None]
-            mean = np.add.reduceat(word_vectors[inverse] * part[:, None], first) * _SCALE
-            logits = mean @ weights + bias
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            error = p
-            error[np.arange(len(some)), y[some]] -= 1
-            grad_mean = (error @ weights.T) * _SCALE
-            grad_w, grad_b = mean.T @ error / len(some), error.mean(axis=0)
-            by_word = np.stack([np.bincount(inverse, part * grad_mean[owner, d], len(words)) for d in range(dim)], 1) / n[:, None]
-            used, back = np.unique(slots, return_inverse=True)
-            spread = np.repeat(by_word, n, axis=0)
-            grad = np.stack([np.bincount(back, spread[:, d], len(used)) for d in range(dim)], 1).astype(np.float32)
-            seen[used] += (grad * grad).mean(axis=1)
-            grad[~live[used]] = 0
-            vectors[used] -= step * grad / np.sqrt(seen[used])[:, None]
-            seen_w += grad_w * grad_w
-            weights -= step * grad_w / np.sqrt(seen_w)
-            seen_b += grad_b * grad_b
-            bias -= step * grad_b / np.sqrt(seen_b)
-    return Model(vectors, weights, bias)
+    full = np.flatnonzero(documents.sizes)
+    order, at = full[:0], 0
+    for number in range(steps if len(full) else 0):
+        step = np.float32(rate * (1 - number / steps))
+        if at >= len(order):
+            order, at = rng.permutation(full), 0
+        some = order[at : at + group].tolist()
+        at += group
+        words, inverse = np.unique(np.concatenate([documents.index[doc[k]] for k in some]), return_inverse=True)
+        part = np.concatenate([share[doc[k]] for k in some])
+        first = np.cumsum(documents.sizes[some]) - documents.sizes[some]
+        owner = np.repeat(np.arange(len(some)), documents.sizes[some])
+        n = lens[words]
+        starts = np.cumsum(n) - n
+        slots = flat[gather(begin[words], n)]
+        mean = np.stack([np.add.reduceat((np.add.reduceat(v[slots], starts) / n)[inverse] * part, first) for v in vectors], 1) * _SCALE
+        logits = mean @ weights + bias
+        error = np.exp(logits - logits.max(axis=1, keepdims=True))
+        error /= error.sum(axis=1, keepdims=True)
+        error[np.arange(len(some)), y[some]] -= 1
+        grad_mean = (error @ weights.T) * _SCALE
+        grad_w, grad_b = mean.T @ error / len(some), error.mean(axis=0)
+        # Over all buckets: that is less work than to find the distinct ones of a step.
+        grad = np.stack([np.bincount(slots, np.repeat(np.bincount(inverse, part * g[owner], len(words)) / n, n), size) for g in grad_mean.T]).astype(np.float32)
+        grad *= live
+        seen += (grad * grad).mean(axis=0)
+        vectors -= step * grad / np.sqrt(seen)
+        seen_w += grad_w * grad_w
+        weights -= step * grad_w / np.sqrt(seen_w)
+        seen_b += grad_b * grad_b
+        bias -= step * grad_b / np.sqrt(seen_b)
+    return Model(np.ascontiguousarray(vectors.T), weights, bias)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 6_000) -> Model:
@@ -181,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 6_000) -> Model:
     schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [Counter(tokens(t)) for t in b.column("text").to_pylist()]
             yield batch(schema, doc_id=b.column("doc_id"), toxic=b.column("toxic"), words=[list(c) for c in found], counts=[list(c.values()) for c in found])
 
@@ -201,15 +218,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
     @F.pandas_udf("double")
-    def of(texts):
-        import pandas as pd
-
-        return pd.Series(shared.value.scores(texts.tolist()), dtype="float64")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(shared.value.scores(texts.tolist()), dtype="float64")
+        shared.value.known = {}  # the worker lives on for other tasks
 
     return docs.select("doc_id", F.struct(*docs.columns).alias("row"), of(F.coalesce("text", F.lit(""))).alias("score"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str, reject: float = 0.7) -> DataFrame:
+    """Score and decision of every document; see ``fit`` and ``score`` for their cases."""
     docs = table(spark, sf_dir, "documents")
     scored = score(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels")))
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
