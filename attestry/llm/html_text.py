@@ -91,16 +91,16 @@ class Lines(HTMLParser):
                 tag, apart, _, box = self.open[-1]
                 heading = tag in HEADINGS or any(o[0] in HEADINGS for o in self.open[-4:-1])
                 self.lines.append(Line(text, max(1, self.tags), self.linked, bool(apart), box, heading))
-                self.tags = self.linked = 0
             self.parts = []
+        self.tags = self.linked = 0  # tags between two blocks are neither's
 
     def handle_starttag(self, tag, attrs):
-        self.tags += 1
         if tag in BLOCKS:
             self.flush()
             self._imply_end(tag)
         elif tag == "br":
             self.parts.append(" ")
+        self.tags += 1
         if tag in VOID:
             return
         if tag == "a":
