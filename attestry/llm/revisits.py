@@ -41,16 +41,28 @@ def _weak(etag: Column) -> Column:
     return F.regexp_replace(etag, "^W/", "")
 
 
-def as_of(records: DataFrame, slices: int = 256) -> DataFrame:
+def _slice(at: Column, bounds: list[float]) -> Column:
+    """How many of the sorted bounds a time has reached, by halves."""
+
+    def within(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(at < bounds[mid], within(lo, mid)).otherwise(within(mid + 1, hi))
+
+    return within(0, len(bounds))
+
+
+def as_of(records: DataFrame, slices: int = 128) -> DataFrame:
     """``records`` (key, at, record_id, full, and more) with ``source``: the latest earlier full record of the key.
 
     Earlier: a smaller (at, record_id). ``full`` marks the records that can be a source; ``source`` is a struct
-    of all columns, null where there is none. Records with a null key or time have none.
+    of all columns, null where there is none. Records with a null key or time have none. Slices hold about as many records
+    each, whatever stray times there are: their bounds are quantiles of the times, known within a thousandth.
     """
     names = records.columns
-    low, high = records.agg(F.min("at"), F.max("at")).first()
-    width = max(1, ((high or 0) - (low or 0)) // slices + 1)
-    sliced = records.withColumn("slice", F.floor((F.col("at") - F.lit(low or 0)) / F.lit(width)))
+    bounds = sorted(set(records.stat.approxQuantile("at", [k / slices for k in range(1, slices)], 1e-3)))
+    sliced = records.withColumn("slice", _slice(F.col("at"), bounds))
     usable = F.col("key").isNotNull() & F.col("at").isNotNull()
     timed, rest = sliced.where(usable), sliced.where(~usable)
     source = F.when(F.col("full"), F.struct(*names))
@@ -114,6 +126,7 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit of ``captures`` resolved; see ``resolve`` for its cases."""
     found = resolve(captures(table(spark, sf_dir, "pages")))
     lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e.key, F.lit(": "), e.value)))
     return found.select("record_id", "canonical_url", "source_id", "outcome", F.array_join(lines, "\n").alias("headers"))
