@@ -39,6 +39,8 @@ class ByteBPE:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if any(t.get(flag) for t in spec["added_tokens"] for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take the blanks or words beside them are not supported")
         size = max([*vocab.values(), *self.added.values()]) + 1
         signs = printable_bytes()
         byte_of = {s: b for b, s in enumerate(signs)}
@@ -99,7 +101,7 @@ class ByteBPE:
         counts = np.zeros(len(texts), np.int64)
         for n, text in enumerate(texts):
             before = len(sequence)
-            parts = self.cut.split(text) if self.cut and "<" in text else [text]
+            parts = self.cut.split(text) if self.cut and any(t in text for t in self.added) else [text]
             for k, part in enumerate(parts):
                 if k % 2:
                     sequence.append(-1 - self.added[part])

@@ -96,6 +96,39 @@ def test_packing(spark, odd_documents):
     assert packing.pack_documents(odd_documents.limit(0)).count() == 0
 
 
+def test_related_documents_share_a_shard():
+    """Copies have one kin; documents with a tenth of their ids changed mostly do, or one beside it."""
+    rng = np.random.default_rng(8)
+    cost = packing.costs(50_257)
+    base = [rng.integers(0, 50_257, 300) for _ in range(400)]
+    near = [np.where(rng.random(300) < 0.1, rng.integers(0, 50_257, 300), b) for b in base]
+    kin = np.array([packing.kinship(x, cost) for x in [*base, *base, *near]])
+    assert (kin[:400] == kin[400:800]).all()
+    place = kin.argsort(kind="stable").argsort() // 64
+    assert (place[:400] == place[800:]).mean() > 0.6 > 10 * np.mean(place[:400] == rng.permutation(place[800:]))
+    assert packing.kinship(np.array([7]), cost) != packing.kinship(np.array([8]), cost) and packing.kinship(np.zeros(0, int), cost) == 0
+
+
+def test_packing_needs_no_padding(spark, odd_documents):
+    """Every row gives its pieces, those of a repeated doc_id too; sequences are whole windows or powers of two."""
+    pieces = packing.pack_documents(odd_documents).toPandas()
+    rows = odd_documents.collect()
+    want = sum(len(LIBRARY[BYTE].encode(r.text or "", add_special_tokens=False).ids) + 1 for r in rows)
+    lengths = pieces.groupby("sequence_id").length.sum()
+    assert lengths.sum() == want and all(n == 2048 or n & (n - 1) == 0 for n in lengths)
+    assert (pieces[pieces.doc_id == 4].start == 0).sum() == 2
+
+
+def test_files_hold_every_byte(spark):
+    """Ids whose codes are line feeds, carriage returns and bytes that are no UTF-8 come back from Spark's text files."""
+    ids = np.array([10, 13, 0, 127, 128, 192, 255, 256 * 10 + 10, 256 * 255 + 254, 49_000] * 3, np.uint32)
+    code = encode_segment(0, 0, 0, [1], [ids])
+    path = work_dir(spark, "test-bytes")
+    spark.createDataFrame([(bytearray(code),)] * 3, "value binary").selectExpr("cast(value as string) value").coalesce(1).write.text(path)
+    content = spark.read.format("binaryFile").load(path).first().content
+    assert [s.slice(0, len(ids)).tolist() for s in segments(bytes(content))] == [ids.tolist()] * 3
+
+
 def test_windows_hold_related_documents():
     idf = np.ones(10, np.float32)
     docs = [np.array(x, np.uint32) for x in ([1, 1, 2, 9], [3, 3, 4, 9], [1, 2, 2, 9], [3, 4, 4, 9])]
