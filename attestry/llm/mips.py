@@ -11,7 +11,6 @@ is left is verified by exact integer products. Parts of groups and blocks of que
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
