@@ -11,7 +11,7 @@ def test_query_equals_its_sql(spark, name):
     got = registry.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
     con = duckdb.connect()
-    for t in ("embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     want = con.execute(f"select {', '.join(columns)} from ({registry.ORACLES[name]})").fetchall()
     key = lambda r: tuple(str(x) for x in r)
