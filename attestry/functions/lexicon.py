@@ -11,6 +11,8 @@ INITIALS = r"\(([A-Z]{2,4})\)"
 STATED_INITIALS = r"\b(?i:initials?)\s*:?\s*(?:(?i:were|are|was|is)\s+)?([A-Z]{2,4})\b"
 ZONE = r"(?i)\b(?:UTC|GMT|EDT|EST|CDT|CST|MDT|MST|PDT|PST)\b|\d{4}Z\b|\d{2}:\d{2}Z\b"
 SENTENCE = r"(?d)[^.!?\n]+(?:[.!?]+|$)"
+#: All signs that count as white space, the separators of information among them.
+SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: The eleven line ends: LF, CR, VT, FF, FS, GS, RS, NEL, LS, PS, and CRLF as one.
 LINE_END = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 WORD = r"[\p{L}\p{N}_]+"
@@ -32,7 +34,7 @@ NO_FURTHER = r"(?i)\b(?:no further action|no follow[- ]?up|no action (?:needed|r
 UNAFFECTED = r"(?i)\b(?:no impact|unaffected|not affected)\b"
 NOT_DELAYED = r"(?i)\b(?:no|not|never)\b.{0,35}\bdelay(?:ed|s)?\b"
 SECTION_HEADING = r"(?i)^(?:SITUATION(?:\s*\([^)]*\))?|IMPACT|AGENCIES CONTACTED(?:\s*\([^)]*\))?|ACTION|PLAN)\s*:$"
-EVENT_HEADING = r"(?i)^[ \t]*EVENT[ \t]*:[ \t]*(.*)$"
+EVENT_HEADING = r"(?is)^[ \t]*EVENT[ \t]*:[ \t]*(.*)$"
 
 QUALIFIER = (
     r"\b(?:unknown|unclear|uncertain|unconfirmed|unsure|maybe|possibly|reportedly|apparently|allegedly|preliminary|estimated|may|might|could|seems?|appears?|believes?|thinks?|"

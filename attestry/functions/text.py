@@ -20,7 +20,7 @@ def casefold(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """White space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, f"[{L.SPACE}]+", " "))
 
 
 def normalize(text: Column) -> Column:
@@ -28,7 +28,7 @@ def normalize(text: Column) -> Column:
     return collapse(casefold(text))
 
 
-def strip(text: Column, signs: str = r"\s") -> Column:
+def strip(text: Column, signs: str = L.SPACE) -> Column:
     """Without the leading and trailing characters of a regex class; trim() knows blanks only."""
     return F.regexp_replace(text, rf"^[{signs}]+|[{signs}]+$", "")
 
@@ -153,19 +153,27 @@ def quoted(text: Column) -> Column:
 def running(values: Column, zero: int = 0, join=lambda a, b: a + b) -> Column:
     """What ``join`` makes of all values before each; one element more than ``values``, for all of them.
 
-    By blocks of 64, so that an array of n costs n * (64 + n / 64) steps, and nothing is copied step by step.
+    By blocks of 64, blocks of 64 blocks, and those again by 64: an element is at most 63 steps of each size and one for each 262,144
+    values before it, so a million values cost some hundred million short steps and nothing is copied from element to element.
     """
     all_ = lambda part: F.aggregate(part, F.lit(zero), join)
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.shiftright(F.size(v), 6)), lambda b: all_(F.slice(v, b * 64 + 1, F.lit(64))))
+    part = lambda v, k, shift: all_(F.slice(v, F.shiftleft(F.shiftright(k, shift + 6), 6) + 1, F.shiftright(k, shift).bitwiseAND(63)))
 
     def of(v: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / 64).cast("int")), lambda b: all_(F.slice(v, b * 64 + 1, F.lit(64))))
-        places = F.sequence(F.lit(0), F.size(v))
-        upto = lambda done, k: join(all_(F.slice(done, F.lit(1), F.floor(k / 64).cast("int"))), all_(F.slice(v, F.floor(k / 64).cast("int") * 64 + 1, k % 64)))
-        return let(blocks, lambda done: F.transform(places, lambda k: upto(done, k)))
+        upto = lambda one, two, three, k: join(join(join(all_(F.slice(three, F.lit(1), F.shiftright(k, 18))), part(two, k, 12)), part(one, k, 6)), part(v, k, 0))
+        return let(blocks(v), lambda one: let(blocks(one), lambda two: let(blocks(two), lambda three: F.transform(F.sequence(F.lit(0), F.size(v)), lambda k: upto(one, two, three, k)))))
 
     return let(values, of)
 
 
+def first_index(n: Column, test) -> Column:
+    """The least index below ``n`` for which ``test`` holds, ``n`` if for none: by halves, as it holds for all behind it too."""
+    halved = lambda x, mid: F.when(test(mid), F.struct(x.lo.alias("lo"), mid.alias("hi"))).otherwise(F.struct((mid + 1).alias("lo"), x.hi.alias("hi")))
+    step = lambda x, _: F.when(x.lo < x.hi, halved(x, F.shiftright(x.lo + x.hi, 1))).otherwise(x)
+    return F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(n + 1)).cast("int")), F.struct(F.lit(0).alias("lo"), n.alias("hi")), step, lambda x: x.lo)
+
+
 def occurrences(text: Column, quote: Column) -> Column:
     """Zero-based starts of every occurrence, overlapping ones too; none for an empty or longer quote.
 

@@ -66,19 +66,24 @@ def candidates(source: Column, segments: Column, quote: Column) -> Column:
     """Every place of a quote in the joined text of an event group, as segments in offsets of the note.
 
     Overlapping occurrences count. One that crosses a join has two segments; one that is nothing but the join's
-    newline has no place. An absent, empty or null quote has none.
+    newline has no place. An absent, empty or null quote has none. ``segments`` are in order, so the first and last that an
+    occurrence touches are found by halves: the work grows with the occurrences, times the logarithm of the segments.
     """
     size = F.length(quote)
 
-    def inside(start: Column) -> Column:
-        touched = F.filter(segments, lambda s: (s.local_start < start + size) & (start < s.local_end))
+    def inside(all_: Column, start: Column) -> Column:
+        first = T.first_index(F.size(all_), lambda k: F.get(all_, k).local_end > start)
+        behind = T.first_index(F.size(all_), lambda k: F.get(all_, k).local_start >= start + size)
+        touched = T.let(first, lambda lo: F.slice(all_, lo + 1, F.greatest(behind - lo, F.lit(0))))
         clipped = F.transform(touched, lambda s: F.struct(
             (s.start + F.greatest(start, s.local_start) - s.local_start).alias("start"),
             (s.start + F.least(start + size, s.local_end) - s.local_start).alias("end")))
         return F.filter(clipped, lambda s: s.start < s.end)
 
-    places = F.transform(T.occurrences(source, quote), lambda i: F.struct(inside(i).alias("segments")))
-    return F.array_distinct(F.filter(places, lambda c: F.size(c.segments) > 0))
+    places = T.let(segments, lambda all_: F.transform(T.occurrences(source, quote), lambda i: F.struct(inside(all_, i).alias("segments"))))
+    real = F.filter(places, lambda c: F.size(c.segments) > 0)
+    # Two occurrences have the same places only if they begin before and behind one join, so next to each other.
+    return T.let(real, lambda r: F.filter(r, lambda c, k: (k == 0) | (c.segments != F.get(r, k - 1).segments)))
 
 
 def locate(groups: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -96,7 +101,7 @@ def with_lines(located: DataFrame, notes: DataFrame) -> DataFrame:
     """``located`` with line_start and line_end, from 1, in each segment: the lines of ``notes`` (id, text) that it touches."""
     lengths = F.transform(T.lines(F.coalesce("text", F.lit(""))), F.length)
     starts = notes.select("id", T.let(T.running(lengths), lambda r: F.slice(r, F.lit(1), F.greatest(F.size(r) - 1, F.lit(1)))).alias("starts"))
-    line = lambda at: F.size(F.filter("starts", lambda s: s <= at))
+    line = lambda at: T.first_index(F.size("starts"), lambda k: F.get("starts", k) > at)
     placed = F.transform("candidates", lambda c: F.struct(F.transform(c.segments, lambda s: F.struct(s.start, s.end, line(s.start).alias("line_start"), line(F.greatest(s.start, s.end - 1)).alias("line_end"))).alias("segments")))
     return located.join(starts, "id").withColumn("candidates", placed).drop("starts")
 

@@ -42,48 +42,45 @@ def event_groups(notes: DataFrame) -> DataFrame:
     any heading the whole note is one. A note that breaks the contract (blank, no label, a label over 100
     characters, no body, more than 8 groups) has one row with ``error`` and no group.
     """
-    lines = line_table(notes)
-    bare = F.regexp_replace("line", r"[\r\n]+$", "")
-    heading = bare.rlike(L.EVENT_HEADING)
-    label = T.strip(F.regexp_extract(bare, L.EVENT_HEADING, 1))
+    bare = F.regexp_replace("line", f"[{L.LINE_END}]+$", "")
+    lines = islands(line_table(notes).withColumn("heading", bare.rlike(L.EVENT_HEADING)), ["id"], ["line_no"], F.col("heading"))
     end = F.col("start") + F.length("line")
-    found = lines.where(heading).select("id", "line_no", label.alias("label"), F.col("start").alias("heading_start"), end.alias("start"))
-    # Inside one note: its headings fit in one row's array, whatever other notes hold.
-    packed = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "heading_start", "line_no", "label"))).alias("h"))
-    notes = notes.select("id", F.coalesce("text", F.lit("")).alias("text")).join(packed, "id", "left")
-    size = F.length("text")
-    n = F.coalesce(F.size("h"), F.lit(0))
-    numbered = F.transform("h", lambda x, i: F.struct(
-        x.label.alias("label"), F.lit("explicit").alias("grouping"), T.normalize(x.label).alias("key"), x.start.alias("start"),
-        F.coalesce(F.get("h", i + 1).heading_start, size).alias("end"), x.line_no.alias("line_no")))
-    fixed = lambda name, kind, end: F.struct(F.lit(name).alias("label"), F.lit(kind).alias("grouping"), F.lit(None).cast("string").alias("key"), F.lit(0).alias("start"), end.alias("end"), F.lit(0).alias("line_no"))
-    first = F.get("h", F.lit(0)).heading_start
-    opening = T.strip(F.substring("text", F.lit(1), F.coalesce(first, F.lit(0)))) != ""
-    parts = F.when(n == 0, F.array(fixed("Supplied notes", "unseparated", size))).when(opening, F.concat(F.array(fixed("Unassigned context", "unassigned_context", first)), numbered)).otherwise(numbered)
-    body = lambda p: F.substring(F.col("text"), p.start + 1, p.end - p.start)
+    named = lambda c: F.max(F.when(F.col("heading"), c))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("heading"), F.struct("line_no", "line")))), lambda x: x.line), "")
+    found = lines.groupBy("id", "island").agg(
+        named(T.strip(F.regexp_extract(bare, L.EVENT_HEADING, 1))).alias("label"), F.coalesce(named(F.col("line_no")), F.lit(0)).alias("line_no"),
+        F.coalesce(named(end), F.lit(0)).alias("start"), F.max(end).alias("end"), body.alias("body"))
+    # Inside one note: its parts fit in one row's array as the note does in one text, whatever other notes hold.
+    packed = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("island", "label", "line_no", "start", "end", "body"))).alias("p"))
+    notes = notes.select("id").join(packed.withColumnRenamed("id", "id_"), F.col("id").eqNullSafe(F.col("id_")), "left").drop("id_")
+    none = F.coalesce(F.element_at("p", -1).island, F.lit(0)) == 0
+    kept = F.filter("p", lambda x: none | (x.island > 0) | (T.strip(x.body) != ""))
+    parts = F.transform(kept, lambda x: F.struct(
+        F.when(x.island > 0, x.label).when(none, "Supplied notes").otherwise("Unassigned context").alias("label"),
+        F.when(x.island > 0, "explicit").when(none, "unseparated").otherwise("unassigned_context").alias("grouping"),
+        T.normalize(x.label).alias("key"), x.start.alias("start"), x.end.alias("end"), x.line_no.alias("line_no"), x.body.alias("body")))
     keys = F.array_distinct(F.transform("parts", lambda p: F.coalesce(p.key, p.grouping)))
-    bad = lambda test: F.filter("parts", lambda p: (p.grouping == "explicit") & test(p))
-    at = lambda parts: F.get(parts, F.lit(0)).line_no.cast("string")
+    bad = lambda test: F.get(F.filter("parts", lambda p: (p.grouping == "explicit") & test(p)), F.lit(0)).line_no.cast("string")
     checked = notes.withColumn("parts", parts).withColumn("keys", keys)
-    empty, oversized, bodiless = bad(lambda p: p.label == ""), bad(lambda p: F.length(p.label) > MAX_LABEL), bad(lambda p: T.strip(body(p)) == "")
+    empty, oversized, bodiless = bad(lambda p: p.label == ""), bad(lambda p: F.length(p.label) > MAX_LABEL), bad(lambda p: T.strip(p.body) == "")
     error = (
-        F.when(T.strip(F.col("text")) == "", "blank note")
-        .when(F.size(empty) > 0, F.concat(F.lit("no label on line "), at(empty)))
-        .when(F.size(oversized) > 0, F.concat(F.lit("label too long on line "), at(oversized)))
-        .when(F.size(bodiless) > 0, F.concat(F.lit("no body under the heading on line "), at(bodiless)))
+        F.when(F.col("parts").isNull() | F.forall("parts", lambda p: (T.strip(p.body) == "") & (p.grouping == "unseparated")), "blank note")
+        .when(empty.isNotNull(), F.concat(F.lit("no label on line "), empty))
+        .when(oversized.isNotNull(), F.concat(F.lit("label too long on line "), oversized))
+        .when(bodiless.isNotNull(), F.concat(F.lit("no body under the heading on line "), bodiless))
         .when(F.size("keys") > MAX_GROUPS, "too many groups")
     )
     checked = checked.withColumn("error", error)
-    groups = checked.where("error is null").select("id", "text", "parts", F.posexplode("keys").alias("k", "key"))
+    groups = checked.where("error is null").select("id", "parts", F.posexplode("keys").alias("k", "key"))
     mine = F.filter("parts", lambda p: F.coalesce(p.key, p.grouping) == F.col("key"))
-    groups = groups.select("id", "text", "k", mine.alias("mine"))
-    # At most as many parts as a note has headings; each begins where the parts before it, and their joins, end.
-    upto = lambda k: F.aggregate(F.slice("mine", F.lit(1), k), F.lit(0), lambda acc, q: acc + q.end - q.start + 1)
-    placed = F.transform("mine", lambda p, k: F.struct(upto(k).alias("local_start"), (upto(k) + p.end - p.start).alias("local_end"), p.start.alias("start"), p.end.alias("end")))
+    groups = groups.select("id", "k", mine.alias("mine"))
+    # Each part begins where the parts before it, and their joins, end.
+    upto = T.running(F.transform("mine", lambda p: p.end - p.start + 1))
+    placed = T.let(upto, lambda r: F.transform("mine", lambda p, k: F.struct(F.get(r, k).alias("local_start"), (F.get(r, k) + p.end - p.start).alias("local_end"), p.start.alias("start"), p.end.alias("end"))))
     one = F.get("mine", F.lit(0))
     rows = groups.select(
         "id", F.concat(F.lit("event-"), (F.col("k") + 1).cast("string")).alias("event_id"), one.label.alias("label"), one.grouping.alias("grouping"),
-        F.array_join(F.transform("mine", body), "\n").alias("source_text"), placed.alias("source_segments"), F.lit(None).cast("string").alias("error"))
+        F.array_join(F.transform("mine", lambda p: p.body), "\n").alias("source_text"), placed.alias("source_segments"), F.lit(None).cast("string").alias("error"))
     failed = checked.where("error is not null").select("id", "error")
     return rows.unionByName(failed, allowMissingColumns=True)
 
