@@ -136,6 +136,18 @@ def select_cases(cases: DataFrame, ids: list[str] | None = None, limit: int | No
     return cases.orderBy("ord").limit(limit) if limit else cases.orderBy("ord")
 
 
-def replay(cases: DataFrame, outputs: DataFrame, key: list[str]) -> DataFrame:
-    """Cases with the recorded ``raw_output`` of the model, which stands in for it everywhere."""
-    return cases.join(outputs.select(*key, "raw_output"), key, "left")
+def replay(cases: DataFrame, outputs: DataFrame, key: list[str], inputs: list[str] = []) -> DataFrame:
+    """Cases with the recorded ``raw_output`` of the model, which stands in for it everywhere.
+
+    The record must fit: a case without an output, an output without a case, two for one case, or a column of ``inputs`` that
+    reads otherwise than when the output was recorded is an error as soon as the rows are read.
+    """
+    recorded = outputs.groupBy(*key).agg(F.count("*").alias("times_"), F.first(F.struct("raw_output", *inputs)).alias("out_"))
+    marked = cases.withColumn("case_", F.lit(True))
+    both = marked.join(recorded, key, "full_outer")
+    name = F.to_json(F.struct(*key))
+    wrong = F.when(F.col("times_").isNull(), "no recorded output for ").when(F.col("case_").isNull(), "recorded output without a case: ").when(F.col("times_") > 1, "several recorded outputs for ")
+    for c in inputs:
+        wrong = wrong.when(~F.col(c).eqNullSafe(F.col(f"out_.{c}")), f"{c} has changed since the output was recorded for ")
+    checked = F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, name)).cast("string")).otherwise(F.col("out_.raw_output"))
+    return both.select(*cases.columns, checked.alias("raw_output"))
