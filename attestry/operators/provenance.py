@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.operators import variants as V
+
 #: Keys that must not be published, in lower case, and what must not stand in a key or a text.
 SENSITIVE_KEYS = ("api_key", "access_token", "auth_token", "password", "secret", "authorization", "private_key", "client_secret")
 PRIVATE_TEXT = (
@@ -144,44 +144,24 @@ def completion_error(config: Column, state: Column, metrics: Column) -> Column:
     return F.coalesce(*[F.when(bad, name) for bad, name in rules])
 
 
-def private_reasons(text: str | None) -> list[tuple[str, str]]:
-    """(path, reason) of private keys ('key'), and private texts in keys ('name') and values ('value') of a JSON text, however deep.
-
-    A sensitive key with null or an empty text is allowed. Malformed JSON has one reason, 'json'; null has none.
-    """
-    if text is None:
-        return []
-    try:
-        left = [("$", json.loads(text))]
-    except (ValueError, RecursionError):
-        return [("$", "json")]
-    pattern, found = re.compile(PRIVATE_TEXT), []
-    while left:
-        path, value = left.pop()
-        if isinstance(value, dict):
-            for key, item in value.items():
-                if key.lower() in SENSITIVE_KEYS and item not in (None, ""):
-                    found.append((f"{path}.{key}", "key"))
-                if pattern.search(key):
-                    found.append((f"{path}.{key}", "name"))
-                left.append((f"{path}.{key}", item))
-        elif isinstance(value, list):
-            left.extend((f"{path}.{n}", item) for n, item in enumerate(value))
-        elif isinstance(value, str) and pattern.search(value):
-            found.append((path, "value"))
-    return sorted(found)
-
-
 def private_fields(documents: DataFrame) -> DataFrame:
-    """id, path, reason (see ``private_reasons``) of ``documents`` (id, json).
+    """id, path, reason of private keys ('key'), and private texts in keys ('name') and values ('value') of ``documents`` (id, json), however deep.
 
-    Nesting has no bound, which no fixed expression follows, so rows go through Python by Arrow; nothing is shuffled.
+    A sensitive key with null or an empty text is allowed. Malformed JSON, that with a repeated key too, has one reason, 'json'; null has
+    none. What is nested deeper than one walk reaches is walked on from there, until nothing is left.
     """
-    kind = documents.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, *hit) for i, text in zip(b["id"], b["json"]) for hit in private_reasons(text)]
-            yield pd.DataFrame(rows, columns=["id", "path", "reason"])
-
-    return documents.select("id", "json").mapInPandas(run, f"id {kind}, path string, reason string")
+    brackets = F.length("json") - F.length(F.translate("json", "{[", ""))
+    parsed = documents.select("id", F.col("json").isNotNull().alias("given"), F.try_parse_json("json").alias("value"), (brackets > V.DEPTH).alias("deep"))
+    found = parsed.where("given and value is null").select("id", F.lit("$").alias("path"), F.lit("json").alias("reason"))
+    empty = F.coalesce(F.is_variant_null("value") | (F.to_json("value") == '""'), F.lit(True))
+    text = F.when(F.schema_of_variant("value") == "STRING", F.try_variant_get("value", "$", "string"))
+    hits = F.array_compact(F.array(
+        F.when(F.lower("key").isin(*SENSITIVE_KEYS) & ~empty, "key"), F.when(F.col("key").rlike(PRIVATE_TEXT), "name"), F.when(text.rlike(PRIVATE_TEXT), "value")))
+    left, seen = parsed.where("value is not null").select("id", F.lit("$").alias("above"), "value", "deep"), F.lit(True)
+    while True:
+        whole = F.concat("above", F.substring("path", 2, 1 << 30))
+        each = left.select("id", "above", "deep", F.inline(V.nodes(F.col("value"), dotted=True)))
+        found = found.unionByName(each.where(seen).select("id", whole.alias("path"), F.explode(hits).alias("reason")))
+        left, seen = each.where("deep and open").select("id", whole.alias("above"), "value", "deep"), F.col("path") != "$"  # that value was looked at a round before
+        if left.isEmpty():
+            return found
