@@ -13,9 +13,44 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Letters that fold to one other, those, and letters that fold to several: full case folding, by Python's own tables."""
+    folds = {c: f for c in map(chr, (k for k in range(128, 0x110000) if not 0xD800 <= k < 0xE000)) if (f := c.casefold()) != c}
+    single = {c: f for c, f in folds.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in folds.items() if len(f) > 1}
+
+
+_FOLDED, _TO, _LONGER = _folds()
+
+
 def casefold(text: Column) -> Column:
-    """Case folding for text without Greek final sigma or ligatures: lower case with ß as ss."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Full case folding, final sigma, ligatures and ß among it. Plain ASCII takes the short way, letters that become several a table."""
+    table = F.create_map(*[F.lit(x) for pair in _LONGER.items() for x in pair])
+    single = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _FOLDED, "abcdefghijklmnopqrstuvwxyz" + _TO)
+    longer = let(table, lambda t: F.array_join(F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(t, c), c)), ""))
+    return F.when(~text.rlike("[^\\x00-\\x7F]"), F.lower(text)).when(text.rlike(f"[{''.join(_LONGER)}]"), longer).otherwise(single)
+
+
+def round_half_even(value: Column, digits: int) -> Column:
+    """A double rounded to ``digits`` decimals (0 to 6) by its exact binary value, halves to the even neighbour.
+
+    |value| is m / 2^s with whole m and s; m * 10^digits divided by 2^s leaves a whole part and a rest that is compared with half of
+    2^s, all in whole decimals. Doubles whose neighbours are further apart than the last decimal stay as they are, as do NaN and infinities.
+    """
+    whole = lambda c: c.cast("decimal(19,0)")
+    size = F.abs(value)
+    shift = F.lit(53) - F.floor(F.log2(size)).cast("int")
+    two = lambda s: whole(F.call_function("shiftleft", F.lit(1).cast("long"), F.least(s, F.lit(60)))) * whole(F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(s - 60, F.lit(0))))
+
+    def exact(x: Column) -> Column:
+        whole_part = F.call_function("div", x.p, x.d)
+        rest = x.p - whole(whole_part) * x.d
+        up = (rest * 2 > x.d) | ((rest * 2 == x.d) & (whole_part % 2 == 1))
+        return (whole_part + up.cast("long")).cast("double") / F.lit(float(10**digits))
+
+    parts = F.struct((whole((size * F.pow(F.lit(2.0), shift)).cast("long")) * whole(F.lit(10**digits))).alias("p"), two(shift).alias("d"))
+    rounded = F.when(size < 0.25 / 10**digits, F.lit(0.0)).otherwise(let(parts, exact))
+    return F.when(F.isnan(value) | (size * 10**digits >= 2.0**53), value).otherwise(F.when(value < 0, -rounded).otherwise(rounded))
 
 
 def collapse(text: Column) -> Column:

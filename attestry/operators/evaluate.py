@@ -163,5 +163,5 @@ def roll_up(outcomes: DataFrame, variant: str) -> DataFrame:
     done = F.count_if(F.col("complete"))
     failures = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("id", "failures"))), lambda x: x.failures))
     return outcomes.groupBy(variant).agg(
-        F.count("*").alias("cases"), done.alias("n_complete"), (F.count("*") - done).alias("n_failed"), F.round(F.sum("seconds"), 3).alias("seconds"),
+        F.count("*").alias("cases"), done.alias("n_complete"), (F.count("*") - done).alias("n_failed"), T.round_half_even(F.sum("seconds"), 3).alias("seconds"),
         ratio(done, F.count("*")).alias("share_complete"), F.bool_or(~F.col("complete")).alias("any_failed"), failures.alias("failures"))

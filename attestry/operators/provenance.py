@@ -157,11 +157,11 @@ def private_fields(documents: DataFrame) -> DataFrame:
     text = F.when(F.schema_of_variant("value") == "STRING", F.try_variant_get("value", "$", "string"))
     hits = F.array_compact(F.array(
         F.when(F.lower("key").isin(*SENSITIVE_KEYS) & ~empty, "key"), F.when(F.col("key").rlike(PRIVATE_TEXT), "name"), F.when(text.rlike(PRIVATE_TEXT), "value")))
-    left, seen = parsed.where("value is not null").select("id", F.lit("$").alias("above"), "value", "deep"), F.lit(True)
+    left, seen, depth = parsed.where("value is not null").select("id", F.lit("$").alias("above"), "value", "deep"), F.lit(True), V.DEPTH
     while True:
         whole = F.concat("above", F.substring("path", 2, 1 << 30))
-        each = left.select("id", "above", "deep", F.inline(V.nodes(F.col("value"), dotted=True)))
+        each = left.select("id", "above", "deep", F.inline(V.nodes(F.col("value"), depth, dotted=True)))
         found = found.unionByName(each.where(seen).select("id", whole.alias("path"), F.explode(hits).alias("reason")))
-        left, seen = each.where("deep and open").select("id", whole.alias("above"), "value", "deep"), F.col("path") != "$"  # that value was looked at a round before
+        left, seen, depth = each.where("deep and open").select("id", whole.alias("above"), "value", "deep"), F.col("path") != "$", 4 * V.DEPTH  # that value was looked at a round before
         if left.isEmpty():
             return found

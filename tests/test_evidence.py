@@ -92,3 +92,28 @@ def test_white_space_of_all_kinds(spark):
     rows = spark.createDataFrame([(c, f"{c}a{c}{c}b{c}") for c in signs] + [(c, f"{c}a{c}{c}b{c}") for c in "​᠎﻿_"], "c string, t string")
     got = {r.c: (r.s, r.n) for r in rows.select("c", T.strip(F.col("t")).alias("s"), T.collapse(F.col("t")).alias("n")).collect()}
     assert got == {c: (f"{c}a{c}{c}b{c}".strip(), " ".join(f"{c}a{c}{c}b{c}".split())) for c in got}
+
+
+def test_case_folding_of_every_sign(spark):
+    signs = [k for k in range(0x110000) if not 0xD800 <= k < 0xE000 and k]
+    blocks = [[chr(c) for c in signs[k : k + 4000]] for k in range(0, len(signs), 4000)]
+    df = spark.createDataFrame([(b,) for b in blocks], "c array<string>")
+    for r in df.select("c", F.transform("c", T.casefold).alias("f")).collect():
+        assert r.f == [c.casefold() for c in r.c]
+    texts = ["ΣΑΣ ΟΔΟΣ", "ﬁne ﬂ", "Straße", "İstanbul", "plain ASCII Z", "", "ŉ ǰ և 🙂 Ꭰ"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.casefold(F.col("t")).alias("f")).collect()
+    assert [r.f for r in got] == [t.casefold() for t in texts]
+
+
+def test_rounding_by_the_binary_value(spark):
+    pick = random.Random(3)
+    values = [0.1234565, 2.5, 3.5, 0.5, 1.5, -2.5, 0.0, -0.0, 1e-9, 5e-7, 2.5e-7, 1e300, 5e-324, 9007199254.740993, 2.0**40 + 0.5, 2.675, 1.005, float("inf"), float("-inf")]
+    values += [pick.uniform(-1, 1) * 10.0 ** pick.randint(-8, 12) for _ in range(5_000)]
+    values += [(pick.randrange(10**9) * 2 + 1) / 2.0 ** pick.randint(1, 12) for _ in range(2_500)]  # many of them halves of the last place
+    values += [round(pick.uniform(0, 1000), 7) // 1e-6 * 1e-6 + 5e-7 for _ in range(2_500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (0, 2, 6):
+        for r in df.select("v", T.round_half_even(F.col("v"), digits).alias("r")).collect():
+            assert r.r == round(r.v, digits), (r.v, digits)
+    assert str(df.limit(0).unionAll(spark.sql("select double('nan')")).select(T.round_half_even(F.col("v"), 2).alias("r")).first().r) == "nan"
+    assert spark.sql("select cast(null as double) as v").select(T.round_half_even(F.col("v"), 2).alias("r")).first().r is None
