@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions import lexicon as L
+from attestry.functions import prompts
 from attestry.functions import text as T
+from attestry.operators import schema
+from attestry.operators import variants as V
 
 #: Patterns of the first review contract, which has its own.
 PLAIN_TIME = r"\b(?:[01]?\d|2[0-3]):[0-5]\d\b|\b(?:[01]\d|2[0-3])[0-5]\dZ\b"
@@ -72,8 +75,8 @@ def target_errors(rows: DataFrame) -> DataFrame:
     """id, errors of training targets: the rules of the third curriculum, each breach by name, in order; empty if sound.
 
     ``rows``: id, task ('main' or 'helper'), source, facts (section, text, evidence), suggestions (section, text, basis,
-    confirm), focus (sections asked of a helper), messages (role, content), expected and target (JSON texts that must be
-    the same value). Facts: every quote in the source, at most 4, no proposal. Suggestions: every quote in the source,
+    confirm), focus (sections asked of a helper), expected and target (JSON texts that must be
+    the same value). The chat around them is ``chat_errors``' matter. Facts: every quote in the source, at most 4, no proposal. Suggestions: every quote in the source,
     at most 420 characters, 2 quotes of 500, a question of 240, worded as a proposal; a helper's inside its focus, one a section.
     """
     source, main = F.col("source"), F.col("task") == "main"
@@ -97,6 +100,34 @@ def target_errors(rows: DataFrame) -> DataFrame:
     ]).alias("errors"))
 
 
+def chat_errors(rows: DataFrame, main: str, helper: str, shapes: dict[str, dict] | None = None) -> DataFrame:
+    """id, errors of the chats of training rows, in order; empty if they are those that a run would send and answer.
+
+    ``rows``: id, task ('main' or 'helper'), mode, source, messages (role, content), expected (JSON). ``main`` and ``helper`` are the system prompts. The
+    last message has to be the assistant's and the same JSON value as expected, the ones before it those that are made
+    anew from the row: for a helper from the sections asked for and the known facts that its own message names, which
+    has to hold the row's source. ``shapes``: by task, the closed schema of expected (``schema.RECORD`` and ``HELPER`` unless given).
+    """
+    shapes = shapes or {"main": schema.RECORD, "helper": schema.HELPER}
+    is_main, n = F.col("task") == "main", F.size("messages")
+    last, asked = F.element_at("messages", -1), F.try_parse_json(F.get("messages", F.lit(1)).content)
+    payload = F.from_json(F.get("messages", F.lit(1)).content, "struct<source_text:string,focus_sections:array<string>,existing_log_facts_context:map<string,array<string>>>")
+    known = F.map_from_entries(F.array(*[F.struct(F.lit(s), F.try_element_at(payload.existing_log_facts_context, F.lit(s))) for s in L.SECTIONS]))
+    anew = F.when(is_main, prompts.messages(main, F.col("mode"), F.col("source"))).otherwise(prompts.helper_messages(helper, F.col("source"), payload.focus_sections, known))
+    sent = F.transform(F.slice("messages", F.lit(1), F.greatest(n - 1, F.lit(0))), lambda m: F.struct(m.role.alias("role"), m.content.alias("content")))
+    answered = (last.role == "assistant") & (F.size(V.differences(F.try_parse_json(last.content), F.try_parse_json("expected"))) == 0) & F.try_parse_json("expected").isNotNull()
+    shape = F.when(is_main, F.size(schema.errors(F.col("expected"), shapes["main"])) > 0).otherwise(F.size(schema.errors(F.col("expected"), shapes["helper"])) > 0)
+    tips = F.from_json("expected", "struct<suggestions:array<struct<section:string>>>").suggestions
+    outside = F.exists(tips, lambda t: ~F.array_contains(payload.focus_sections, t.section))
+    return rows.select("id", _named([
+        (shape, "schema"),
+        (~F.coalesce((n > 0) & answered, F.lit(False)), "target differs from expected"),
+        (~is_main & ~F.coalesce(payload.source_text == F.col("source"), F.lit(False)), "helper source"),
+        (~F.coalesce(sent == anew, F.lit(False)), "prompt contract"),
+        (~is_main & (outside | asked.isNull()), "outside the focus"),
+    ]).alias("errors"))
+
+
 def early_target_errors(rows: DataFrame) -> DataFrame:
     """id, errors of training targets by the rules of the second curriculum; columns as of ``target_errors``, and event_type.
 
@@ -123,11 +154,15 @@ def conflicting_checks(checks: DataFrame) -> DataFrame:
 def unsupported_checks(checks: DataFrame, groups: DataFrame) -> DataFrame:
     """id, ord, error of expectations that no output could meet or that say nothing.
 
-    ``checks``: id, ord, label, required, forbidden; ``groups`` (id, label, source_text) are the case's own events. 'label' for
-    an event that the case hasn't, 'empty' without fragments, 'conflict', 'absent' for a required fragment that the event lacks.
+    ``checks``: id, ord, label, required, forbidden; ``groups`` (id, label, source_text and, as of ``segment.event_groups``, grouping) are the case's own
+    events. In a note without labelled events a check has no label and is about the whole note, which is the one group of it, without a
+    label or 'unseparated'. 'label' for an event that the case hasn't and for a check without label in a case that has events,
+    'empty' without fragments, 'conflict', 'absent' for a required fragment that the text lacks.
     """
-    texts = groups.select("id", T.normalize(F.col("label")).alias("key"), T.normalize(F.col("source_text")).alias("own"))
-    joined = checks.withColumn("key", T.normalize(F.col("label"))).join(texts, ["id", "key"], "left")
+    grouping = F.col("grouping") if "grouping" in groups.columns else F.when(F.col("label").isNotNull(), "explicit").otherwise("unseparated")
+    texts = groups.where(grouping.isin("explicit", "unseparated")).select(
+        F.col("id").alias("case"), F.when(grouping == "explicit", T.normalize(F.col("label"))).alias("event"), T.normalize(F.col("source_text")).alias("own"))
+    joined = checks.withColumn("key", T.normalize(F.col("label"))).join(texts, (F.col("id") == F.col("case")) & F.col("key").eqNullSafe(F.col("event")), "left")
     low = lambda c: F.transform(c, T.normalize)
     error = (
         F.when(F.col("own").isNull(), "label").when((F.size("required") == 0) & (F.size("forbidden") == 0), "empty")

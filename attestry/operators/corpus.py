@@ -37,13 +37,12 @@ def nearest_by_trigrams(left: DataFrame, right: DataFrame, empty: float = 0.0) -
     a, b = _trigrams(left, "left"), _trigrams(right, "right")
     # Few enough left trigrams, by count, stop the right side's others before any shuffle.
     wanted = a.select(F.explode("grams").alias("gram")).distinct()
-    theirs = b.select("right_id", F.explode("grams").alias("gram"))
+    theirs = b.select("right_id", "right_n", F.explode("grams").alias("gram"))
     if wanted.count() <= 500_000:
         theirs = theirs.join(F.broadcast(wanted), "gram", "left_semi")
-    met = a.select("left_id", F.explode("grams").alias("gram")).join(theirs, "gram").groupBy("left_id", "right_id").agg(F.count("*").alias("common"))
-    # Sizes join the pairs, not the trigrams.
-    scored = met.join(a.select("left_id", "left_n"), "left_id").join(b.select("right_id", "right_n"), "right_id")
-    scored = scored.withColumn("similarity", F.col("common") / (F.col("left_n") + F.col("right_n") - F.col("common")))
+    # Sizes go with the trigrams, so that the texts of the right side are read once.
+    met = a.select("left_id", "left_n", F.explode("grams").alias("gram")).join(theirs, "gram").groupBy("left_id", "left_n", "right_id", "right_n").agg(F.count("*").alias("common"))
+    scored = met.withColumn("similarity", F.col("common") / (F.col("left_n") + F.col("right_n") - F.col("common")))
     best = scored.groupBy("left_id").agg(F.max(F.struct("similarity", (-F.col("right_id")).alias("minus"))).alias("best")).select("left_id", (-F.col("best.minus")).alias("right_id"), F.col("best.similarity").alias("similarity"))
     found = a.select("left_id", "left_n").join(best, "left_id", "left")
     if empty:
@@ -55,11 +54,21 @@ def nearest_by_trigrams(left: DataFrame, right: DataFrame, empty: float = 0.0) -
 
 
 def nearest_summary(nearest: DataFrame) -> DataFrame:
-    """One row: rows, greatest, median (upper), at_least_half, at_least_four_fifths of the similarities of ``nearest``."""
-    s = F.col("similarity")
-    ranked = order_statistics(nearest.withColumn("one", F.lit(1)), ["one"], "similarity").select("median")
-    counts = nearest.agg(F.count("*").alias("rows"), F.max(s).alias("greatest"), F.count_if(s >= 0.5).alias("at_least_half"), F.count_if(s >= 0.8).alias("at_least_four_fifths"))
-    return counts.crossJoin(ranked)  # one row each
+    """One row: rows, greatest, median (upper), at_least_half, at_least_four_fifths of the similarities (0 to 1) of ``nearest``.
+
+    Rows are counted by similarity once. The running counts that the median needs are taken inside 4,096 ranges, on top of those
+    of the ranges before, so only a row for each range meets in one task.
+    """
+    s, n = F.col("similarity"), F.col("n")
+    counted = nearest.groupBy("similarity").agg(F.count("*").alias("n")).withColumn("range", F.floor(s * 4096).cast("int"))
+    ranges = counted.groupBy("range").agg(F.sum("n").alias("here"))
+    ranges = ranges.select(F.col("range").alias("of"), (F.sum("here").over(Window.orderBy("range")) - F.col("here")).alias("before"), F.sum("here").over(Window.partitionBy()).alias("all"))
+    placed = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("range").orderBy("similarity"))).join(F.broadcast(ranges), F.col("range") == F.col("of"))  # at most 4,097 rows
+    last = F.col("before") + F.col("upto")
+    middle = F.floor(F.col("all") / 2) + 1
+    return placed.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows"), F.max(s).alias("greatest"), F.coalesce(F.sum(F.when(s >= 0.5, n)), F.lit(0)).cast("long").alias("at_least_half"),
+        F.coalesce(F.sum(F.when(s >= 0.8, n)), F.lit(0)).cast("long").alias("at_least_four_fifths"), F.max(F.when((last >= middle) & (last - n < middle), s)).alias("median"))
 
 
 def shared_families(splits: DataFrame) -> DataFrame:

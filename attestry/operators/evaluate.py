@@ -159,9 +159,13 @@ def complete_run(selected: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def roll_up(outcomes: DataFrame, variant: str) -> DataFrame:
-    """Per variant: cases, complete, failed, seconds, the share complete, and all failures in order."""
+    """Per variant: cases, complete, failed, seconds, the share complete, and how many failures; they themselves are rows of ``failures``."""
     done = F.count_if(F.col("complete"))
-    failures = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("id", "failures"))), lambda x: x.failures))
     return outcomes.groupBy(variant).agg(
         F.count("*").alias("cases"), done.alias("n_complete"), (F.count("*") - done).alias("n_failed"), T.round_half_even(F.sum("seconds"), 3).alias("seconds"),
-        ratio(done, F.count("*")).alias("share_complete"), F.bool_or(~F.col("complete")).alias("any_failed"), failures.alias("failures"))
+        ratio(done, F.count("*")).alias("share_complete"), F.bool_or(~F.col("complete")).alias("any_failed"), F.sum(F.size("failures")).cast("long").alias("n_failures"))
+
+
+def failures(outcomes: DataFrame, variant: str) -> DataFrame:
+    """variant, id, place (from 1), failure: the failures of each case in order."""
+    return outcomes.select(variant, "id", F.posexplode("failures").alias("k", "failure")).select(variant, "id", (F.col("k") + 1).alias("place"), "failure")

@@ -57,10 +57,23 @@ def file_digests(spark: SparkSession, path: str, suffix: str = "*", unix_ends: b
 
 
 def fingerprints(files: DataFrame) -> DataFrame:
-    """One row: ``files``, a map of file to sha256 of all rows (file, sha256), in order of the names."""
+    """One row: ``files``, a map of file to sha256 of all rows (file, sha256), in order of the names; for the few files of a release (any number: ``tree_fingerprint``)."""
     return files.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("file", "sha256")))).alias("files"))
 
 
+def tree_fingerprint(files: DataFrame, places: int = 4) -> DataFrame:
+    """n_files, fingerprint: one digest of any number of rows (file, sha256), by two levels.
+
+    Rows are dealt to 16^places buckets by the first hex digits of the SHA-256 of their name; a bucket's digest is that of its
+    ``name:sha256``, sorted and joined by commas, and the fingerprint that of the buckets' ``digits:digest``, likewise. So a task holds a bucket, and
+    one row holds at most 65,536 short texts.
+    """
+    bucket = F.substring(F.sha2("file", 256), 1, places).alias("bucket")
+    joined = lambda rows: F.sha2(F.array_join(F.array_sort(rows), ","), 256)
+    buckets = files.groupBy(bucket).agg(F.count("*").alias("n"), joined(F.collect_list(F.concat("file", F.lit(":"), "sha256"))).alias("digest"))
+    return buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_files"), joined(F.collect_list(F.concat("bucket", F.lit(":"), "digest"))).alias("fingerprint"))
+
+
 def manifest_errors(manifest: DataFrame) -> DataFrame:
     """file, error of manifest rows (file, bytes, sha256) with an unsafe or repeated name, or without a size or digest.
 

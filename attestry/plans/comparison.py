@@ -41,14 +41,24 @@ def reconcile_exceptall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.reconcile(saved, source)
 
 
-@query("""WITH o AS (SELECT d.lang AS variant, d.doc_id AS id, l.quality = 1 AS complete, d.n_chars / 1000.0::DOUBLE AS seconds, CASE WHEN l.toxic = 1 THEN 'toxic:' || d.doc_id END AS failure FROM documents d JOIN labels l USING (doc_id))
-SELECT variant, count(*) AS cases, count(*) FILTER (complete) AS n_complete, count(*) FILTER (NOT complete) AS n_failed, count(*) FILTER (complete) / count(*) AS share_complete,
-bool_or(NOT complete) AS any_failed, coalesce(string_agg(failure, ',' ORDER BY id), '') AS failures FROM o GROUP BY 1""")
-def variant_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+_OUTCOMES = """WITH o AS (SELECT d.lang AS variant, d.doc_id AS id, l.quality = 1 AS complete, list_filter([CASE WHEN l.toxic = 1 THEN 'toxic:' || d.doc_id END, CASE WHEN l.quality = 0 THEN 'poor' END], lambda x: x IS NOT NULL) AS failures FROM documents d JOIN labels l USING (doc_id))"""
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
-    failures = F.when(F.col("toxic") == 1, F.array(F.concat(F.lit("toxic:"), F.col("doc_id").cast("string")))).otherwise(F.array().cast("array<string>"))
-    outcomes = both.select(F.col("lang").alias("variant"), F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("complete"), (F.col("n_chars") / 1000).alias("seconds"), failures.alias("failures"))
-    return E.roll_up(outcomes, "variant").withColumn("failures", F.array_join("failures", ",")).drop("seconds")
+    failures = F.array_compact(F.array(F.when(F.col("toxic") == 1, F.concat(F.lit("toxic:"), F.col("doc_id").cast("string"))), F.when(F.col("quality") == 0, "poor")))
+    return both.select(F.col("lang").alias("variant"), F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("complete"), (F.col("n_chars") / 1000).alias("seconds"), failures.alias("failures"))
+
+
+@query(f"""{_OUTCOMES} SELECT variant, count(*) AS cases, count(*) FILTER (complete) AS n_complete, count(*) FILTER (NOT complete) AS n_failed, count(*) FILTER (complete) / count(*) AS share_complete,
+bool_or(NOT complete) AS any_failed, CAST(sum(len(failures)) AS BIGINT) AS n_failures FROM o GROUP BY 1""")
+def variant_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.roll_up(_outcomes(spark, sf_dir), "variant").drop("seconds")
+
+
+@query(f"""{_OUTCOMES} SELECT variant, id, i AS place, failures[i] AS failure FROM o, unnest(range(1, len(failures) + 1)) u(i)""")
+def variant_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.failures(_outcomes(spark, sf_dir), "variant")
 
 
 @query("""WITH m AS (SELECT doc_id AS file, n_chars AS bytes, sha256(text) AS sha256 FROM documents UNION ALL SELECT -1 - item_id, length(text), sha256(text) FROM benchmark),

@@ -202,11 +202,12 @@ def case_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.thresholds(docs.select("text", F.when(F.col("lang") == "en", 0).otherwise(2).alias("labels"), F.when(F.col("n_chars") > 2000, 3).otherwise(2).alias("headings")))
 
 
-@query("""SELECT count(*) AS n_files, sha256(string_agg('doc-' || doc_id || ':' || sha256(coalesce(text, '')), ',' ORDER BY 'doc-' || doc_id)) AS fingerprint FROM documents""")
+@query("""WITH f AS (SELECT 'doc-' || doc_id AS file, sha256(coalesce(text, '')) AS digest FROM documents),
+b AS (SELECT left(sha256(file), 4) AS bucket, count(*) AS n, sha256(string_agg(file || ':' || digest, ',' ORDER BY file || ':' || digest)) AS digest FROM f GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n_files, sha256(string_agg(bucket || ':' || digest, ',' ORDER BY bucket)) AS fingerprint FROM b""")
 def digest_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("file"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
-    entries = F.transform(F.map_entries("files"), lambda e: F.concat(e.key, F.lit(":"), e.value))
-    return P.fingerprints(files).select(F.size("files").cast("long").alias("n_files"), F.sha2(F.array_join(entries, ","), 256).alias("fingerprint"))
+    return P.tree_fingerprint(files)
 
 
 @query("""SELECT source AS family, string_agg(DISTINCT lang, ',' ORDER BY lang) AS splits FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1""")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.functions import lexicon as L
-from attestry.operators import intervals, raw, saved, segment
+from attestry.functions import prompts
+from attestry.operators import contracts, intervals, raw, saved, segment
 from attestry.plans.drafts import _CASES, _GROUPS, _TURNS, _id, _inspected, _notes, _turns
 from attestry.plans.registry import query, table
 
@@ -137,3 +138,23 @@ def event_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     outputs, cases = _saved(spark, sf_dir)
     found = saved.group_outcomes(outputs.where("variant = 'events'"), cases)
     return found.select(F.col("id").alias("conv_id"), "position", "expected", "actual", "outcome")
+
+
+@query("""SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN turn = 6 THEN 'schema' END, CASE WHEN turn = 3 THEN 'target differs from expected' END, CASE WHEN turn = 7 THEN 'helper source' END,
+ CASE WHEN turn IN (2, 4, 7) THEN 'prompt contract' END, CASE WHEN turn = 5 THEN 'outside the focus' END], lambda x: x IS NOT NULL), '|') AS errors FROM conversations""")
+def prompt_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chats of a main row for each even turn and a helper row for each odd one; those of turns 2 to 7 are changed in a way each."""
+    turn, source = F.col("turn"), F.col("text")
+    result = _result(F.lit("Said."))
+    whole = F.to_json(F.struct(*[result[c].alias(c) for c in ("event_type", "sections", "suggestions")]))
+    tip = F.struct(F.lit("plan").alias("section"), F.lit("Consider it.").alias("text"), F.array(F.lit("a")).alias("basis"), F.lit("When?").alias("confirm"))
+    expected = F.when(turn == 6, "{}").when(turn % 2 == 0, whole).otherwise(F.to_json(F.struct(F.array(tip).alias("suggestions"))))
+    facts = F.array(F.struct(F.lit("action").alias("section"), source.alias("text")))
+    main = prompts.messages("Other words.", F.lit("draft"), source), prompts.messages("Sort it.", F.lit("draft"), source)
+    focus = F.when(turn == 5, F.expr("cast(array() as array<string>)")).otherwise(F.array(F.lit("plan")))
+    helper = prompts.helper_messages("Suggest.", F.when(turn == 7, F.concat(source, F.lit("."))).otherwise(source), focus, prompts.facts_by_section(facts))
+    chat = F.when(turn == 2, main[0]).when(turn % 2 == 0, main[1]).otherwise(helper)
+    answer = F.struct(F.lit("assistant").alias("role"), F.when(turn == 3, '{"a": 1}').otherwise(expected).alias("content"))
+    rows = table(spark, sf_dir, "conversations").select(
+        _id(), F.when(turn % 2 == 0, "main").otherwise("helper").alias("task"), F.when(turn == 4, "review").otherwise("draft").alias("mode"), source.alias("source"), expected.alias("expected"), F.array_append(chat, answer).alias("messages"))
+    return contracts.chat_errors(rows, "Sort it.", "Suggest.").select("id.conv_id", "id.turn", F.array_join("errors", "|").alias("errors"))

@@ -58,3 +58,34 @@ def chunks(notes: DataFrame, offsets: str, size: int, overlap: int) -> DataFrame
     spans = notes.where(F.size(offsets) > 0).select("id", "text", offsets, F.explode(chunk_bounds(F.size(offsets), size, overlap)).alias("c"))
     start, end = F.get(offsets, F.col("c.start")).start, F.get(offsets, F.col("c.end") - 1).end
     return spans.select("id", "c.chunk", start.alias("start"), end.alias("end"), F.substring("text", start + 1, end - start).alias("text"))
+
+
+def assemble(rows: DataFrame, load: Callable[[], Callable[[str], int]], build: Callable[[dict, list[str]], tuple[str, str]], budgets: tuple[int, int], paragraphs: str = "paragraphs") -> DataFrame:
+    """``rows`` with source, source_tokens, chat_tokens, n_paragraphs, error: each row's text with as many of its paragraphs, in order, as two budgets allow.
+
+    ``build`` makes (source, whole chat) of a row's other columns and some of its ``paragraphs``; ``load`` runs once for each task and gives the
+    tokenizer's count of a text. ``budgets``: tokens of the chat and of the source. Paragraphs are added until the first with
+    which either text is over its budget: what a paragraph costs depends on the text around it, so every candidate is built and counted
+    whole. A row that is over a budget without any has that as its error, and no source.
+    """
+    made = "source string, source_tokens int, chat_tokens int, n_paragraphs int, error string"
+    kept = [c for c in rows.columns if c not in (paragraphs, *[m.split()[0] for m in made.split(", ")])]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema], made])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = load()
+        for b in batches:
+            out = []
+            for row in b.to_dict("records"):
+                offered, found = list(row.pop(paragraphs) if row[paragraphs] is not None else []), None
+                for n in range(len(offered) + 1):
+                    source, chat = build(row, offered[:n])
+                    sizes = count(source), count(chat)
+                    if sizes[1] > budgets[0] or sizes[0] > budgets[1]:
+                        break
+                    found = source, *sizes, n, None
+                out.append(found or (None, None, None, None, f"over a budget without any paragraph: chat {sizes[1]} of {budgets[0]}, source {sizes[0]} of {budgets[1]}"))
+            made_ = pd.DataFrame(out, columns=["source", "source_tokens", "chat_tokens", "n_paragraphs", "error"], dtype=object)
+            yield pd.concat([b[kept].reset_index(drop=True), made_], axis=1)
+
+    return rows.select(*kept, paragraphs).mapInPandas(run, schema)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.functions import lexicon as L
+from attestry.functions.prompts import facts_by_section, helper_messages, json_text, messages  # noqa: F401
 
 PLACES = ["north desk", "stock room", "print shop", "reading room", "loading bay", "front office"]
 THINGS = ["label printer", "side door", "visitor list", "delivery note", "badge reader", "meeting screen", "floor plan", "key cabinet"]
@@ -29,6 +30,8 @@ GUIDE = [
     "Later comparisons stand beside the first remark and do not replace it.",
     "The list of enclosures gives their order.",
 ]
+#: System prompts of the rows of a curriculum.
+MAIN_PROMPT, HELPER_PROMPT = "Put the note's facts into sections.", "Suggest what the note leaves open."
 #: Sections that a helper row may be asked for.
 FOCUS = [["impact"], ["action"], ["plan"], ["impact", "action"], ["impact", "plan"], ["action", "plan"], ["impact", "action", "plan"]]
 
@@ -46,25 +49,6 @@ def interleaved(pieces: Column, blocks: Column) -> Column:
     return F.flatten(F.transform(pieces, lambda p, i: F.concat(share(i), F.array(p))))
 
 
-def json_text(value: Column) -> Column:
-    """A string as JSON writes it."""
-    whole = F.to_json(F.array(value))
-    return F.substring(whole, F.lit(2), F.length(whole) - 2)
-
-
-def messages(system: str, mode: Column, source: Column) -> Column:
-    """The chat messages that ask for a record: roles and contents, the note as JSON, so that none of it is read as an order."""
-    user = F.concat(F.lit('{"mode": '), json_text(mode), F.lit(', "source_text": '), json_text(source), F.lit("}"))
-    return F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))
-
-
-def helper_messages(system: str, source: Column, focus: Column, facts: Column) -> Column:
-    """The chat messages that ask for suggestions: the note, the sections asked for, each once, and the texts of known facts by section."""
-    known = F.map_from_entries(F.array(*[F.struct(F.lit(s), F.transform(F.filter(facts, lambda f: f.section == s), lambda f: f.text)) for s in L.SECTIONS]))
-    user = F.concat(F.lit('{"source_text": '), json_text(source), F.lit(', "focus_sections": '), F.to_json(F.array_distinct(focus)), F.lit(', "existing_log_facts_context": '), F.to_json(known), F.lit("}"))
-    return F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))
-
-
 def _pick(words: list[str], *key: Column | str) -> Column:
     """One of a list of words, by a hash of the key."""
     return F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.xxhash64(*[F.lit(k) if isinstance(k, str) else k for k in key]), F.lit(len(words))) + 1).cast("int"))
@@ -153,8 +137,10 @@ def curriculum(spark: SparkSession, train: list[str], validation: list[str], lon
     focus = F.when(F.col("task") == "helper", asked).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumns({"facts": facts, "focus": focus})
     rows = rows.withColumn("suggestions", F.when(F.col("task") == "helper", F.filter(tips, lambda t: F.array_contains("focus", t.section))).otherwise(tips))
-    expected = F.when(F.col("task") == "helper", F.to_json(F.struct("suggestions"))).otherwise(F.to_json(F.struct("facts", "suggestions")))
-    chat = F.when(F.col("task") == "helper", helper_messages("Suggest what the note leaves open.", F.col("source"), F.col("focus"), F.col("facts"))).otherwise(messages("Put the note's facts into sections.", F.col("mode"), F.col("source")))
+    of = lambda s: F.transform(F.filter("facts", lambda f: f.section == s), lambda f: F.struct(f.text.alias("text"), f.evidence.alias("evidence")))
+    record = F.struct(F.lit("other").alias("event_type"), F.struct(*[of(s).alias(s) for s in L.SECTIONS]).alias("sections"), "suggestions")
+    expected = F.when(F.col("task") == "helper", F.to_json(F.struct("suggestions"))).otherwise(F.to_json(record))
+    chat = F.when(F.col("task") == "helper", helper_messages(HELPER_PROMPT, F.col("source"), F.col("focus"), facts_by_section(F.col("facts")))).otherwise(messages(MAIN_PROMPT, F.col("mode"), F.col("source")))
     rows = rows.withColumn("expected", expected)
     rows = rows.withColumns({"target": F.col("expected"), "messages": F.array_append(chat, F.struct(F.lit("assistant").alias("role"), F.col("expected").alias("content"))), "words": words(F.col("source"))})
     id_ = F.concat_ws("-", "split", "task", "family", F.lpad(n.cast("string"), 3, "0"))

@@ -327,7 +327,7 @@ def test_checks_and_runs(spark):
     assert evaluate.complete_run(ids(1, 2), ids(2, 1)).first().complete and not evaluate.complete_run(ids(1, 2), ids(1, 2, 2)).first().complete
     assert not evaluate.complete_run(ids(1), ids(1, 3)).first().complete and not evaluate.complete_run(ids(1).limit(0), ids(1).limit(0)).first().complete
     near = spark.createDataFrame([(1, 0.2), (2, 0.5), (3, 0.9)], "left_id int, similarity double")
-    assert tuple(corpus.nearest_summary(near).first()) == (3, 0.9, 2, 1, 0.5)
+    assert corpus.nearest_summary(near).first().asDict() == {"rows": 3, "greatest": 0.9, "at_least_half": 2, "at_least_four_fifths": 1, "median": 0.5}
     empty = spark.createDataFrame([(1, ""), (2, "a b c d")], "id long, text string")
     assert sorted((r.left_id, r.similarity) for r in corpus.nearest_by_trigrams(empty, empty, empty=1.0).collect()) == [(1, 1.0), (2, 1.0)]
     metrics = spark.createDataFrame([("A", 1, 2), ("B", 0, 0)], "label string, numerator int, denominator int")

@@ -227,7 +227,8 @@ def test_evaluation(spark):
     got = {r.label: (r.missing, r.hits, r.missing_anywhere) for r in evaluate.screen(checks, events).collect()}
     assert got == {"Door": ([], [], []), None: ([], [], []), "Roof": (["zz"], [], ["zz"])}
     out = spark.createDataFrame([("a", 1, True, 1.5, []), ("a", 2, False, 2.0, ["f"]), ("b", 1, False, 0.5, ["g"])], "v string, id int, complete boolean, seconds double, failures array<string>")
-    assert [(r.v, r.cases, r.n_complete, r.share_complete, r.failures) for r in evaluate.roll_up(out, "v").orderBy("v").collect()] == [("a", 2, 1, 0.5, ["f"]), ("b", 1, 0, 0.0, ["g"])]
+    assert [(r.v, r.cases, r.n_complete, r.share_complete, r.n_failures) for r in evaluate.roll_up(out, "v").orderBy("v").collect()] == [("a", 2, 1, 0.5, 1), ("b", 1, 0, 0.0, 1)]
+    assert sorted((r.v, r.place, r.failure) for r in evaluate.failures(out, "v").collect()) == [("a", 1, "f"), ("b", 1, "g")]
 
 
 def test_provenance(spark, tmp_path):
