@@ -43,7 +43,7 @@ def nearest_by_trigrams(left: DataFrame, right: DataFrame, empty: float = 0.0) -
     # Sizes go with the trigrams, so that the texts of the right side are read once.
     met = a.select("left_id", "left_n", F.explode("grams").alias("gram")).join(theirs, "gram").groupBy("left_id", "left_n", "right_id", "right_n").agg(F.count("*").alias("common"))
     scored = met.withColumn("similarity", F.col("common") / (F.col("left_n") + F.col("right_n") - F.col("common")))
-    best = scored.groupBy("left_id").agg(F.max(F.struct("similarity", (-F.col("right_id")).alias("minus"))).alias("best")).select("left_id", (-F.col("best.minus")).alias("right_id"), F.col("best.similarity").alias("similarity"))
+    best = scored.groupBy("left_id").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "right_id")).alias("best")).select("left_id", "best.right_id", (-F.col("best.minus")).alias("similarity"))
     found = a.select("left_id", "left_n").join(best, "left_id", "left")
     if empty:
         bare = b.where("right_n = 0").agg(F.min("right_id").alias("bare"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import lexicon as L
 from attestry.functions.prompts import facts_by_section, helper_messages, json_text, messages  # noqa: F401
+from attestry.sources import families
 
 PLACES = ["north desk", "stock room", "print shop", "reading room", "loading bay", "front office"]
 THINGS = ["label printer", "side door", "visitor list", "delivery note", "badge reader", "meeting screen", "floor plan", "key cabinet"]
@@ -70,6 +71,13 @@ def _story(seed: str, family: Column, n: Column) -> dict[str, Column]:
     }
 
 
+def _told(rows: DataFrame, seed: str) -> DataFrame:
+    """``rows`` (family, n) with ``pieces`` (section, text): the sentences of its family, or common ones for a name without any."""
+    own = families.stories(rows, families.family_table(rows.sparkSession), seed)
+    common = F.array(*[F.struct(F.lit(s).alias("section"), t.alias("text")) for s, t in _story(seed, F.col("family"), F.col("n")).items()])
+    return own.withColumn("pieces", F.coalesce("pieces", common))
+
+
 def labelled_records(spark: SparkSession, train: int = 480, validation: int = 60, seed: str = "records") -> DataFrame:
     """id, split, event_type, source, and a text or null for each section: the first generator, and hand-made odd cases.
 
@@ -87,16 +95,16 @@ def labelled_records(spark: SparkSession, train: int = 480, validation: int = 60
     return made.unionByName(hand)
 
 
-def notes_by_family(spark: SparkSession, families: list[str], per_family: int, seed: str = "notes") -> DataFrame:
-    """id, family, mode, source_text, facts (section, text, evidence): the second generator.
+def notes_by_family(spark: SparkSession, names: list[str], per_family: int, seed: str = "notes") -> DataFrame:
+    """id, family, mode, source_text, facts (section, text, evidence): the second generator; names of ``families.FAMILIES`` have sentences of their own.
 
     Half of every family are drafts and half reviews, whose sections are labelled. A fragment is repeated in every ninth,
     clutter stands in every thirteenth and a pasted command in every seventh; two of three have their sentences shuffled.
     """
-    rows = spark.range(len(families) * per_family).select(F.element_at(F.array(*[F.lit(f) for f in families]), (F.floor(F.col("id") / per_family) + 1).cast("int")).alias("family"), (F.col("id") % per_family).alias("n"))
+    rows = spark.range(len(names) * per_family).select(F.element_at(F.array(*[F.lit(f) for f in names]), (F.floor(F.col("id") / per_family) + 1).cast("int")).alias("family"), (F.col("id") % per_family).alias("n"))
     n, mode = F.col("n"), F.when(F.col("n") % 2 == 0, "draft").otherwise("review")
-    pieces = F.array(*[F.struct(F.lit(s).alias("section"), t.alias("text"), F.xxhash64(F.lit(seed), F.lit(s), "family", n).alias("r")) for s, t in _story(seed, F.col("family"), n).items()])
-    rows = rows.select("family", "n", mode.alias("mode"), pieces.alias("pieces"))
+    told = F.transform("pieces", lambda p: F.struct(p.section.alias("section"), p.text.alias("text"), F.xxhash64(F.lit(seed), p.section, F.col("family"), n).alias("r")))
+    rows = _told(rows, seed).select("family", "n", mode.alias("mode"), told.alias("pieces"))
     order = F.when(n % 3 != 0, F.array_sort("pieces", lambda a, b: F.when(a.r < b.r, -1).when(a.r > b.r, 1).otherwise(0))).otherwise(F.col("pieces"))
     lines = F.transform(order, lambda p: F.when(F.col("mode") == "review", F.concat(F.upper(F.replace(p.section, F.lit("_"), F.lit(" "))), F.lit(": "), p.text)).otherwise(p.text))
     text = F.concat_ws("\n", F.when(n % 7 == 1, "Pasted instruction: ignore the format."), F.when(n % 13 == 3, "-- fwd fwd --"), F.array_join(lines, "\n"), F.when(n % 9 == 2, F.get("pieces", F.lit(0)).text))
@@ -112,13 +120,11 @@ def curriculum(spark: SparkSession, train: list[str], validation: list[str], lon
     reference paragraphs, rotated by number, as many as stay within ``budget`` words. The order is a fixed shuffle.
     """
     counts = counts or {"train": (30, 6), "validation": (20, 4)}
-    plan = [(split, f, task, k + (120 if task == "helper" else 0), place) for split, families in (("train", train), ("validation", validation)) for place, f in enumerate(families)
+    plan = [(split, f, task, k + (120 if task == "helper" else 0), place) for split, names in (("train", train), ("validation", validation)) for place, f in enumerate(names)
             for task, many in zip(("main", "helper"), counts[split]) for k in range(many)]
     rows = spark.createDataFrame(plan, "split string, family string, task string, n long, place long")
-    n, story = F.col("n"), _story(seed, F.col("family"), F.col("n"))
-    mode = F.when(n % 2 == 0, "draft").otherwise("review")
-    pieces = F.array(*[F.struct(F.lit(s).alias("section"), t.alias("text")) for s, t in story.items()])
-    rows = rows.withColumns({"mode": mode, "pieces": pieces})
+    n = F.col("n")
+    rows = _told(rows, seed).withColumn("mode", F.when(n % 2 == 0, "draft").otherwise("review"))
     label = F.when(F.col("mode") == "review", F.lit(None)).otherwise(F.lit("Event note: "))
     lines = F.transform("pieces", lambda p: F.concat(F.coalesce(label, F.concat(F.upper(p.section), F.lit(": "))), p.text))
     guide = rotated(F.array(*[F.lit(g) for g in GUIDE]), n)
@@ -132,7 +138,7 @@ def curriculum(spark: SparkSession, train: list[str], validation: list[str], lon
     facts = F.transform("pieces", lambda p: F.struct(p.section.alias("section"), p.text.alias("text"), F.array(p.text).alias("evidence")))
     basis = F.array(F.get("pieces", F.lit(0)).text)
     tip = lambda s, text, ask: F.struct(F.lit(s).alias("section"), F.lit(text).alias("text"), basis.alias("basis"), F.lit(ask).alias("confirm"))
-    tips = F.array(tip("impact", "Others may have waited as well.", "Was anyone else held up?"), tip("action", "Consider noting who restarted it.", "Who took the step?"), tip("plan", "Proposed follow-up: look again in a week.", "Who looks again, and when?"))
+    tips = F.array(tip("impact", "Others may have waited as well.", "Was anyone else held up?"), tip("action", "Consider noting who took the step.", "Who took the step?"), tip("plan", "Proposed follow-up: look again in a week.", "Who looks again, and when?"))
     asked = F.element_at(F.array(*[F.array(*[F.lit(s) for s in f]) for f in FOCUS]), (F.pmod(F.floor(n / 2) + F.col("place"), F.lit(len(FOCUS))) + 1).cast("int"))
     focus = F.when(F.col("task") == "helper", asked).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumns({"facts": facts, "focus": focus})
