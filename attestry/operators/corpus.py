@@ -132,13 +132,15 @@ def seeded_order(df: DataFrame, seed: str, id_: str, n: int) -> DataFrame:
     return df.withColumn("shuffle_key", key).orderBy("shuffle_key").limit(n)
 
 
-def order_statistics(df: DataFrame, group: list[str], value: str) -> DataFrame:
+def order_statistics(df: DataFrame, group: list[str], value: str, p95_of_count: bool = False) -> DataFrame:
     """least, median (upper), p95 and greatest by position, not by interpolation; n rows.
 
+    p95 stands at 0.95 * (n - 1) from 0, rounded down, or, ``p95_of_count``, at 0.95 * n.
+
     Equal values are counted first, with partial counts before the shuffle, so what a window orders is distinct values.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("copies"))
     upto = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumns({"last": F.sum("copies").over(upto), "n": F.sum("copies").over(Window.partitionBy(*group))})
     at = lambda place: F.min(F.when(F.col("last") >= place, F.col(value)))
-    return ranked.groupBy(*group, "n").agg(at(F.lit(1)).alias("least"), at(F.floor(F.col("n") / 2) + 1).alias("median"), at(F.floor(F.lit(0.95) * (F.col("n") - 1)) + 1).alias("p95"), at(F.col("n")).alias("greatest"))
+    return ranked.groupBy(*group, "n").agg(at(F.lit(1)).alias("least"), at(F.floor(F.col("n") / 2) + 1).alias("median"), at(F.floor(F.lit(0.95) * (F.col("n") - (0 if p95_of_count else 1))) + 1).alias("p95"), at(F.col("n")).alias("greatest"))

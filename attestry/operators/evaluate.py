@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions import lexicon as L
@@ -38,6 +38,16 @@ def reconcile(saved: DataFrame, source: DataFrame) -> DataFrame:
     return only(saved, source, "saved").unionByName(only(source, saved, "source"))
 
 
+def out_of_place(saved: DataFrame, planned: DataFrame, run: list[str], key: str, order: str) -> DataFrame:
+    """run, position, expected, actual, outcome of each place of a run where the saved results don't stand in the order of the plan.
+
+    Both sides: run, key and order. ``reconcile`` knows what one side has more often; this, what came in another place.
+    """
+    place = F.row_number().over(Window.partitionBy(*run).orderBy(order, key)).alias("position")
+    side = lambda rows: rows.select(*run, key, place)
+    return match_groups(side(planned), side(saved), [*run, "position"], key).where("outcome <> 'matched'")
+
+
 def screen(checks: DataFrame, events: DataFrame) -> DataFrame:
     """Fragment screens of ``checks`` against the text of the event each is about.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestry.plans import comparison, corpus, documents, drafts, lineage, scoring, screening  # noqa: F401  they register their queries
+from attestry.plans import comparison, corpus, documents, drafts, lineage, notes, scoring, screening  # noqa: F401  they register their queries
 from attestry.plans.registry import ORACLES, QUERIES
 
 

@@ -84,3 +84,15 @@ def config_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = orders.select("id", F.create_map(F.lit("status"), "o_orderstatus", F.lit("priority"), "o_orderpriority").alias("config"))
     saved = orders.select("id", F.create_map(F.lit("status"), F.lit("O")).alias("config"))
     return P.config_differences(saved, wanted)
+
+
+@query("""WITH e AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS position FROM orders),
+a AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS position FROM orders WHERE o_orderstatus <> 'P')
+SELECT coalesce(e.o_custkey, a.o_custkey) AS o_custkey, coalesce(e.position, a.position) AS position, e.o_orderkey AS expected, a.o_orderkey AS actual, CASE WHEN a.o_orderkey IS NULL THEN 'missing' ELSE 'mismatched' END AS outcome
+FROM e FULL OUTER JOIN a ON e.o_custkey = a.o_custkey AND e.position = a.position WHERE e.o_orderkey IS DISTINCT FROM a.o_orderkey""")
+def results_out_of_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of each customer as planned by their key, saved by their date, without those in part."""
+    orders = table(spark, sf_dir, "orders")
+    planned = orders.select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("at"))
+    saved = orders.where("o_orderstatus <> 'P'").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("at"))
+    return E.out_of_place(saved, planned, ["o_custkey"], "o_orderkey", "at")

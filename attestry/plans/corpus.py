@@ -144,6 +144,13 @@ def order_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.order_statistics(table(spark, sf_dir, "documents"), ["lang"], "n_chars")
 
 
+@query("""WITH r AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars) AS place, count(*) OVER (PARTITION BY source) AS n FROM documents)
+SELECT source, n, max(n_chars) FILTER (place = 1) AS least, max(n_chars) FILTER (place = n // 2 + 1) AS median,
+max(n_chars) FILTER (place = CAST(floor(0.95::DOUBLE * n) AS BIGINT) + 1) AS p95, max(n_chars) FILTER (place = n) AS greatest FROM r GROUP BY 1, 2""")
+def order_stats_of_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.order_statistics(table(spark, sf_dir, "documents"), ["source"], "n_chars", p95_of_count=True)
+
+
 @query("""SELECT conv_id, count(*) FILTER (role = 'user') AS n_first, count(*) FILTER (role = 'assistant') AS n_second FROM conversations
 GROUP BY 1 HAVING count(*) FILTER (role = 'user') <> count(*) FILTER (role = 'assistant')""")
 def role_balance_having(spark: SparkSession, sf_dir: str) -> DataFrame:
