@@ -77,28 +77,52 @@ def shared_families(splits: DataFrame) -> DataFrame:
     return held.where(F.size("splits") > 1)
 
 
-def contained(texts: DataFrame, passages: DataFrame, few: int = 100_000) -> DataFrame:
+def _tokens(text: Column) -> Column:
+    """Words by blanks, as they stand: the first and last of a passage may be parts of words in the text."""
+    return F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+
+
+def _contained_short(texts: DataFrame, short: DataFrame, blank: int) -> DataFrame:
+    """text_id, passage_id for passages (passage_id, passage) of one or two words, which have no whole word inside.
+
+    Some word of a text holds the longer one of theirs. Which words do is found over the distinct words alone: each is listed by its
+    stretches of up to three signs, and a passage's word is looked up by its first ones. Passages of nothing but white space are compared
+    with the texts themselves; more than ``blank`` of them are an error.
+    """
+    part = F.reduce(_tokens(F.col("passage")), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    short = short.withColumn("part", part)
+    bare = short.where("part = ''").select("passage_id", "passage")
+    if bare.limit(blank + 1).count() > blank:
+        raise ValueError(f"more than {blank} passages of white space")
+    keyed = short.where("part <> ''").withColumn("gram", F.left("part", F.lit(3)))
+    stretch = lambda n: F.transform(F.slice(F.sequence(F.lit(0), F.length("word")), F.lit(1), F.greatest(F.length("word") - (n - 1), F.lit(0))), lambda i: F.substring("word", i + 1, F.lit(n)))
+    words = texts.select(F.col("id").alias("text_id"), F.explode(F.array_distinct(_tokens(F.col("text")))).alias("word"))
+    grams = words.select("word").distinct().select("word", F.explode(F.array_distinct(F.concat(*[stretch(n) for n in (1, 2, 3)]))).alias("gram"))
+    holding = grams.join(keyed.select("gram", "part").distinct(), "gram").where(F.contains("word", "part")).select("word", "part")
+    met = words.join(holding, "word").select("text_id", "part").distinct().join(keyed.select("part", "passage_id", "passage"), "part")
+    found = met.join(texts.select(F.col("id").alias("text_id"), "text"), "text_id").where(F.contains("text", "passage")).select("text_id", "passage_id")
+    if bare.isEmpty():
+        return found
+    return found.union(texts.select(F.col("id").alias("text_id"), "text").join(F.broadcast(bare), F.contains("text", "passage")).select("text_id", "passage_id"))  # at most ``blank`` rows
+
+
+def contained(texts: DataFrame, passages: DataFrame, blank: int = 100) -> DataFrame:
     """text_id, passage_id of every passage that occurs verbatim in a text.
 
     ``texts``, ``passages``: id, text. A passage's inner words stand in any text that holds it, so the pairs come from an
     equi-join on one run of its inner words, three of them or as many as there are, and are verified by containment. Of its
-    runs each passage takes the one that the fewest texts have. Only a passage of one or two words has no inner word: those are
-    compared with the texts directly, by broadcast, and more than ``few`` of them are an error.
+    runs each passage takes the one that the fewest texts have. A passage of one or two words has no inner word: see ``_contained_short``.
     """
-    # Words by blanks, as they stand: the first and last of a passage may be parts of words in the text.
-    tokens = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
     hashed = lambda words, n: T.let(words, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.lit(n), *[F.get(w, i + k) for k in range(n)]))).otherwise(F.array().cast("array<bigint>")))
-    words = passages.where("text <> ''").select(F.col("id").alias("passage_id"), F.col("text").alias("passage"), tokens(F.col("text")).alias("w"))
+    words = passages.where("text <> ''").select(F.col("id").alias("passage_id"), F.col("text").alias("passage"), _tokens(F.col("text")).alias("w"))
     inner = words.withColumn("inner", F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))))
     short = inner.where("size(inner) = 0").select("passage_id", "passage")
-    if short.limit(few + 1).count() > few:
-        raise ValueError(f"more than {few} passages of one or two words")
     of_inner = F.when(F.size("inner") >= 3, hashed(F.col("inner"), 3)).when(F.size("inner") == 2, hashed(F.col("inner"), 2)).otherwise(hashed(F.col("inner"), 1))
     runs = inner.where("size(inner) > 0").select("passage_id", "passage", F.size("inner").alias("n"), F.explode(F.array_distinct(of_inner)).alias("run"))
     wanted = runs.select("run").distinct()
     small = wanted.count() <= 500_000
     sizes = [n for n in (1, 2, 3) if not runs.where(F.least("n", F.lit(3)) == n).isEmpty()]
-    all_runs = F.flatten(F.array(*[hashed(tokens(F.col("text")), n) for n in sizes])) if sizes else F.array().cast("array<bigint>")
+    all_runs = F.flatten(F.array(*[hashed(_tokens(F.col("text")), n) for n in sizes])) if sizes else F.array().cast("array<bigint>")
     held = texts.select(F.col("id").alias("text_id"), F.explode(F.array_distinct(all_runs)).alias("run"))
     held = held.join(F.broadcast(wanted) if small else wanted, "run", "left_semi")
     frequent = held.groupBy("run").agg(F.count("*").alias("texts"))
@@ -109,8 +133,8 @@ def contained(texts: DataFrame, passages: DataFrame, few: int = 100_000) -> Data
     # Only the runs meet; the texts are joined to the few pairs that came together.
     pairs = held.join(keyed, "run").select("text_id", "passage_id").distinct()
     met = pairs.join(texts.select(F.col("id").alias("text_id"), "text"), "text_id").join(words.select("passage_id", "passage"), "passage_id")
-    direct = texts.select(F.col("id").alias("text_id"), "text").join(F.broadcast(short), F.contains("text", "passage"))
-    return met.where(F.contains("text", "passage")).select("text_id", "passage_id").union(direct.select("text_id", "passage_id")).distinct()
+    found = met.where(F.contains("text", "passage")).select("text_id", "passage_id")
+    return (found if short.isEmpty() else found.union(_contained_short(texts, short, blank))).distinct()
 
 
 def role_balance(df: DataFrame, group: list[str], role: str, first: str, second: str) -> DataFrame:

@@ -106,3 +106,19 @@ def test_medians_over_ranges_and_fingerprints_of_two_levels(spark):
     assert provenance.tree_fingerprint(files.where("file <> 'f7'")).first().fingerprint != one.fingerprint
     assert provenance.tree_fingerprint(files.limit(0)).first().n_files == 0
     assert prompts.json_text is synthetic.json_text
+
+
+def test_passages_of_any_length_against_a_scan(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abé") for _ in range(rnd.randint(1, 4)))
+    texts = [(k, "".join(word() + rnd.choice([" ", "  ", "\n", " "]) for _ in range(rnd.randint(0, 12)))) for k in range(80)] + [(80, None), (81, ""), (82, "   ")]
+    passages = [" ", "\n", "  ", "", "a", "é", "ab", " a", "a ", "a b", "b\na", "a  b", " ab ", "abab", "zz", "zz a", "a b a", "ba é ab a"]
+    for _ in range(40):
+        t = rnd.choice(texts[:80])[1]
+        at = rnd.randrange(max(1, len(t)))
+        passages.append(t[at : at + rnd.randint(1, 12)])
+    df = spark.createDataFrame(texts, "id int, text string")
+    got = {(r.text_id, r.passage_id) for r in corpus.contained(df, spark.createDataFrame(list(enumerate(passages)), "id int, text string")).collect()}
+    assert got == {(k, n) for k, t in texts for n, p in enumerate(passages) if t and p and p in t}
+    with pytest.raises(ValueError, match="white space"):
+        corpus.contained(df, spark.createDataFrame([(1, " "), (2, "  ")], "id int, text string"), blank=1)
