@@ -6,7 +6,9 @@ in two clusters by a threshold. The lines above it are the content; the region i
 that holds most of their text, and what lies around it is dropped, whatever it is called. Inside the region short lines
 belong to the content too: those beside marked ones, those between the first and the last marked one, and headings.
 Structure trims: menus, site headers, footers, sidebars, notices, adverts, forms and comments are told by
-their tags and by whole names in class, id and role, and are no lines of the region.
+their tags and by whole names in class, id and role, and are no lines of the region. Inside an article a name can be the
+article's own word (a section "discussion", a paragraph "lead share"): there a named paragraph, heading or quotation, and a
+section named by its id alone, is in doubt, and its smoothed ratio decides: it goes if that is below the threshold, or if it is mostly links.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ APART_WORDS = frozenset(
     "comment comments commentlist reply replies respond discussion disqus related recommended recommendations teaser widget toolbar pagination pager masthead login "
     "complementary contentinfo search skip".split()
 )
+#: Those of them that name readers' comments, whose prose is as dense as an article's.
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus".split())
 #: The same for articles, which hold what they name, if they aren't lists of others.
 ARTICLE_WORDS = frozenset("comment comments teaser related ad".split())
 #: The same for site headers, which inside an article are its own heading.
@@ -48,6 +52,10 @@ PLACE_WORDS = frozenset("site page main top bottom left right side bar box block
 CONTENT = frozenset(["article", "main"])
 BOXES = frozenset(["body", "div", "section", "td", "th", "table", "center", "article", "main"])
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+#: Elements that hold text and no parts of a page.
+TEXTS = HEADINGS | {"p", "blockquote", "pre", "figure", "figcaption"}
+#: What a line is but one of the region: in a part with lines of its own, in one inside a line, in doubt.
+APART_LINES, APART_INLINE, DOUBT = 1, 2, 3
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -62,12 +70,12 @@ def names(value: str, known: frozenset[str]) -> bool:
 
 @dataclass
 class Line:
-    """One block of text: its tags, characters inside links, whether it is apart, number of its box, whether a heading."""
+    """One block of text: its tags, characters inside links, whether it is apart or in doubt, number of its box, whether a heading."""
 
     text: str
     tags: int
     linked: int
-    apart: bool
+    apart: int
     box: int
     heading: bool
 
@@ -78,7 +86,7 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        # Tag, apart (1: with lines of its own, 2: inside a line, whose text goes on behind it), inside an article or main, box.
+        # Tag, apart (inside a line its text goes on behind the part), inside an article or main, box.
         self.open: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]
         self.boxes: list[tuple[str, int]] = [("", -1)]
         self.parts: list[str] = []
@@ -90,7 +98,7 @@ class Lines(HTMLParser):
             if text:
                 tag, apart, _, box = self.open[-1]
                 heading = tag in HEADINGS or any(o[0] in HEADINGS for o in self.open[-4:-1])
-                self.lines.append(Line(text, max(1, self.tags), self.linked, bool(apart), box, heading))
+                self.lines.append(Line(text, max(1, self.tags), self.linked, apart, box, heading))
             self.parts = []
         self.tags = self.linked = 0  # tags between two blocks are neither's
 
@@ -106,8 +114,9 @@ class Lines(HTMLParser):
         if tag == "a":
             self.links += 1
         _, apart, inside, box = self.open[-1]
-        if not apart:
-            apart = self._apart(tag, attrs, inside) and (1 if tag in BLOCKS else 2)
+        if apart in (0, DOUBT):
+            own = self._apart(tag, attrs, inside)
+            apart = own if own == DOUBT else (APART_LINES if tag in BLOCKS else APART_INLINE) if own else apart
         if tag in BOXES:
             self.boxes.append((tag, box))
             box = len(self.boxes) - 1
@@ -118,20 +127,29 @@ class Lines(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def _apart(self, tag, attrs, inside: bool) -> bool:
+    def _apart(self, tag, attrs, inside: bool) -> int:
+        """Whether a tag begins a part of the page that isn't the article's: 0, 1 or DOUBT."""
         if tag in APART or tag == "header" and not inside:
-            return True
-        named = ""
+            return 1
+        named, number, unseen = "", "", False
         for name, value in attrs:
-            if name in ("class", "id", "role"):
+            if name in ("class", "role"):
                 named += f" {value or ''}"
-            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value or ""):
-                return True
-        if not named:
-            return False
+            elif name == "id":
+                number = value or ""
+            elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value or ""):
+                return 1
+            elif name == "aria-hidden" and value == "true":
+                unseen = True
         if tag in CONTENT or tag in ("body", "html"):
-            return tag == "article" and names(named, ARTICLE_WORDS)
-        return names(named, APART_WORDS) or not inside and names(named, HEADER_WORDS)
+            return int(unseen or tag == "article" and names(f"{named} {number}", ARTICLE_WORDS))
+        if inside and tag in TEXTS:
+            return DOUBT if unseen or names(f"{named} {number}", APART_WORDS) else 0
+        if unseen or names(named, APART_WORDS) or not inside and names(f"{named} {number}", HEADER_WORDS):
+            return 1
+        if names(number, APART_WORDS):
+            return DOUBT if inside and tag in ("section", "div") and not names(number, COMMENT_WORDS) else 1
+        return 0
 
     def _imply_end(self, tag: str) -> None:
         """A block ends an open paragraph, an item the item before it."""
@@ -157,7 +175,7 @@ class Lines(HTMLParser):
                 return  # an inline end tag doesn't close a block
 
     def handle_data(self, data):
-        if self.open[-1][1] != 2:
+        if self.open[-1][1] != APART_INLINE:
             self.parts.append(data)
             if self.links:
                 self.linked += len(data)
@@ -223,17 +241,30 @@ def region(lines: list[Line], boxes: list[tuple[str, int]], marked: np.ndarray,
     return kept
 
 
+def dense(lines: list[Line], marked: np.ndarray) -> list[bool]:
+    """Which lines stay: all that aren't in doubt, and of those the marked ones that aren't mostly links; a heading goes with the line below it."""
+    stay = [True] * len(lines)
+    for k in range(len(lines) - 1, -1, -1):
+        if lines[k].apart == DOUBT:
+            below = lines[k].heading and k + 1 < len(lines)
+            stay[k] = 2 * lines[k].linked <= len(lines[k].text) and bool(stay[k + 1] and (marked[k + 1] or marked[k]) if below else marked[k])
+    return stay
+
+
 def main_text(html: str, cut=threshold) -> str:
     """Blocks of the main text joined by an empty line; empty where a page has none. ``cut`` parts the smoothed ratios."""
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = [x for x in parser.lines if not x.apart]
+    lines = [x for x in parser.lines if x.apart in (0, DOUBT)]
     if not lines:
         return ""
     ratios = smoothed(np.array([len(x.text) / x.tags for x in lines]))
-    return "\n\n".join(x.text for x, kept in zip(lines, region(lines, parser.boxes, ratios >= cut(ratios))) if kept)
+    marked = ratios >= cut(ratios)
+    stay = dense(lines, marked)
+    lines, marked = [x for x, s in zip(lines, stay) if s], marked[np.array(stay)]
+    return "\n\n".join(x.text for x, kept in zip(lines, region(lines, parser.boxes, marked)) if kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from attestry.functions import text as T
 from attestry.llm.common import table
 
 #: Headers that a 304 answer may renew (HTTP semantics, 304; caching, freshening stored responses).
@@ -42,26 +43,22 @@ def _weak(etag: Column) -> Column:
 
 
 def _slice(at: Column, bounds: list[float]) -> Column:
-    """How many of the sorted bounds a time has reached, by halves."""
+    """How many of the sorted bounds a time has reached, by halves over one constant array, however many there are."""
+    held = F.split(F.lit(",".join(map(repr, bounds))), ",").cast("array<double>")
+    return T.first_index(F.lit(len(bounds)), lambda k: F.get(held, k) > at) if bounds else F.lit(0)
 
-    def within(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(at < bounds[mid], within(lo, mid)).otherwise(within(mid + 1, hi))
 
-    return within(0, len(bounds))
-
-
-def as_of(records: DataFrame, slices: int = 128) -> DataFrame:
+def as_of(records: DataFrame, slices: int | None = None, rows: int = 50_000) -> DataFrame:
     """``records`` (key, at, record_id, full, and more) with ``source``: the latest earlier full record of the key.
 
     Earlier: a smaller (at, record_id). ``full`` marks the records that can be a source; ``source`` is a struct
     of all columns, null where there is none. Records with a null key or time have none. Slices hold about as many records
-    each, whatever stray times there are: their bounds are quantiles of the times, known within a thousandth.
+    each, whatever stray times there are: their bounds are quantiles of the times, known within a quarter of a slice. There are so many that
+    a slice of the whole table has some ``rows``, so those of one key in a slice are no more, even if all records have that key.
     """
     names = records.columns
-    bounds = sorted(set(records.stat.approxQuantile("at", [k / slices for k in range(1, slices)], 1e-3)))
+    slices = slices or max(128, records.count() // rows)
+    bounds = sorted(set(records.stat.approxQuantile("at", [k / slices for k in range(1, slices)], min(1e-3, 0.25 / slices)))) if slices > 1 else []
     sliced = records.withColumn("slice", _slice(F.col("at"), bounds))
     usable = F.col("key").isNotNull() & F.col("at").isNotNull()
     timed, rest = sliced.where(usable), sliced.where(~usable)

@@ -118,6 +118,10 @@ def _read(spark: SparkSession, path: str, rows, schema: str) -> DataFrame:
                 found = [struct.unpack_from(_HEAD, content, at) for at in range(0, len(content), struct.calcsize(_HEAD) + 1)]
                 yield batch(head, shard=[h[0] for h in found], n=[h[3] for h in found])
 
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    if not make(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(make(f"{path}/kind=codes")):
+        # An empty table leaves no files.
+        return spark.createDataFrame([], schema.replace("shard long, ", "").replace("at long", "start long"))
     binary = "path string, modificationTime timestamp, length long, content binary"
     files = spark.read.format("binaryFile").schema(binary).option("recursiveFileLookup", True)
     # One row a shard: the running sum over shards is small at any size of the corpus.
@@ -132,8 +136,5 @@ def _read(spark: SparkSession, path: str, rows, schema: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document to files and back."""
     path = work_dir(spark, "token-files")
-    docs = table(spark, sf_dir, "documents")
-    write(docs, path, vocabulary("word_bpe_49k.json"), end_id=2, vocabulary_size=49_408)
-    if docs.isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
+    write(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=2, vocabulary_size=49_408)
     return digests(spark, path)

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from attestry.llm import html_text, registry, revisits, toxicity
@@ -57,6 +58,36 @@ def test_pages_against_their_markup(spark):
     assert sorted(r.n_chars for r in html_text.extract(odd).collect()) == [0, 0, 1]
 
 
+PROSE = "Plain words of a long paragraph that go on and on about the matter at hand. " * 3
+OWN_WORDS = [
+    f'<section id="discussion"><p>{PROSE}</p></section>', f'<section id="search"><p>{PROSE}</p></section>', f'<section id="related"><p>{PROSE}</p></section>', f'<section id="sharing"><p>{PROSE}</p></section>', f'<p id="subscription">{PROSE}</p>',
+    f'<p class="lead share">{PROSE}</p>', f'<h1 class="banner">Of its own</h1><p>{PROSE}</p>', f'<blockquote class="reply">{PROSE}</blockquote>', f'<h2 id="comments">Of its own</h2><p>{PROSE}</p>', f'<p aria-hidden="true">{PROSE}</p>',
+]
+FURNITURE = [
+    '<section id="related"><ul><li><a href=1>One story</a></li><li><a href=2>Two stories</a></li></ul></section>', f'<section id="comments"><p>{PROSE}</p></section>', f'<div class="comments"><p>{PROSE}</p></div>', f'<ol class="commentlist"><li>{PROSE}</li></ol>',
+    '<p class="share"><a href=1>Share</a> <a href=2>Tweet</a></p>', '<div id="sharing"><p><a href=1>Post it</a></p></div>', '<div class="ad">Buy</div>', '<section id="related"><h2>Read on</h2><ul><li><a href=1>One</a></li></ul></section>', f'<p hidden>{PROSE}</p>', f'<div class="newsletter"><p>{PROSE}</p></div>',
+]
+
+
+@pytest.mark.parametrize("part", OWN_WORDS)
+def test_an_articles_own_words_stay_where_they_are_dense(part):
+    """Names that elsewhere mean furniture; with no line above the threshold, so that density says no, the part goes."""
+    page = f"<body><nav><a href=x>Home</a></nav><article><h1>T</h1><p>{PROSE}</p>{part}<p>{PROSE}</p></article><footer>foot</footer></body>"
+    text = html_text.main_text(page)
+    assert text.count(PROSE.strip()) == 3 and ("Of its own" in text) == ("Of its own" in part) and "foot" not in text
+    lines = html_text.Lines()
+    lines.feed(page)
+    assert any(x.apart == html_text.DOUBT for x in lines.lines)
+    doubt = [x for x in lines.lines if x.apart in (0, html_text.DOUBT)]
+    assert sum(html_text.dense(doubt, np.zeros(len(doubt), bool))) < len(doubt)
+
+
+@pytest.mark.parametrize("part", FURNITURE)
+def test_furniture_inside_an_article_goes(part):
+    page = f"<body><nav><a href=x>Home</a></nav><article><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p>{part}</article><footer>foot</footer></body>"
+    assert html_text.main_text(page) == "\n\n".join(["T", PROSE.strip(), PROSE.strip()])
+
+
 def test_smoothing_and_threshold():
     assert np.allclose(html_text.smoothed(np.ones(7)), 1)
     assert 3 < html_text.threshold(np.array([1.0, 2, 1, 9, 8])) < 8
@@ -145,6 +176,7 @@ def test_as_of_crosses_slices(spark):
     # Two stray times would put all others into one slice of equal widths.
     rows = [(k, "u", 0 if k == 0 else 1 << 60 if k == 299 else 10**12 + 7 * k, k % 10 == 0) for k in range(300)]
     df = spark.createDataFrame(rows, "record_id long, key string, at long, full boolean")
-    for r in revisits.as_of(df, slices=50).collect():
-        want = max((k for k in range(0, r.record_id, 10)), default=None)
-        assert (r.source.record_id if r.source else None) == want
+    for options in ({"slices": 50}, {"rows": 1}, {}, {"slices": 1}):
+        for r in revisits.as_of(df, **options).collect():
+            want = max((k for k in range(0, r.record_id, 10)), default=None)
+            assert (r.source.record_id if r.source else None) == want

@@ -135,3 +135,11 @@ def test_windows_hold_related_documents():
     order = packing.fill_order(docs, packing.ShardIndex(docs, idf, 4.0), window=8, filled=0)
     assert order == [0, 2, 1, 3]
     assert packing.cuts(2048 * 2 + 13, 2048).tolist() == [2048, 4096, 4104, 4108, 4109]
+
+
+def test_files_of_an_empty_table(spark, odd_documents, tmp_path):
+    path = f"file://{tmp_path}/none"
+    token_files.write(odd_documents.limit(0), path, WORD, end_id=2, vocabulary_size=49_408)
+    got = token_files.digests(spark, path)
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() == 0
+    assert token_files.read(spark, path).columns == ["doc_id", "start", "ids"] and token_files.read(spark, path).count() == 0

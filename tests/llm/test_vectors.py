@@ -95,3 +95,13 @@ def test_no_usable_vectors_or_queries(spark):
     assert mips.search(frame(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])])).count() == 0
     assert ann.search(frame(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])])).count() == 0
     assert [(r.query_id, r.vec_id) for r in mips.search(frame(spark, [(20, [1.0, 2.0]), (2, [1.0, 2.0])])).collect()] == [(20, 2)]
+
+
+def test_ties_of_different_vectors_and_repeated_ids(spark):
+    """Equal nearness of vectors that differ goes by vec_id; a repeated vec_id is a candidate with each of its rows."""
+    rows = [(100, [1.0, 0.0]), (7, [3.0, 0.0]), (3, [2.0, 0.0]), (9, [0.5, 0.0]), (5, [4.0, 0.0]), (5, [0.0, 1.0]), (5, [8.0, 0.0])]
+    got = sorted({(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(frame(spark, rows)).collect()})
+    assert got == [(100, 1, 3, 1.0), (100, 2, 5, 1.0), (100, 3, 5, 1.0), (100, 4, 7, 1.0), (100, 5, 9, 1.0)]
+    whole = [(20, [1.0, 1.0]), (8, [0.0, 2.0]), (2, [2.0, 0.0]), (4, [1.0, 1.0]), (6, [0.5, 1.5]), (6, [0.0, 0.0]), (1, [-1.0, 3.0])]
+    got = [(r["rank"], r.vec_id, r.score) for r in mips.search(frame(spark, whole)).collect()]
+    assert sorted(got) == [(1, 1, 8192), (2, 2, 8192), (3, 4, 8192), (4, 6, 8192), (5, 8, 8192), (6, 6, 0)]
