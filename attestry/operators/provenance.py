@@ -175,6 +175,7 @@ def private_fields(documents: DataFrame) -> DataFrame:
         whole = F.concat("above", F.substring("path", 2, 1 << 30))
         each = left.select("id", "above", "deep", F.inline(V.nodes(F.col("value"), dotted=True)))
         found = found.unionByName(each.where(seen).select("id", whole.alias("path"), F.explode(hits).alias("reason")))
-        left, seen = each.where("deep and open").select("id", whole.alias("above"), "value", "deep"), F.col("path") != "$"  # that value was looked at a round before
+        # Kept, so that a round doesn't walk all those before it again; only values nested so deep are in it.
+        left, seen = each.where("deep and open").select("id", whole.alias("above"), "value", "deep").persist(), F.col("path") != "$"
         if left.isEmpty():
             return found
