@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,6 +77,11 @@ def lines(text: Column, keep_ends: bool = True) -> Column:
     return whole if keep_ends else F.transform(whole, lambda x: F.regexp_replace(x, rf"{ends}$", ""))
 
 
+def ascii_bounds(pattern: str) -> str:
+    """A pattern of ASCII words whose bounds are those of ASCII, as in RE2: to Java's own, letters beyond it belong to a word."""
+    return re.sub(r"\\b(?=[\w(])", r"(?<!\\w)", pattern).replace(r"\b", r"(?!\w)")
+
+
 def words(text: Column) -> Column:
     return found(text, L.WORD)
 
