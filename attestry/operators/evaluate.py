@@ -80,13 +80,14 @@ FAILURES = (
 ).split()
 
 
-def inspect(cases: DataFrame) -> DataFrame:
+def inspect(cases: DataFrame, across: bool = True) -> DataFrame:
     """Screens of one result for each case, by literal strings, and the codes of those that fail.
 
     ``cases``: id; the expectations must_retain, absent_sections, suggestion_sections, forbidden (arrays); cleaned (source
     text); the result's valid (its structure), facts (section, text, evidence), suggestions (section, text, basis),
     status, issues, error; and raw_emitted, raw_valid (outputs of the model, and those of a valid structure). An invalid
-    result has no facts and no suggestions. Strings are compared in lower case, quotes as they are.
+    result has no facts and no suggestions. Strings are compared in lower case, quotes as they are. A string to retain may
+    run ``across`` facts and sections, joined by line ends; if not, one fact must hold it whole.
     """
     valid = F.coalesce("valid", F.lit(False))
     none = lambda c: F.when(valid, F.coalesce(c, F.array().cast(cases.schema[c].dataType))).otherwise(F.array().cast(cases.schema[c].dataType))
@@ -95,7 +96,10 @@ def inspect(cases: DataFrame) -> DataFrame:
     sections = F.array(*[F.struct(F.lit(s).alias("section"), texts(s).alias("text")) for s in L.SECTIONS])
     rows = rows.withColumn("by_section", sections)
     rows = rows.withColumn("whole", F.lower(F.array_join(F.transform("by_section", lambda x: x.text), "\n")))
-    kept = lambda s: F.contains(F.col("whole"), F.lower(s))
+    if across:
+        kept = lambda s: F.contains(F.col("whole"), F.lower(s))
+    else:
+        kept = lambda s: F.exists("facts", lambda f: F.coalesce(F.contains(F.lower(f.text), F.lower(s)), F.lit(False)))
     filled = lambda s: F.exists("facts", lambda f: f.section == s)
     tipped = lambda s: F.exists("suggestions", lambda t: t.section == s)
     at = lambda text, phrase: T.find(F.lower(phrase), F.lower(text))

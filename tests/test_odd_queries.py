@@ -25,3 +25,12 @@ def differences(spark, path, name, **tables):
 def test_lexicon_flags_have_the_word_bounds_of_their_sql(spark, tmp_path):
     texts = ["é" + "no", "noé", "may", "émay", "will", "wİll", "Known", "don’t know", "unſure", "ſpending", "not Known", "sentß", "ünever", "asked " + "é" * 100 + " to", "asked " + "é" * 101 + " to", "x_no", "9no", "", None]
     assert differences(spark, tmp_path, "lexicon_flags", documents=(list(enumerate(texts)), "doc_id long, text string")) == (Counter(), Counter())
+
+
+_TURNS = "conv_id long, turn int, role string, text string"
+
+
+def test_screen_metrics_hold_strings_in_one_text(spark, tmp_path):
+    # "the.\nA" would run from the end of one text to the begin of its like, "" be found where there is no fact at all.
+    turns = [(1, 1, "user", "Go the.\nA way"), (1, 2, "assistant", "A lamp is on the."), (2, 3, "user", "two  blanks"), (2, 4, "assistant", "que"), (3, 1, "user", "abc"), (3, 2, "assistant", ""), (3, 3, "user", None), (3, 4, "user", "")]
+    assert differences(spark, tmp_path, "screen_metrics", conversations=(turns, _TURNS)) == (Counter(), Counter())
