@@ -47,11 +47,11 @@ def incomplete_drafts(failures: DataFrame) -> DataFrame:
         F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
 
 
-def add_uncovered(drafts: DataFrame, most: int = MAX_EXCERPT) -> DataFrame:
+def add_uncovered(drafts: DataFrame, most: int = MAX_EXCERPT, again: bool = False) -> DataFrame:
     """``drafts`` with the source text outside accepted evidence among their excerpts.
 
-    ``drafts``: id, source, quotes (of accepted facts), excerpts (texts), issues, status. A stretch that an excerpt
-    shows already is not added; others come whole or cut at blanks. ``added`` tells how many; if any, an issue says so
+    ``drafts``: id, source, quotes (of accepted facts; or spans, see ``intervals.coverage``), excerpts (texts), issues, status.
+    A stretch that an excerpt shows already is only added ``again`` on demand; others come whole or cut at blanks. ``added`` tells how many; if any, an issue says so
     and a draft that was ready needs confirmation. Coverage figures come along: source_characters, covered.
     """
     found = I.coverage(drafts).select("id", "source_characters", "covered", "unquoted")
@@ -59,7 +59,7 @@ def add_uncovered(drafts: DataFrame, most: int = MAX_EXCERPT) -> DataFrame:
     shown = F.array_join("excerpts", "\n")
     earlier = lambda k: F.flatten(F.slice("pieces", F.lit(1), k))
     fresh = F.transform("unquoted", lambda u, k: F.when(F.contains(shown, u) | F.exists(earlier(k), lambda e: F.contains(e, u)), F.array().cast("array<string>")).otherwise(F.get("pieces", k)))
-    rows = rows.withColumn("new", F.flatten(fresh)).withColumn("added", F.size("new"))
+    rows = rows.withColumn("new", F.flatten("pieces" if again else fresh)).withColumn("added", F.size("new"))
     issue = F.concat(F.col("added").cast("string"), F.lit(" source passage(s) were not covered by accepted factual evidence. They are preserved below for review, including details without dates or reference numbers."))
     some = F.col("added") > 0
     status = F.when(some & (F.col("status") != "incomplete_draft"), "needs_confirmation").otherwise(F.col("status"))

@@ -49,10 +49,11 @@ def coverage(facts: DataFrame) -> DataFrame:
     """id, source_characters, covered, unquoted: literal coverage of each ``source`` by its ``quotes``.
 
     ``facts``: id, source, quotes (array). Occurrences that don't overlap count, from the left; unquoted holds the
-    other stretches, line by line, without section headings and without lines that have no word sign.
+    other stretches, line by line, without section headings and without lines that have no word sign. With ``spans``
+    (array of start, end) in place of quotes, these places alone are covered.
     """
     source = F.col("source")
-    spans = F.flatten(F.transform(F.filter(F.array_distinct("quotes"), lambda q: q != ""), lambda q: F.transform(T.separate_occurrences(source, q), lambda s: F.struct(s.alias("start"), (s + F.length(q)).alias("end")))))
+    spans = F.col("spans") if "spans" in facts.columns else F.flatten(F.transform(F.filter(F.array_distinct("quotes"), lambda q: q != ""), lambda q: F.transform(T.separate_occurrences(source, q), lambda s: F.struct(s.alias("start"), (s + F.length(q)).alias("end")))))
     rows = facts.select("id", "source", merged(spans).alias("spans"))
     edges = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), F.col("spans"), F.array(F.struct(F.length(source).alias("start"), F.length(source).alias("end"))))
     gaps = F.transform(F.slice("edges", 2, F.size("edges")), lambda e, i: T.strip(F.substring(source, F.get("edges", i).end + 1, e.start - F.get("edges", i).end)))

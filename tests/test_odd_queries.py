@@ -34,3 +34,9 @@ def test_screen_metrics_hold_strings_in_one_text(spark, tmp_path):
     # "the.\nA" would run from the end of one text to the begin of its like, "" be found where there is no fact at all.
     turns = [(1, 1, "user", "Go the.\nA way"), (1, 2, "assistant", "A lamp is on the."), (2, 3, "user", "two  blanks"), (2, 4, "assistant", "que"), (3, 1, "user", "abc"), (3, 2, "assistant", ""), (3, 3, "user", None), (3, 4, "user", "")]
     assert differences(spark, tmp_path, "screen_metrics", conversations=(turns, _TURNS)) == (Counter(), Counter())
+
+
+def test_uncovered_added_adds_every_line_but_the_first(spark, tmp_path):
+    texts = ["Of.\nLamp of it. Of. On.\nOf.\nLamp\n--\nLamp", "One line", "", None, "\nA\nA", "x\n" + "word " * 500, " a \n b \n b b"]
+    turns = [(k, 1, "user", t) for k, t in enumerate(texts)]
+    assert differences(spark, tmp_path, "uncovered_added", conversations=(turns, _TURNS)) == (Counter(), Counter())
