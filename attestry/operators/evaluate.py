@@ -173,11 +173,20 @@ def complete_run(selected: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def roll_up(outcomes: DataFrame, variant: str) -> DataFrame:
-    """Per variant: cases, complete, failed, seconds, the share complete, and how many failures; they themselves are rows of ``failures``."""
-    done = F.count_if(F.col("complete"))
-    return outcomes.groupBy(variant).agg(
-        F.count("*").alias("cases"), done.alias("n_complete"), (F.count("*") - done).alias("n_failed"), T.round_half_even(F.sum("seconds"), 3).alias("seconds"),
-        ratio(done, F.count("*")).alias("share_complete"), F.bool_or(~F.col("complete")).alias("any_failed"), F.sum(F.size("failures")).cast("long").alias("n_failures"))
+    """Per variant: cases, complete, failed, seconds, the share complete, how many failures, and all of them in order of the cases.
+
+    Cases are dealt by variant and id, so each task sums up and orders a stretch of a variant; what is left to one row is to
+    append the stretches. ``failures`` gives them as rows.
+    """
+    dealt = outcomes.repartitionByRange(variant, "id").withColumn("part", F.spark_partition_id())
+    told = lambda c: F.flatten(F.transform(F.array_sort(c), lambda x: x.failures))
+    parts = dealt.groupBy(variant, "part").agg(
+        F.count("*").alias("cases"), F.count_if(F.col("complete")).alias("n_complete"), F.sum("seconds").alias("seconds"), F.count_if(~F.col("complete")).alias("n_failed"), F.bool_or(~F.col("complete")).alias("any_failed"),
+        told(F.collect_list(F.when(F.size("failures") > 0, F.struct("id", "failures")))).alias("failures"))
+    cases, done, failures = F.sum("cases"), F.sum("n_complete"), told(F.collect_list(F.struct("part", "failures")))
+    return parts.groupBy(variant).agg(
+        cases.alias("cases"), done.alias("n_complete"), F.sum("n_failed").alias("n_failed"), T.round_half_even(F.sum("seconds"), 3).alias("seconds"),
+        ratio(done, cases).alias("share_complete"), F.bool_or("any_failed").alias("any_failed"), F.size(failures).cast("long").alias("n_failures"), failures.alias("failures"))
 
 
 def failures(outcomes: DataFrame, variant: str) -> DataFrame:

@@ -51,9 +51,9 @@ def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_OUTCOMES} SELECT variant, count(*) AS cases, count(*) FILTER (complete) AS n_complete, count(*) FILTER (NOT complete) AS n_failed, count(*) FILTER (complete) / count(*) AS share_complete,
-bool_or(NOT complete) AS any_failed, CAST(sum(len(failures)) AS BIGINT) AS n_failures FROM o GROUP BY 1""")
+bool_or(NOT complete) AS any_failed, CAST(sum(len(failures)) AS BIGINT) AS n_failures, coalesce(string_agg(array_to_string(failures, ','), ',' ORDER BY id, failures) FILTER (len(failures) > 0), '') AS failures FROM o GROUP BY 1""")
 def variant_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.roll_up(_outcomes(spark, sf_dir), "variant").drop("seconds")
+    return E.roll_up(_outcomes(spark, sf_dir), "variant").withColumn("failures", F.array_join("failures", ",")).drop("seconds")
 
 
 @query(f"""{_OUTCOMES} SELECT variant, id, i AS place, failures[i] AS failure FROM o, unnest(range(1, len(failures) + 1)) u(i)""")

@@ -40,3 +40,11 @@ def test_uncovered_added_adds_every_line_but_the_first(spark, tmp_path):
     texts = ["Of.\nLamp of it. Of. On.\nOf.\nLamp\n--\nLamp", "One line", "", None, "\nA\nA", "x\n" + "word " * 500, " a \n b \n b b"]
     turns = [(k, 1, "user", t) for k, t in enumerate(texts)]
     assert differences(spark, tmp_path, "uncovered_added", conversations=(turns, _TURNS)) == (Counter(), Counter())
+
+
+def test_variant_roll_up_names_every_failure_in_order(spark, tmp_path):
+    docs = [(k, None if k % 5 == 0 else "en" if k % 2 else "fr", 10 * k) for k in range(40)] + [(3, "en", 1)]
+    labels = [(k, None if k == 7 else k % 2, (k // 2) % 2) for k in range(39)]
+    assert "failures" in catalogue.queries()["variant_roll_up"](spark, "/root/testdata/sf0.001").columns
+    got = differences(spark, tmp_path, "variant_roll_up", documents=(docs, "doc_id long, lang string, n_chars long"), labels=(labels, "doc_id long, quality int, toxic int"))
+    assert got == (Counter(), Counter())
