@@ -237,3 +237,14 @@ def test_votes_of_long_and_repetitive_lines_fit(spark):
     h = {w: xxh64_intdigest(w, 42) for w in (f"w{k}" for k in range(5000))}
     for j in range(8):
         assert got[1][f"s{j}"] == 40 * sum((x & 0x15555555) + (len(w) << 34) for w, x in h.items() if x >> 61 == j)
+
+
+def test_no_pair_of_short_lines_is_lost(spark, line_links):
+    lines, found, _, _ = line_links
+    root = parts(len(lines), found)
+    short = [(a, b) for a, b in similar_pairs(lines) if min(len(lines[a]), len(lines[b])) < 20]
+    assert len(short) > 40 and all(root[a] == root[b] for a, b in short)
+    texts = ["of the and to", "of the new and to", "ha ha ha ha ha", "ha ha ha ha", "a b c d e", "x b c d e", "a b c d", "one two three four five six seven eight nine ten", "one six three four five two seven eight nine ten"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines, found, _, _ = lines_and_links(docs)
+    assert parts(len(lines), found) == parts(len(lines), similar_pairs(lines))
