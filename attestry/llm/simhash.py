@@ -53,9 +53,8 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         parts = [joined[a:b] for a, b in zip(begins[at : at + (1 << 16)], ends[at : at + (1 << 16)])]
-        h = np.fromiter(map(xxh64_intdigest, parts, repeat(42)), np.uint64, len(parts))
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+        counts += shingle_sets.votes(np.fromiter(map(xxh64_intdigest, parts, repeat(42)), np.uint64, len(parts)))
+    return int(shingle_sets.bits_of(counts, n))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -81,17 +80,18 @@ def tallied(lists: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-def links(fps: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
+def links(fps: DataFrame, long_list: int = LONG_LIST, most: int = 2) -> DataFrame:
     """a, b: links that connect exactly those of the distinct ``fp`` values that are within 2 bits.
 
-    Every pair within 2 bits is linked, directly or, in long lists, through common neighbours of both.
+    Every pair within 2 bits is linked, directly or, in long lists, through common neighbours of both. With a higher
+    ``most``, pairs within as many bits of two bytes are linked too, but in long lists.
     """
     posted = postings(fps)
     sizes = posted.groupBy("n", "key").agg(F.count("*").alias("size")).where("size > 1")
     lists = written(posted.join(sizes, ["n", "key"]), "simhash-lists")
 
     pairs = tallied(lists.where(F.col("size") <= long_list).select("n", "key", "fp")).where(F.col("shared") >= LEAST_SHARED)
-    near = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).select("a", "b")
+    near = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most).select("a", "b")
 
     bits = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << k)) for k in range(64)])
     changed = lists.where(F.col("size") > long_list).select("fp").distinct().select("fp", F.explode(bits).alias("bit"))
@@ -122,12 +122,13 @@ def groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def one_of_each(docs: DataFrame, shingle: int = 3, small: int = 1_000_000, similarity: float | None = None) -> DataFrame:
     """``docs`` with one document of each group: that of the smallest doc_id (nulls last), with all its columns.
 
-    Groups are those within 2 bits, or with a ``similarity`` those of the shingle sets of that Jaccard similarity.
+    Groups are those within 2 bits. With a ``similarity`` they are those of the shingle sets of that Jaccard similarity: the
+    index gives the SimHashes that differ in two bytes at most, the sets verify them and find the rest.
 
     Rows with the same doc_id and text are one document; of them one row stays. Tables of at most ``small``
     kept documents are broadcast, others joined by shuffle.
     """
-    found, rooted = _rooted(docs, shingle) if similarity is None else shingle_sets.rooted(docs, shingle, similarity)
+    found, rooted = _rooted(docs, shingle) if similarity is None else shingle_sets.rooted(docs, shingle, similarity, lambda fps: links(fps, most=16))
     last = F.lit((1 << 63) - 1)
     rows = found.select(F.coalesce("doc_id", last).alias("id"), "th", "fp")
     kept = joined(rows, rooted.select("fp", "copies", "root"), ["fp"]).groupBy("root").agg(F.min(F.struct("id", "th")).alias("row")).select("row.*")

@@ -71,3 +71,26 @@ def test_odd_documents(odd_documents):
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 3, 5, 6, 7, 9, 10] and None in ids
     assert simhash.one_of_each(odd_documents.limit(0), shingle=5, similarity=0.8).count() == 0
+
+
+def test_near_dedup_compares_what_the_simhash_index_finds(spark, monkeypatch):
+    docs = near_copies() + [(5000, "one two three four five six seven " * 3), (5001, "one two three four five six seven " * 4), (5002, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bits = {r.doc_id: r.bits & (1 << 64) - 1 for r in shingle_sets.prefixes(df, 5, 0.8).collect()}
+    assert bits == {i: simhash.fingerprint(t or "", 5) for i, t in docs}
+    found, asked = [], shingle_sets.by_simhash
+    monkeypatch.setattr(shingle_sets, "by_simhash", lambda distinct, *a: found.append((distinct, asked(distinct, *a))) or found[-1][1])
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert kept == wanted([(i, t or "") for i, t in docs])
+    (distinct, near), own = found[0], {}
+    for r in distinct.collect():
+        own[r.fp] = r.bits & (1 << 64) - 1
+    # Those whose SimHashes differ in two bytes at most, sets of one SimHash through the one that stands for them.
+    bytes_apart = lambda a, b: sum((a ^ b) >> 8 * k & 255 > 0 for k in range(8))
+    pairs = {tuple(sorted((r.a, r.b))) for r in near.collect()}
+    assert len(pairs) > 20 and all(bytes_apart(own[a], own[b]) <= 2 for a, b in pairs)
+    small = {r.fp: r.k for r in distinct.collect()}
+    at = {fp: n for n, fp in enumerate(own)}
+    root = parts(len(at), [(at[a], at[b]) for a, b in pairs])
+    fps = list(own)
+    assert all(root[at[a]] == root[at[b]] for a in fps for b in fps if bin(own[a] ^ own[b]).count("1") <= 2 and min(small[a], small[b]) >= 0.8 * max(small[a], small[b]))
