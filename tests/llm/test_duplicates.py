@@ -248,3 +248,25 @@ def test_no_pair_of_short_lines_is_lost(spark, line_links):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     lines, found, _, _ = lines_and_links(docs)
     assert parts(len(lines), found) == parts(len(lines), similar_pairs(lines))
+
+
+@pytest.mark.parametrize("common", [-1, 40, 127])
+def test_short_lines_share_a_key_of_rare_words(spark, monkeypatch, common):
+    """Similar lines meet in a key, whether all words count as common or none does; words repeat in some lines."""
+    monkeypatch.setattr(line_dedup, "COMMON", common)
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 3 if k % 3 == 0 else 400, int(rng.integers(4, 20)))]
+        rows += [" ".join(words), " ".join(words[1:])]
+        words[int(rng.integers(0, len(words)))] = "new"
+        rows.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    _, distinct = line_dedup.distinct_lines(docs)
+    of = {r.h: words_of(rows[r.id]) for r in distinct.collect()}
+    keys = defaultdict(set)
+    for r in line_dedup.rare_keys(distinct).collect():
+        keys[of[r.h]].add(r.key)
+    lines = sorted(set(of.values()))
+    want = similar_pairs(lines)
+    assert len(want) > 80 and all(keys[lines[a]] & keys[lines[b]] for a, b in want if min(len(lines[a]), len(lines[b])) >= 4)
