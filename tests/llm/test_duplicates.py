@@ -203,6 +203,20 @@ def test_crowded_lists_lose_no_link(spark, options):
     assert kept(places, text, parts(len(lines), found)) == kept(places, text, parts(len(lines), want))
 
 
+def test_rare_words_lose_no_pair_of_lines_in_different_lists(spark):
+    """Lines are searched by their rare words as lines, without the lists that they came from."""
+    docs = crowd(spark, 90)
+    lines, _, _, text = lines_and_links(docs)
+    _, distinct = line_dedup.distinct_lines(docs)
+    number = {w: k for k, w in enumerate(lines)}
+    of = {r.h: number[words_of(text[r.id].split("\n")[r.n])] for r in distinct.collect()}
+    members = distinct.select("h", "k", distinct.h.alias("part"))
+    near = line_dedup._by_rare_words(docs, distinct, members.union(members))
+    found = [tuple(sorted((of[r.a], of[r.b]))) for r in near.collect()]
+    want = {(a, b) for a, b in similar_pairs(lines) if min(len(lines[a]), len(lines[b])) >= 5}
+    assert len(want) > 200 and want <= set(found) and len(set(found)) == len(found)
+
+
 def test_words_of_one_sign_are_told_apart(spark):
     """Lines just within and just beyond the similarity, with enough words that some share a sign."""
     rng = np.random.default_rng(5)
