@@ -284,3 +284,34 @@ def test_short_lines_share_a_key_of_rare_words(spark, monkeypatch, common):
     lines = sorted(set(of.values()))
     want = similar_pairs(lines)
     assert len(want) > 80 and all(keys[lines[a]] & keys[lines[b]] for a, b in want if min(len(lines[a]), len(lines[b])) >= 4)
+
+
+def test_words_are_split_once_and_added_up_by_plain_keys(spark, documents):
+    """A filter on the words would split each line again for the sample of frequencies; an array among the keys slows every word down."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(line_dedup._short_words(documents, 1)).count("regexp_replace(") == 1
+    found = line_dedup.fingerprints(documents)
+    assert plan(found).count("regexp_replace(") == 1
+    assert not [c for c, kind in found.dtypes if kind.startswith("array")]
+    texts = [r.text or "" for r in documents.collect()]
+    want = Counter(w for t in texts for x in t.split("\n") if 4 <= len(words_of(x)) <= 25 for w in words_of(x))
+    got = Counter({r.word: r.n for r in line_dedup._short_words(documents, 1).where("word is not null").groupBy("word").count().toDF("word", "n").collect()})
+    assert got == want
+
+
+def test_pairs_are_compared_up_to_their_last_edit(spark):
+    """Distances around the steps of the comparison, and around the most that the similarity allows."""
+    rows = []
+    for k, n in enumerate((5, 20, 25, 79, 80, 85, 320, 330)):
+        most = int(0.2 * n + 1e-9)
+        for edits in sorted({1, 4, 5, 16, 17, 64, 65, most, most + 1}):
+            if edits < n:
+                rows += [" ".join(f"n{k}x{j}" for j in range(n)), " ".join(f"m{k}x{edits}x{j}" if j < edits else f"n{k}x{j}" for j in range(n))]
+    lines = sorted({x: None for x in rows})
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    _, distinct = line_dedup.distinct_lines(docs)
+    h = {lines[r.id]: r.h for r in distinct.collect()}
+    pairs = [(h[a], h[b], alike(a.split(), b.split())) for a, b in zip(rows[::2], rows[1::2])]
+    near = spark.createDataFrame([p[:2] for p in pairs], "a long, b long")
+    got = {(r.a, r.b) for r in line_dedup._verified(docs, distinct, near).collect()}
+    assert got == {(a, b) for a, b, same in pairs if same} and 0 < len(got) < len(pairs)
